@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             hashes = [chunk_hash(np.frombuffer(c.as_buffer() or b"", np.uint8)) for c in batch.column("chunk")]
             after = batch.column("after").to_pylist()
             shares = [[shift(h[k], n, k) for h, n in zip(hashes, after)] for k in range(4)]
-            size = pa.compute.binary_length(batch.column("chunk")).cast(pa.int64())
+            size = pc.binary_length(batch.column("chunk")).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), size, *[pa.array(s, pa.int64()) for s in shares]], names=["doc_id", "row", "size", "r0", "r1", "r2", "r3"])
 
     shares = _chunks(_data(docs).withColumn("row", F.monotonically_increasing_id()), "doc_id", "row").mapInArrow(run, "doc_id long, row long, size long, r0 long, r1 long, r2 long, r3 long")
