@@ -7,7 +7,8 @@ COORDINATES random rounds, round r puts every element into bin r, so each bin
 fills. A document stops at the round that fills its last bin, usually the
 third. Bins are nearly independent, so estimates concentrate as for classic
 MinHash at a small part of its cost. BANDS bands of ROWS coordinates give the
-candidates: a pair of similarity 0.85 shares none with probability 7e-9.
+candidates: a pair of similarity 0.85 shares none with probability 7e-9, one of
+0.8 with 3e-6.
 
 Sets that are equal are merged first (by a 128-bit digest). In a band bucket
 of up to SMALL_BUCKET sets all pairs are candidates. The sets of larger buckets
@@ -173,7 +174,7 @@ def near_groups(docs: DataFrame, scratch: Scratch, threshold: int = 85) -> DataF
     )
 
 
-def near_dedup(docs: DataFrame, threshold: int = 85) -> DataFrame:
+def near_dedup(docs: DataFrame, threshold: int = 80) -> DataFrame:
     """The rows of ``docs``, of linked ones only that with the smallest doc_id."""
     groups = near_groups(docs, Scratch(docs.sparkSession, "near"), threshold)
     return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")

@@ -149,9 +149,10 @@ def mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each once, with no new columns; see repeats in mix()."""
-    chosen = mix(docs, Scratch(docs.sparkSession, "mixed")).where("taken > 0").select("doc_id")
-    return docs.join(chosen, "doc_id", "left_semi")
+    """The mix itself: rows of ``docs``, each as often as the mix takes it."""
+    chosen = mix(docs, Scratch(docs.sparkSession, "mixed")).where("taken > 0").select("doc_id", F.expr("int(taken div size)").alias("__times"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.join(chosen, "doc_id").withColumn("__time", F.explode(F.sequence(F.lit(1), "__times"))).select(*columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

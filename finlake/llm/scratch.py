@@ -65,13 +65,13 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
 
 
-def by_block(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices batches so that each holds about ``limit`` bytes of text, or one row."""
+def by_block(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Slices batches so that each holds about ``limit`` bytes of text and at most ``rows`` rows, or one row."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, size in enumerate(sizes.tolist()):
-            if i > start and held + size > limit:
+            if i > start and (held + size > limit or i - start >= rows):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size
@@ -79,7 +79,7 @@ def by_block(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int =
             yield batch.slice(start)
 
 
-def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict], schema: str, text: str = "text") -> DataFrame:
+def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict], schema: str, text: str = "text", rows: int = 1 << 16) -> DataFrame:
     """``mapInArrow`` where ``kernel`` turns one block of rows into columns named as in ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -87,7 +87,7 @@ def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict], schema: s
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for block in by_block(batches, text):
+        for block in by_block(batches, text, rows=rows):
             made = kernel(block)
             columns = [c if isinstance(c := made[f.name], pa.Array) else pa.array(c, type=f.type) for f in target]
             yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, target)], schema=target)
