@@ -61,8 +61,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``; sizes partitions without reading anything."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """Catalyst's estimate of the size of ``df``, to choose numbers of groups; where it has none, by the number of rows."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else df.count() * 2000
 
 
 def by_block(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
