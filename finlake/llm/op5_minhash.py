@@ -14,9 +14,10 @@ Sets that are equal are merged first (by a 128-bit digest). In a band bucket
 of up to SMALL_BUCKET sets all pairs are candidates. The sets of larger buckets
 go an exact way that needs no sketch: sets with enough overlap share one of
 their rarest elements (a prefix, in order of frequency), and a prefix list is
-compared by stars first (each member with the smallest), then only between
-members that different components still hold. All candidates are confirmed on
-their full sets. Links within one component that are not listed change no
+compared by stars first (each member with a central one, which has the element
+earliest in its order and so has the fewest elements of its own), then only
+between members that different components still hold. All candidates are
+confirmed on their full sets. Links within one component that are not listed change no
 result.
 
 A null or empty text, or one of white space only, has an empty set and links
@@ -39,6 +40,8 @@ from finlake.llm.scratch import Scratch, arrow_map, documents
 BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
 SMALL_BUCKET = 8
+#: Rounds of stars before the members of different components are compared.
+STARS = 2
 EMPTY = U64(2**64 - 1)
 
 
@@ -88,9 +91,18 @@ def _linked(threshold: int) -> F.Column:
     return 100 * both >= threshold * (F.size("items_a") + F.size("items_b") - both)
 
 
-def _fits(threshold: int, x: str = "n_a", y: str = "n_b") -> F.Column:
-    """Sizes that a link allows."""
-    return (100 * F.col(x) >= threshold * F.col(y)) & (100 * F.col(y) >= threshold * F.col(x))
+def _fits(threshold: int) -> F.Column:
+    """Sizes n_a and n_b that a link allows."""
+    return (100 * F.col("n_a") >= threshold * F.col("n_b")) & (100 * F.col("n_b") >= threshold * F.col("n_a"))
+
+
+def _early(threshold: int) -> F.Column:
+    """Whether a shared element stands early enough in both orders: sets that overlap enough share one that does.
+
+    An overlap of o leaves the first shared element among the first n - o + 1 of either set.
+    """
+    overlap = F.ceil(threshold * (F.col("n_a") + F.col("n_b")) / F.lit(100 + threshold))
+    return (F.col("place_a") <= F.col("n_a") - overlap + 1) & (F.col("place_b") <= F.col("n_b") - overlap + 1)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -104,7 +116,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
-    """(item, doc_id, n) for the rarest items of each set, enough of them that linked sets share one.
+    """(item, doc_id, n, place) for the rarest items of each set, enough of them that linked sets share one.
 
     A link needs an overlap of at least threshold % of the larger set, hence of
     one's own: at most n - ceil(threshold * n / 100) items can be missing.
@@ -113,7 +125,7 @@ def _prefixes(sets: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
     counts = scratch.save(items.groupBy("item").agg(F.count("*").alias("among")), "among")
     order = Window.partitionBy("doc_id").orderBy("among", "item")
     rare = items.join(counts, "item").withColumn("place", F.row_number().over(order))
-    return rare.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold / F.lit(100)) + 1).where("among > 1").select("item", "doc_id", "n")
+    return rare.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold / F.lit(100)) + 1).where("among > 1").select("item", "doc_id", "n", "place")
 
 
 def near_groups(docs: DataFrame, scratch: Scratch, threshold: int = 85) -> DataFrame:
@@ -138,35 +150,32 @@ def near_groups(docs: DataFrame, scratch: Scratch, threshold: int = 85) -> DataF
     )
     links = scratch.save(confirmed(pairs, sets, threshold), "links-small")
 
-    # Crowded buckets: prefix lists, by stars.
+    # Crowded buckets: prefix lists, by stars; from the second on, around a member outside the list's main component.
     crowded = sets.join(wanted.where("crowded"), "doc_id")
     lists = scratch.save(_prefixes(crowded, scratch, threshold), "lists")
-    centres = scratch.save(lists.groupBy("item").agg(F.min("doc_id").alias("a"), F.min_by("n", "doc_id").alias("n_a"), F.count("*").alias("members")).where("members > 1"), "centres")
-    stars = lists.join(centres, "item").where((F.col("doc_id") > F.col("a")) & _fits(threshold, "n_a", "n")).select("a", F.col("doc_id").alias("b")).distinct()
-    links = links.union(scratch.save(confirmed(stars, sets, threshold), "links-stars"))
-    found = connected_components(links, scratch, "first")
-
-    # What different components hold in one list.
-    labelled = scratch.save(
-        lists.join(centres.select("item"), "item").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "labelled"
-    )
-    main = labelled.groupBy("item", "component").agg(F.count("*").alias("held")).groupBy("item").agg(F.max_by("component", "held").alias("main"), F.count("*").alias("parts"))
-    mixed = scratch.save(main.where("parts > 1").select("item", "main"), "mixed")
-    apart = labelled.join(mixed, "item").where("component <> main").select("item", F.col("doc_id").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("c"))
-    across = (
-        apart.join(labelled.select("item", F.col("doc_id").alias("y"), F.col("n").alias("n_b"), F.col("component").alias("d")), "item")
-        .where((F.col("c") != F.col("d")) & _fits(threshold))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
-    rest = scratch.save(confirmed(across, sets, threshold), "links-across")
-    if not rest.isEmpty():
-        found = connected_components(links.union(rest), scratch, "second")
+    member = lambda rows, x: rows.select("item", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"place_{x}"), F.col("component").alias(f"part_{x}"))
+    open_lists, labelled = None, lists.withColumn("component", F.col("doc_id"))
+    for turn in range(STARS + 1):
+        away = labelled if open_lists is None else labelled.join(open_lists, "item").where("component <> main")
+        if turn < STARS:
+            first = F.min_by(F.struct("doc_id", "n", "place", "component"), F.struct("place", "doc_id"))
+            centres = away.groupBy("item").agg(first.alias("c")).select("item", "c.*")
+            away = scratch.save(centres, f"centres{turn}")
+        met = member(away, "a").join(member(labelled, "b"), "item").where((F.col("part_a") != F.col("part_b")) & _fits(threshold) & _early(threshold))
+        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = links.union(scratch.save(confirmed(pairs, sets, threshold), f"links{turn}"))
+        found = connected_components(links, scratch, f"parts{turn}")
+        labelled = scratch.save(lists.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), f"labelled{turn}")
+        held_by = labelled.groupBy("item", "component").agg(F.count("*").alias("held"))
+        main = held_by.groupBy("item").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.count("*").alias("parts"))
+        open_lists = scratch.save(main.where("parts > 1").select("item", "main"), f"open{turn}")
+        if open_lists.isEmpty():
+            break
 
     # Back to all documents: set -> representative -> component.
     heads = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*digest, F.coalesce("component", "rep").alias("component_id"))
     heads = scratch.save(heads, "heads")
-    scratch.drop("sets", "items", "held", "lists", "labelled")
+    scratch.drop("sets", "items", "held", "lists", *[f"labelled{t}" for t in range(STARS + 1)])
     return (
         made.select("doc_id", *digest)
         .join(heads, digest, "left")
