@@ -33,9 +33,9 @@ def merged(old: DataFrame, new: DataFrame, key: Sequence[str], order: str) -> Da
 class KeyedTable:
     """``key`` identifies a row, in the whole table or (``global_key`` false) in its partition; ``order`` tells which version is newer.
 
-    Data is a folder per version, named by a pointer file that is replaced last,
-    so a reader sees a whole version or the one before. Partitions that a
-    write does not touch are read from where they are, never rewritten.
+    One writer at a time. A write is made aside first and then replaces the
+    table, or the partitions it touches; other partitions are neither read nor
+    rewritten.
     """
 
     path: str
