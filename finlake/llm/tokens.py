@@ -1,29 +1,73 @@
-"""Token ids of whole texts by a public tokenizer whose tokens never cross white space.
-
-Each distinct word (between ASCII white space) is encoded once per worker and
-found again by its 64-bit hash; texts are put together from these with NumPy.
-The ids equal those of encoding the whole text, since the tokenizer drops white
-space and looks at nothing across it.
+"""Token ids of whole texts by a public tokenizer that lower-cases and whose tokens never cross white space.
+
+Each distinct piece of text is encoded once per worker and found again by its
+64-bit hash; texts are put together from these with NumPy. Pieces are words
+between ASCII white space, cut further where the tokenizer surely cuts too:
+between an ASCII letter and ASCII punctuation or digits, and around ASCII
+digits, but not before a letter that an apostrophe precedes (contractions) nor
+next to bytes of other characters, which may combine. A-Z is lower-cased first
+where no such character follows. A block in which the text of a special token
+stands is taken by whole words as they are. So the ids equal those of encoding
+the whole text.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from finlake.llm.kernels import span_hashes, text_bytes, words
+from finlake.llm.kernels import LOWER, span_hashes, text_bytes, words
+
+OTHER, LETTER, DIGIT, PUNCTUATION = range(4)
+KIND = np.full(256, PUNCTUATION, np.uint8)
+KIND[128:] = OTHER
+KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+KIND[48:58] = DIGIT
+#: Bytes that may follow a lower-cased letter: ASCII, or the lead byte of Latin-1 letters.
+PLAIN = np.zeros(256, bool)
+PLAIN[:128] = PLAIN[0xC3] = True
+
+
+def pieces(data: np.ndarray, bounds: np.ndarray, specials: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end, row) of the pieces to encode."""
+    start, end, row = words(data, bounds)
+    lowered = LOWER[data]
+    raw = lowered.tobytes()
+    if not len(data) or any(s in raw for s in specials):
+        return data, start, end, row
+    follows = np.append(PLAIN[data[1:]], True)
+    data = np.where(follows, lowered, data)
+    kind = KIND[data]
+    before, after = kind[:-1], kind[1:]
+    cut = (before != OTHER) & (after != OTHER) & ((before != after) | (before == DIGIT)) & ~((data[:-1] == 0x27) & (after == LETTER))
+    first = np.zeros(len(data) + 1, bool)
+    first[1:-1] = cut
+    last = first.copy()  # a piece ends where the next begins
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[start] += 1
+    inside[end] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+    first[:-1] &= inside
+    first[start] = True
+    last[:-1] &= inside
+    last[start] = False
+    starts = np.flatnonzero(first)
+    ends = np.sort(np.concatenate((np.flatnonzero(last), end)))
+    return data, starts, ends, np.searchsorted(bounds, starts, "right") - 1
 
 
 class WordEncoder:
-    """``path``: a tokenizers JSON file. ``most``: words kept before the memory starts anew."""
+    """``path``: a tokenizers JSON file. ``most``: pieces kept before the memory starts anew."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.specials = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.reset()
 
     def reset(self) -> None:
@@ -33,21 +77,22 @@ class WordEncoder:
         self.known = 0
 
     def learn(self, hashes: list[int], texts: list[str]) -> None:
-        for h, encoding in zip(hashes, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-            ids, at = encoding.ids, int(self.bounds[self.known])
-            if at + len(ids) > len(self.pool):
-                self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)))
-            if self.known + 2 > len(self.bounds):
-                self.bounds = np.concatenate((self.bounds, np.zeros(len(self.bounds), np.int64)))
-            self.pool[at : at + len(ids)] = ids
-            self.place[h] = self.known
-            self.known += 1
-            self.bounds[self.known] = at + len(ids)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = self.bounds[self.known] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        while ends[-1] > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        while self.known + len(found) + 1 > len(self.bounds):
+            self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
+        begin = self.bounds[self.known]
+        self.pool[begin : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1] - begin))
+        self.bounds[self.known + 1 : self.known + 1 + len(found)] = ends
+        self.place.update(zip(hashes, range(self.known, self.known + len(found))))
+        self.known += len(found)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of all rows; null and empty texts have no ids."""
         data, bounds = text_bytes(column)
-        start, end, row = words(data, bounds)
+        data, start, end, row = pieces(data, bounds, self.specials)
         if self.known > self.most:
             self.reset()
         distinct, first, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
