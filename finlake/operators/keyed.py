@@ -63,13 +63,17 @@ class KeyedTable:
             writer = writer.option("partitionOverwriteMode", "dynamic")
         writer.parquet(path)
 
-    def _replace(self, df: DataFrame, spark: SparkSession, dynamic: bool) -> None:
-        """Writes aside first, since ``df`` may read this table."""
+    def _replace(self, df: DataFrame, spark: SparkSession, dynamic: bool, touched: DataFrame | None = None) -> None:
+        """Writes aside first, since ``df`` may read this table. Of the ``touched`` partitions, those left without a row go."""
         aside = f"{self.path}.{uuid.uuid4().hex}"
         store, at = _path(spark, aside)
         try:
             df.write.parquet(aside)
-            self._write(spark.read.schema(df.schema).parquet(aside), self.path, dynamic=dynamic)
+            made = spark.read.schema(df.schema).parquet(aside)
+            emptied = touched.join(made.select(self.partition).distinct(), self.partition, "left_anti").collect() if touched is not None else []
+            self._write(made, self.path, dynamic=dynamic)
+            for row in emptied:
+                store.delete(_path(spark, f"{self.path}/{self.partition}={row[0]}")[1], True)
         finally:
             store.delete(at, True)
 
@@ -88,12 +92,13 @@ class KeyedTable:
         keys are rewritten; a global key leaves its former partition.
         """
         spark = batch.sparkSession
-        batch = latest(batch.select([c.split()[0] for c in self.schema.split(", ")]), self.key, [F.col(self.order).desc_nulls_last()])
+        key = self.key if self.global_key or not self.partition else (*self.key, self.partition)
+        batch = latest(batch.select([c.split()[0] for c in self.schema.split(", ")]), key, [F.col(self.order).desc_nulls_last()])
         if batch.isEmpty():
             return False
         old = self.read(spark)
         if not self.partition or not exists(spark, self.path):
-            self._replace(merged(old, batch, self.key, self.order), spark, dynamic=False)
+            self._replace(merged(old, batch, key, self.order), spark, dynamic=False)
             return True
         touched = batch.select(self.partition)
         if self.global_key:
@@ -101,11 +106,5 @@ class KeyedTable:
         touched = touched.distinct()
         same = old[self.partition].eqNullSafe(touched[self.partition])
         scope = old.join(touched, same, "left_semi")
-        key = self.key if self.global_key else (*self.key, self.partition)
-        after = merged(scope, batch, key, self.order)
-        self._replace(after, spark, dynamic=True)
-        emptied = touched.join(after.select(self.partition).distinct(), self.partition, "left_anti").collect()  # partitions that lost their last row
-        for row in emptied:
-            store, at = _path(spark, f"{self.path}/{self.partition}={row[0]}")
-            store.delete(at, True)
+        self._replace(merged(scope, batch, key, self.order), spark, dynamic=True, touched=touched)
         return True
