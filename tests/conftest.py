@@ -1,15 +1,14 @@
-import os
 import sys
 from pathlib import Path
 
 import duckdb
-import pandas as pd
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
+from support import SF  # noqa: E402
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
@@ -30,18 +29,3 @@ def duck():
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
-
-
-def same_rows(found: pd.DataFrame, expected: pd.DataFrame) -> None:
-    cols = sorted(expected.columns)
-    assert sorted(found.columns) == cols
-
-    def ordered(x):
-        x = x[cols].astype(object).where(x[cols].notna(), None)
-        return x.iloc[x.map(str).apply("\x1f".join, axis=1).argsort(kind="stable").to_numpy()].reset_index(drop=True) if len(x) else x.reset_index(drop=True)
-
-    a, b = ordered(found), ordered(expected)
-    assert len(a) == len(b)
-    for c in cols:
-        for x, y in zip(a[c], b[c]):
-            assert x == y or (x is None and y is None) or (isinstance(x, float) and abs(x - y) <= 2e-4 * max(1, abs(y))), (c, x, y)

@@ -1,5 +1,5 @@
 import pytest
-from conftest import SF, same_rows
+from support import SF, same_rows
 
 from finlake.plans import catalogue
 

@@ -3,7 +3,7 @@
 import datetime
 import json
 
-from conftest import SF
+from support import SF
 from pyspark.sql import functions as F
 
 from finlake.plans import gold, silver
