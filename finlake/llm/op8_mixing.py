@@ -4,8 +4,8 @@ A source's target is met in whole passes over it and a remaining budget. The
 budget is filled by number of documents of each exact length: the counts by
 length are lowered in proportion, the longest lengths first, with what rounding
 leaves carried on; a dynamic program over the bounded counts that are left then
-fits the last words (a knapsack of a few times the longest text, kept as bits
-of one integer). The documents of each length are the first by a seeded hash of
+fits the last words (a knapsack of LEAST_ROOM words or four times the longest
+text, kept as bits of one integer). The documents of each length are the first by a seeded hash of
 their id, so reruns agree.
 
 Only counts by source and length reach the dynamic program, one source at a
@@ -36,6 +36,8 @@ BUDGET, MOST = 1.5, 2.0
 SEED = 20240607
 #: Documents of one source, length and hash range, about.
 RANGE_ROWS = 5000
+#: Words that the knapsack decides about, at least.
+LEAST_ROOM = 1 << 16
 
 
 def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
@@ -54,15 +56,16 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             want = budget * due // total - got
             taken[i] = max(0, min(counts[i], want // lengths[i]))
             got += taken[i] * lengths[i]
-    # Hand one document of each of the shortest lengths back, so that the program has room to change the sum.
+    # Hand documents back, the shortest first, so that the program has room to change the sum.
     rest = budget - got
-    longest = lengths[order[0]]
-    for i in reversed(order):
-        if rest > 2 * longest:
-            break
-        if lengths[i] > 0 and taken[i]:
-            taken[i] -= 1
-            rest += lengths[i]
+    room = max(4 * lengths[order[0]], LEAST_ROOM)
+    while rest <= room and any(taken):
+        for i in reversed(order):
+            if taken[i]:
+                taken[i] -= 1
+                rest += lengths[i]
+                if rest > room:
+                    break
     # Bounded knapsack: bit k of ``reach`` tells that k more words can be had; counts go in as powers of two.
     mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
     for i in reversed(order):

@@ -1,0 +1,138 @@
+"""op3, op6, op7: counts against brute force, held-out accuracy, edge cases."""
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
+from support import SF
+
+from finlake.llm import op3_toxicity as op3
+from finlake.llm import op6_quality as op6
+from finlake.llm import op7_language as op7
+from finlake.llm.features import platt, sigmoid
+from finlake.llm.kernels import text_bytes
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LARGE = "/root/testdata/sf0.1"
+
+
+def held(i: int) -> bool:
+    return zlib.crc32(str(i).encode()) % 3 == 1
+
+
+def base(t: str) -> tuple:
+    w = WORD.findall(t)
+    windows = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    marked = {k + j for k in range(len(w) - 4) if windows[tuple(w[k : k + 5])] > 1 for j in range(5)}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    failed = len(w) < 10 or 100 * len(marked) > 20 * len(w)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(marked), failed
+
+
+COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def counts(df) -> dict:
+    return {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in df.collect()}
+
+
+def test_op6_base_counts(spark, edge, empty):
+    scored = op6.score(edge, None)
+    expected = {r["doc_id"]: base(r["text"] or "") for r in edge.select("doc_id", "text").collect() if r["doc_id"] is not None}
+    assert counts(scored) == expected
+    assert all(r["kept"] == (not r["base_failed"]) for r in scored.collect())  # no model: the rules alone
+    assert scored.count() == edge.where("doc_id is not null").count() and op6.score(empty, None).isEmpty()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert counts(op6.score(docs, None)) == {r["doc_id"]: base(r["text"] or "") for r in docs.collect()}
+
+
+def test_op6_lines_at_the_ends():
+    for t in ("\n", "\n\na\na", "a\na", "a\n a\na \na", "x\n\n\nx\n", "é\né"):
+        got = op6.base_counts(*text_bytes(pa.array(["a\n", t, "a\n"])))
+        assert tuple(int(got[c][1]) for c in COLUMNS[:5]) == base(t)[:5], t
+
+
+def test_op6_learns(spark):
+    found = op6.op6_quality(spark, LARGE).toPandas().merge(pd.read_parquet(f"{LARGE}/labels.parquet"), on="doc_id")
+    test = found[found.doc_id.map(held)]
+    assert test[test.quality == 1].kept.mean() > 0.94 and test[test.quality == 0].kept.mean() < 0.05
+    rest = test[~test.base_failed & (test.quality == 1)]
+    assert (rest.p_quality >= op6.KEEP).mean() > 0.97
+
+
+def test_op6_one_label_only(spark, edge):
+    labels = spark.createDataFrame([(6, 1, 0), (None, 0, 1), (7, None, None)], "doc_id long, quality int, toxic int")
+    assert op6.train(edge, labels) is None and op3.train(edge, labels) is None
+
+
+def test_op7_edges(spark, edge, empty):
+    model = op7.train(edge)
+    got = {r["doc_id"]: r for r in op7.predict(edge, model).collect()}
+    assert all(got[i]["lang_pred"] == "und" and got[i]["rejected"] and got[i]["score"] == 0 for i in (1, 2, 3, 12))
+    assert got[4]["lang_pred"] == "en" and not got[6]["rejected"] and all(0 <= r["score"] <= 1 for r in got.values())
+    assert op7.predict(empty, model).isEmpty()
+    assert {r["lang_pred"] for r in op7.predict(edge, op7.train(empty)).collect()} == {"und"}
+
+
+def test_op7_held_out(spark):
+    found = op7.op7_language(spark, LARGE).toPandas().merge(pd.read_parquet(f"{LARGE}/documents.parquet"), on="doc_id")
+    assert (found.held_out == found.doc_id.map(held)).all()
+    test = found[found.held_out]
+    assert (test.lang_pred == test.lang).mean() > 0.99 and found.rejected.mean() < 0.005
+
+
+def test_op7_rejects_other_scripts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    other = spark.createDataFrame([(1, "Это совсем другой язык, которого нет в корпусе. " * 5), (2, "これはまったく別の言語です。" * 9)], "doc_id long, text string")
+    assert all(r["rejected"] for r in op7.predict(other, op7.train(docs)).collect())
+    kept = op7.recognised(docs)
+    assert kept.columns == docs.columns and kept.count() > 0.98 * docs.count()
+
+
+def test_op3_edges(spark, edge, empty):
+    labels = spark.createDataFrame([(i, i % 2) for i in (4, 5, 6, 7, 9, 11, 14, 15)], "doc_id long, toxic int")
+    model = op3.train(edge, labels)
+    got = op3.score(edge, model).collect()
+    assert len(got) == edge.where("doc_id is not null").count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= op3.CUT) for r in got)
+    scores = {r["doc_id"]: r["score"] for r in got}
+    assert scores[1] == scores[2] == scores[3]  # no words
+    assert op3.score(empty, model).isEmpty() and {r["score"] for r in op3.score(edge, None).collect()} == {0.0}
+    assert op3.score(edge.drop("lang"), model).count() == len(got)
+
+
+def test_op3_held_out(spark):
+    found = op3.op3_toxicity(spark, LARGE).toPandas().merge(pd.read_parquet(f"{LARGE}/labels.parquet"), on="doc_id")
+    test = found[found.held_out]
+    hit = ((test.predicted == 1) & (test.toxic == 1)).sum()
+    assert hit / (test.toxic == 1).sum() > 0.85 and hit / (test.predicted == 1).sum() > 0.8
+
+
+def test_op3_finds_a_word_anywhere_in_a_long_text(spark):
+    docs = spark.read.parquet(f"{LARGE}/documents.parquet")
+    model = op3.train(docs, spark.read.parquet(f"{LARGE}/labels.parquet"))
+    clean = "the of and with " * 20_000
+    texts = pa.array([clean, clean + "you pathetic worthless scum idiot moron"], pa.large_string())
+    a, b = sigmoid(model["slope"] * op3.margins(texts, model) + model["shift"])
+    assert a < 0.5 and b > a + 0.3
+
+
+def test_op3_pooling_stays_within_texts():
+    rng = np.random.default_rng(0)
+    table = rng.normal(size=(op3.BUCKETS, op3.DIMENSIONS)).astype(np.float32)
+    filters = [rng.normal(size=(w, op3.DIMENSIONS, op3.FILTERS)).astype(np.float32) for w in op3.WIDTHS]
+    bias = np.zeros(len(op3.WIDTHS) * op3.FILTERS, np.float32)
+    one = lambda ts: op3._pooled(table, filters, bias, *op3.word_rows(pa.array(ts)))
+    ts = ["alpha beta gamma delta", "", "x", "beta gamma", "alpha"]
+    assert np.allclose(one(ts), np.concatenate([one([t]) for t in ts]), atol=1e-5) and (one([""]) == 0).all()
+
+
+def test_platt_is_calibrated():
+    rng = np.random.default_rng(2)
+    z = rng.normal(size=4000) * 3
+    y = (rng.random(4000) < sigmoid(0.7 * z - 0.5)).astype(int)
+    a, b = platt(z, y)
+    assert a == pytest.approx(0.7, abs=0.1) and b == pytest.approx(-0.5, abs=0.15)
