@@ -44,6 +44,7 @@ class KeyedTable:
     order: str
     partition: str | None = None
     global_key: bool = True
+    sort: tuple[str, ...] = ()
 
     def create(self, spark: SparkSession) -> None:
         """An empty table, unless there is one."""
@@ -56,6 +57,8 @@ class KeyedTable:
         return spark.read.schema(self.schema).parquet(self.path)
 
     def _write(self, df: DataFrame, path: str, mode: str = "overwrite", dynamic: bool = False) -> None:
+        if self.sort:  # rows that are read together stand together
+            df = df.sortWithinPartitions(*([self.partition] if self.partition else []), *self.sort)
         writer = df.write.mode(mode).option("compression", "zstd")
         if self.partition:
             writer = writer.partitionBy(self.partition)

@@ -16,7 +16,7 @@ from finlake.operators.dedup import cutover, latest
 from finlake.operators.keyed import merged
 from finlake.operators.quality import accepted_values, not_null, orphan_rate, same_count, unique
 from finlake.operators.routing import dead_letters, high_watermark, is_ready, normalised_partitions, route, watermark_rows
-from finlake.plans import gold, serving, silver
+from finlake.plans import checks, gold, serving, silver
 from finlake.sources.adapters import Bronze
 
 #: The settled part ends here where a query needs both parts; a nightly run's day; the dashboard's today.
@@ -88,6 +88,18 @@ class Warehouse:
     def late(self) -> tuple[DataFrame, DataFrame]:
         return route(self.bronze.transactions, "event_day", datetime.date.fromisoformat(SETTLED_UNTIL))
 
+    def tables(self) -> dict[str, DataFrame]:
+        b = self.bronze
+        return {
+            "bronze.transactions": b.transactions, "bronze.cancellations": b.cancellations, "bronze.exchange_rates": b.rates, "bronze.users": b.users,
+            "bronze.test_users": b.test_users, "bronze.promo_codes": b.promo_codes, "bronze_dlq.late_events": dead_letters(self.late()[1], "transactions", "composite_pk", "event_day"),
+            "silver.transactions_clean": self.tx, "silver.cancellations_clean": self.cancelled, "silver.exchange_rates_daily": self.daily, "silver.exchange_rates_long": self.long,
+            "gold.transactions_by_hour": gold.transactions_by_hour(self.tx), "gold.purchases_by_hour": gold.purchases_by_hour(self.tx), "gold.revenue_daily": gold.revenue_daily(self.tx, self.long),
+            "gold.refunds_daily": gold.refunds_daily(self.cancelled), "gold.promo_codes_analysis": gold.promo_codes_analysis(self.tx, b.promo_codes),
+            "gold.cancellations_summary": gold.cancellations_summary(self.cancelled, self.tx), "gold.user_cohorts": gold.user_cohorts(self.tx),
+            "gold.promo_expired_usage_daily": gold.promo_expired_usage_daily(self.tx), "gold.dq_summary_daily": gold.dq_summary_daily(self.tx),
+        }
+
 
 Query = Callable[[Warehouse], DataFrame]
 FLAGS = ("is_user_missing", "is_user_unknown", "is_test_user", "is_test_user_inconsistent", "is_amount_invalid", "is_revenue_eligible", "is_transaction_id_duplicated", "is_promo_expired_at_use")
@@ -172,6 +184,7 @@ WAREHOUSE_QUERIES: dict[str, Query] = {
     "orphan_rate": lambda w: orphan_rate(w.cancelled, w.tx, "original_transaction_id", "transaction_id"),
     "count_recon": _counts,
     "data_tests": _tests,
+    "declared_tests": lambda w: checks.all_failures(w.tables()),
     "chart_total_revenue": lambda w: gold.revenue_daily(w.tx, w.long).agg(serving.total("gross_revenue_tgrk")),
     "chart_total_transactions": lambda w: serving.real(w.unified_transactions()).agg(serving.total("tx_cnt")),
     "chart_invalid_refund_pct": lambda w: serving.invalid_refund_pct(w.unified_cancellations()),
@@ -352,6 +365,24 @@ SELECT 'accepted_currency', count(DISTINCT currency) FROM tx WHERE currency NOT
     "cancellation_rate": f"""SELECT event_day, c AS cancellations_cnt, p AS purchase_cnt, round(round(c * 1.0 / p, 6), 4) AS cancellation_rate
 FROM (SELECT cancel_day AS event_day, sum(cancellations_cnt)::BIGINT AS c FROM {_U_CANCEL} GROUP BY ALL) JOIN (SELECT event_day, sum(purchase_cnt)::BIGINT AS p FROM {_U_BUYS} GROUP BY ALL) USING (event_day)""",
 }
+_RELATIONS = {
+    "bronze.transactions": "bronze_tx", "bronze.cancellations": "bronze_cancel", "bronze.exchange_rates": """(SELECT *, update_id || '|' || "timestamp" AS rate_pk FROM bronze_rates)""",
+    "bronze.users": "u", "bronze.test_users": "(SELECT user_uuid AS test_user_uuid FROM tu)", "bronze.promo_codes": "pc", "bronze_dlq.late_events": f"({_SELECTS['dlq_late_events']})",
+    "silver.transactions_clean": "tx", "silver.cancellations_clean": "cancelled", "silver.exchange_rates_daily": "daily", "silver.exchange_rates_long": "long",
+}
+
+
+def _declared_sql() -> str:
+    parts = []
+    for table, c in checks.DECLARED.items():
+        tests = {f"not_null:{x}": f"count(*) FILTER ({x} IS NULL)" for x in c.not_null} | {f"unique:{x}": f"count({x}) - count(DISTINCT {x})" for x in c.unique}
+        tests |= {f"accepted_values:{x}": f"count(*) FILTER ({x} NOT IN {values})" for x, values in c.accepted.items()}
+        relation = _RELATIONS.get(table) or f"({_SELECTS['gold_' + table.split('.')[1]]})"
+        parts.append(f"SELECT '{table}' AS table_name, unnest({list(tests)}) AS test, unnest([{', '.join(tests.values())}]) AS failures FROM {relation}")
+    return "\nUNION ALL ".join(parts)
+
+
+_SELECTS["declared_tests"] = _declared_sql()
 _SLICES = {
     "silver_transactions_clean_day": {"tx_day": f"WHERE event_day = '{RUN_DATE}'"},
     "gold_revenue_day": {"tx_day": f"WHERE event_day = '{RUN_DATE}'"},

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from finlake import schemas
 from finlake.operators.dedup import aligned
@@ -65,10 +64,6 @@ def residual(table: DataFrame, partition: str, values: DataFrame, like: DataFram
     return aligned(table.join(wanted, partition, "left_semi"), like)
 
 
-def is_committed_by(progress: dict) -> tuple[int, int]:
-    """(batch, rows) of a streaming query's progress record."""
+def committed(progress: dict) -> tuple[int, int]:
+    """(batch, rows) of a streaming query's progress record; (-1, 0) before the first."""
     return int(progress.get("batchId", -1)), int(progress.get("numInputRows", 0))
-
-
-def from_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema).select("*").where(F.lit(True))

@@ -12,7 +12,7 @@ from finlake.operators.asof import as_of
 from finlake.operators.dedup import cutover, latest
 from finlake.operators.keyed import KeyedTable
 from finlake.operators.routing import closed_day, dead_letters, is_ready, normalised_partitions, route
-from finlake.plans import serving, silver
+from finlake.plans import checks, serving, silver
 from finlake.sources import jsonl
 
 
@@ -154,6 +154,20 @@ def test_quality(spark):
     assert rows(quality.orphan_rate(children, spark.createDataFrame([(1,), (1,)], "p long"), "c", "p")) == [(4, 2, 50.0)]
 
 
+def test_declared_tests():
+    n = [len(c.not_null) + len(c.unique) + len(c.accepted) for c in checks.DECLARED.values()]
+    assert sum(n) == 69  # promo_codes_analysis has no clock column
+
+
+def test_declared_tests_raise_on_errors_only(spark):
+    long = spark.createDataFrame([("a", "d", "XXX", 1.0), ("b", "d", "RUB", 1.0)], "rate_day_currency string, rate_day string, currency string, rate_to_tgrk double")
+    assert checks.assert_passed(checks.failures("silver.exchange_rates_long", long)) == [("silver.exchange_rates_long", "accepted_values:currency", 1)]
+    with pytest.raises(AssertionError):
+        checks.assert_passed(checks.failures("silver.exchange_rates_long", long.union(long)))
+    assert checks.unpopulated({"a": long, "b": long.limit(0)}) == ["b"]
+    assert jsonl.committed({"batchId": 3, "numInputRows": 9}) == (3, 9) and jsonl.committed({}) == (-1, 0)
+
+
 def test_unified_without_settled_rows(spark):
     live = spark.createDataFrame([("2024-01-01", 1)], "event_day string, n int")
     assert rows(serving.unified(live.limit(0), live, "event_day")) == [("2024-01-01", 1, "live")]
