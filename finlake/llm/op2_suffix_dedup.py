@@ -41,7 +41,7 @@ from finlake.llm.kernels import BYTE_CODE, U64, mix, span_hashes, text_bytes
 from finlake.llm.scratch import Scratch, documents, input_bytes
 
 THRESHOLD, FIRST, SECOND = 50, 20, 40
-BLOCK_BYTES, LEAST_BLOCKS, PIECE_BYTES, CROWDED = 4 << 20, 48, 1 << 20, 2000
+BLOCK_BYTES, LEAST_BLOCKS, PIECE_BYTES, CROWDED = 4 << 20, 48, 1 << 18, 2000
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -54,19 +54,20 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def ranks(data: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:
     """For each length the hash of the string at each position, from pairs of hashes at doubling offsets."""
     level, size, ladder = BYTE_CODE[data], 1, {}
-    while size <= max(lengths) and len(level):
-        ladder[size] = level
+    needed = {1 << k for n in lengths for k in range(n.bit_length()) if n >> k & 1}
+    while size <= max(needed) and len(level):
+        if size in needed:
+            ladder[size] = level
         level = _pair(level[:-size], level[size:]) if len(level) > size else level[:0]
         size *= 2
     out = {}
     for n in lengths:
-        whole, at = None, 0
-        for part in sorted(ladder, reverse=True):
-            if (n - at) >= part:
-                count = max(len(data) - n + 1, 0)
+        count, whole, at = len(data) - n + 1, None, 0
+        for part in sorted(needed, reverse=True):
+            if n & part and count > 0:
                 h = ladder[part][at : at + count]
                 whole, at = (h if whole is None else _pair(whole, h)), at + part
-        out[n] = mix(whole) if whole is not None and at == n else np.zeros(0, U64)
+        out[n] = mix(whole) if whole is not None else np.zeros(0, U64)
     return out
 
 
@@ -240,12 +241,14 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
         first = ~later
         cells = _cells(_bucket(rank[first], blocks), blocks)
         rank, doc_, at_, win_, size_, base_ = (a[first] for a in (rank, doc, at, windows, size, base))
-        ends = np.cumsum(size_)
-        sent = body[np.repeat(base_ - (ends - size_), size_) + np.arange(ends[-1] if len(ends) else 0)]
-        edge = np.concatenate(([0], ends))
+
+        def sent(s: int, e: int) -> bytes:
+            n = size_[s:e]
+            return body[np.repeat(base_[s:e] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
+
         out = {n: [] for n in names}
         for b, s, e in cells:
-            for n, v in zip(names, (b, key[0].as_py(), rank[s:e].tobytes(), doc_[s:e].tobytes(), at_[s:e].tobytes(), win_[s:e].tobytes(), sent[edge[s] : edge[e]].tobytes())):
+            for n, v in zip(names, (b, key[0].as_py(), rank[s:e].tobytes(), doc_[s:e].tobytes(), at_[s:e].tobytes(), win_[s:e].tobytes(), sent(s, e))):
                 out[n].append(v)
         for n, v in zip(names, (-1, key[0].as_py(), b"", doc[later].tobytes(), at[later].tobytes(), windows[later].tobytes(), b"")):
             out[n].append(v)
@@ -265,7 +268,7 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
         held = np.concatenate(([0], np.cumsum(size[order])))[edges]
         found, s = [], 0
         while s < len(edges) - 1:
-            e = max(s + 1, int(np.searchsorted(held, held[s] + 4 * PIECE_BYTES, "right")) - 1)
+            e = max(s + 1, int(np.searchsorted(held, held[s] + PIECE_BYTES, "right")) - 1)
             own = order[edges[s] : edges[e]]
             s = e
             n, w = size[own], windows[own]

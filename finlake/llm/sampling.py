@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 #: Longer texts are not learned from; they are scored whole like all others.
 SAMPLE_TEXT_BYTES = 200_000
+#: Labels that are learned, the most frequent ones.
+MOST_LABELS = 500
 
 
 def _share(rows: DataFrame, label: str, per_class: int, seed: int) -> DataFrame:
     """About ``per_class`` rows of each label, by a seeded hash of the id; never a cut by order."""
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    frequent = rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), label).limit(MOST_LABELS)
+    counts = {r[label]: r["n"] for r in frequent.collect()}
     if not counts:
         return rows.limit(0)
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003.0

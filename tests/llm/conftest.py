@@ -28,3 +28,11 @@ def edge(spark):
 @pytest.fixture(scope="session")
 def empty(edge, spark):
     return spark.createDataFrame([], edge.schema)
+
+
+@pytest.fixture(autouse=True)
+def few_blocks(monkeypatch):
+    """Small tables need few blocks."""
+    from finlake.llm import op2_suffix_dedup
+
+    monkeypatch.setattr(op2_suffix_dedup, "LEAST_BLOCKS", 4)
