@@ -10,8 +10,10 @@ reaches the next:
    mostly share theirs, so a position in 16 or so is sorted, not each. Spark
    deals the ranks out by value; each task sorts its share and sends back which
    are not unique to one document.
-2. Length 40. Windows whose rank is crowded (in more than CROWDED blocks of
-   documents) are reranked by their 40-byte strings, which deals them out anew.
+2. Length 40. Windows whose rank is crowded (more than CROWDED runs have it, as
+   those around a phrase that many documents share) are reranked by their 40-byte
+   strings, which deals them out anew; with more than PACKED runs by the whole
+   window, of which a block of documents sends one.
 3. Length 50, past the threshold. Runs of windows that still are not unique are
    dealt out by rank with their bytes, each different run of a block of documents
    once; each task sorts the windows themselves and finds the smallest document
@@ -41,7 +43,10 @@ from finlake.llm.kernels import BYTE_CODE, U64, mix, span_hashes, text_bytes
 from finlake.llm.scratch import Scratch, documents, input_bytes
 
 THRESHOLD, FIRST, SECOND = 50, 20, 40
-BLOCK_BYTES, LEAST_BLOCKS, PIECE_BYTES, CROWDED = 4 << 20, 48, 1 << 18, 2000
+BLOCK_BYTES, LEAST_BLOCKS, PIECE_BYTES, CROWDED, PACKED = 4 << 20, 48, 1 << 18, 2000, 1 << 18
+
+#: Set in a 16-bit count of runs of one block: all are of one document.
+ONE_DOCUMENT = 1 << 15
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -98,8 +103,8 @@ def _pieces(data: np.ndarray, bounds: np.ndarray):
         yield lot
 
 
-def runs(data: np.ndarray, bounds: np.ndarray):
-    """Yields (bytes, run start in them, windows, rank, 40-byte ranks of all windows, text row, start in the text) per piece."""
+def runs(data: np.ndarray, bounds: np.ndarray, deep: bool = True):
+    """Yields (bytes, run start in them, windows, rank, deeper ranks of all windows by level, text row, start in the text) per piece."""
     for lot in _pieces(data, bounds):
         x = np.concatenate([data[s:e] for _, _, s, e in lot])
         ends = np.cumsum([e - s for _, _, s, e in lot])
@@ -108,8 +113,8 @@ def runs(data: np.ndarray, bounds: np.ndarray):
             continue
         part = np.repeat(np.arange(len(lot)), [e - s for _, _, s, e in lot])[:n]
         inside = np.arange(n) + THRESHOLD <= ends[part]
-        made = ranks(x, (FIRST, SECOND))
-        rank, deeper = smallest(made[FIRST], THRESHOLD - FIRST + 1), smallest(made[SECOND], THRESHOLD - SECOND + 1)
+        made = ranks(x, (FIRST, SECOND, THRESHOLD) if deep else (FIRST,))
+        rank, *deeper = (smallest(h, THRESHOLD - length + 1) for length, h in made.items())
         new = inside.copy()
         new[1:] &= (rank[1:] != rank[:-1]) | (part[1:] != part[:-1])
         start = np.flatnonzero(new)
@@ -146,24 +151,26 @@ def _cells(bucket: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
 
 def _joined(table: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """The arrays in a binary column one after another, and the length of each."""
-    parts = [np.frombuffer(b, kind) for b in table.column(name).to_pylist()]
-    return (np.concatenate(parts) if parts else np.zeros(0, kind)), np.array([len(p) for p in parts], np.int64)
+    data, bounds = text_bytes(table.column(name).cast(pa.large_binary()))
+    return data.view(kind), np.diff(bounds) // np.dtype(kind).itemsize
 
 
-def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes as ``kept``, for every document."""
+def repeated(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, the kept bytes as ``kept``, for every document."""
     blocks = max(LEAST_BLOCKS, input_bytes(docs) // BLOCK_BYTES)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
 
     def first_ranks(key, table):
         ids, data, bounds = _texts(table)
-        found = [(rank, row) for _, _, _, rank, _, row, _ in runs(data, bounds)]
+        found = [(rank, row) for _, _, _, rank, _, row, _ in runs(data, bounds, deep=False)]
         rank, row = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, U64), np.zeros(0, np.int64))
         order = np.lexsort((row, rank))
         rank, row = rank[order], row[order]
         begin = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1]))) if len(rank) else np.zeros(0, np.int64)
-        several = (row[np.append(begin[1:], len(rank)) - 1] != row[begin]) if len(rank) else np.zeros(0, bool)
+        end = np.append(begin[1:], len(rank)) if len(rank) else begin
+        several = np.minimum(end - begin, ONE_DOCUMENT - 1).astype(np.uint16)
+        several[row[end - 1] == row[begin]] |= ONE_DOCUMENT
         rank = rank[begin]
         cells = _cells(_bucket(rank, blocks), blocks)
         return pa.table({
@@ -175,13 +182,14 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     def not_unique(table):
         rank, sizes = _joined(table, "ranks", U64)
-        several, _ = _joined(table, "several", np.bool_)
+        several, _ = _joined(table, "several", np.uint16)
         order = np.argsort(rank, kind="stable")
         begin = np.flatnonzero(np.concatenate(([True], rank[order][1:] != rank[order][:-1])))
         count = np.diff(np.append(begin, len(rank)))
-        shared = (count > 1) | np.logical_or.reduceat(several[order], begin)
-        keep, crowded = np.zeros(len(rank), bool), np.zeros(len(rank), bool)
-        keep[order], crowded[order] = np.repeat(shared, count), np.repeat(count > CROWDED, count)
+        shared = (count > 1) | (several[order][begin] < ONE_DOCUMENT)
+        total = np.add.reduceat((several[order] & (ONE_DOCUMENT - 1)).astype(np.int64), begin)
+        keep, crowded = np.zeros(len(rank), bool), np.zeros(len(rank), np.uint8)
+        keep[order], crowded[order] = np.repeat(shared, count), np.repeat((total > CROWDED).astype(np.uint8) + (total > PACKED), count)
         ends = np.cumsum(sizes)
         cells = [(b, slice(e - n, e)) for b, n, e in zip(table.column("block").to_pylist(), sizes.tolist(), ends.tolist()) if keep[e - n : e].any()]
         return pa.table({
@@ -192,7 +200,7 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     def shared_runs(key, left, right):
         known, _ = _joined(right, "ranks", U64)
-        crowded, _ = _joined(right, "crowded", np.bool_)
+        crowded, _ = _joined(right, "crowded", np.uint8)
         order = np.argsort(known)
         known, crowded = known[order], crowded[order]
         ids, data, bounds = _texts(left)
@@ -203,19 +211,20 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
             place = np.minimum(np.searchsorted(known, rank), len(known) - 1)
             hit = np.flatnonzero(known[place] == rank)
             start, windows, rank, row, at, full = start[hit], windows[hit], rank[hit], row[hit], at[hit], crowded[place[hit]]
+            mark = ~U64(3)  # the last bits tell the level of a rank
             if full.any():  # rerank window by window, and join neighbours of the same rank
                 own = np.flatnonzero(full)
                 reps = windows[own]
                 step = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
                 place_, owner = np.repeat(start[own], reps) + step, np.repeat(own, reps)
-                longer = deeper[place_] | U64(1)
+                longer = np.where(full[owner] > 1, deeper[1][place_] & mark | U64(2), deeper[0][place_] & mark | U64(1))
                 new = np.concatenate(([True], (longer[1:] != longer[:-1]) | (owner[1:] != owner[:-1])))
                 head = np.flatnonzero(new)
                 extra = (place_[head], np.diff(np.append(head, len(place_))), longer[head], row[owner[head]], (at[owner] + step)[head])
-                keep = ~full
-                start, windows, rank, row, at = (np.concatenate((a[keep], b)) for a, b in zip((start, windows, rank & ~U64(1), row, at), extra))
+                keep = full == 0
+                start, windows, rank, row, at = (np.concatenate((a[keep], b)) for a, b in zip((start, windows, rank & mark, row, at), extra))
             else:
-                rank = rank & ~U64(1)
+                rank = rank & mark
             # Long runs of periodic text come in parts.
             most = 256
             cut = -(-windows // most)
@@ -232,6 +241,7 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
             return pa.table({n: pa.array([], k) for n, k in zip(names, kinds)})
         rank, whole, doc, at, windows, size = (np.concatenate([p[k] for p in parts]) for k in range(6))
         body = np.concatenate([p[6] for p in parts])
+        parts.clear()
         base = np.cumsum(size) - size
         order = np.lexsort((doc, whole, rank))
         rank, whole, doc, at, windows, size, base = (a[order] for a in (rank, whole, doc, at, windows, size, base))
@@ -313,7 +323,7 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
         kept = [data[s:e][~gone[s:e]].tobytes() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         return pa.table({
             "doc_id": pa.array(ids), "n_bytes": pa.array(np.diff(bounds)), "n_removed": pa.array(total(gone)), "n_spans": pa.array(total(first)),
-            "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "kept": pa.array(kept, pa.binary()),
+            "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), **({"kept": pa.array(kept, pa.binary())} if texts else {}),
         })
 
     sent = rows.groupBy("block").applyInArrow(first_ranks, "bucket long, block long, ranks binary, several binary")
@@ -324,11 +334,11 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     gone = found.where("bucket >= 0").groupBy("bucket").applyInArrow(same_windows, "block long, docs binary, starts binary, windows binary")
     gone = scratch.save(gone.union(found.where("bucket < 0").select("block", "docs", "starts", "windows")), "gone")
     scratch.drop("runs")
-    return rows.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated(documents(spark, sf_dir), Scratch(spark, "op2")).drop("kept")
+    return repeated(documents(spark, sf_dir), Scratch(spark, "op2"), texts=False)
 
 
 QUERIES = {"op2_suffix_dedup": op2_suffix_dedup}

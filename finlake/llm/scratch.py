@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that a NumPy kernel looks at together; bounds its temporary arrays.
 BLOCK_BYTES = 1 << 20
 
-_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a step that writes a table: its shuffle files go at once, and Arrow batches stay small however long the texts.
+_STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -39,15 +40,17 @@ class Scratch:
 
     def save(self, df: DataFrame, table: str, coalesce: int | None = None) -> DataFrame:
         conf = self.spark.conf
-        before = conf.get(_SHUFFLE_CLEANUP, None)
-        conf.set(_SHUFFLE_CLEANUP, "true")
+        before = {key: conf.get(key, None) for key in _STEP}
+        for key, value in _STEP.items():
+            conf.set(key, value)
         try:
             (df.coalesce(coalesce) if coalesce else df).write.mode("overwrite").parquet(f"{self.path}/{table}")
         finally:
-            if before is None:
-                conf.unset(_SHUFFLE_CLEANUP)
-            else:
-                conf.set(_SHUFFLE_CLEANUP, before)
+            for key, value in before.items():
+                if value is None:
+                    conf.unset(key)
+                else:
+                    conf.set(key, value)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{table}")
 
     def drop(self, *tables: str) -> None:
