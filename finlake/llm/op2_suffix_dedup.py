@@ -122,7 +122,8 @@ def runs(data: np.ndarray, bounds: np.ndarray, deep: bool = True):
         windows = np.bincount(label[inside], minlength=len(start))
         row, base, at = (np.array(c) for c in list(zip(*lot))[:3])
         first = ends - np.array([e - s for _, _, s, e in lot])
-        yield x, start, windows, rank[start], deeper, row[part[start]], start - first[part[start]] + base[part[start]]
+        # Smallest hashes lie close together; mixed, they spread over all buckets.
+        yield x, start, windows, mix(rank[start]), deeper, row[part[start]], start - first[part[start]] + base[part[start]]
 
 
 def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,7 +218,7 @@ def repeated(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame
                 reps = windows[own]
                 step = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
                 place_, owner = np.repeat(start[own], reps) + step, np.repeat(own, reps)
-                longer = np.where(full[owner] > 1, deeper[1][place_] & mark | U64(2), deeper[0][place_] & mark | U64(1))
+                longer = np.where(full[owner] > 1, mix(deeper[1][place_]) & mark | U64(2), mix(deeper[0][place_]) & mark | U64(1))
                 new = np.concatenate(([True], (longer[1:] != longer[:-1]) | (owner[1:] != owner[:-1])))
                 head = np.flatnonzero(new)
                 extra = (place_[head], np.diff(np.append(head, len(place_))), longer[head], row[owner[head]], (at[owner] + step)[head])
