@@ -53,10 +53,11 @@ def test_op2_edges(spark, edge, empty):
     assert op2_rows(empty, spark) == {}
 
 
-@pytest.mark.parametrize("crowded, piece", [(2000, 1 << 19), (1, 700)])
-def test_op2_brute_force(spark, crowded, piece, monkeypatch):
-    """Also where every shared rank is reranked and texts come in many parts."""
+@pytest.mark.parametrize("crowded, packed, piece", [(2000, 1 << 18, 1 << 19), (1, 1 << 18, 700), (1, 1, 700), (1, 4, 700)])
+def test_op2_brute_force(spark, crowded, packed, piece, monkeypatch):
+    """Also where every shared rank is reranked, to either level, and texts come in many parts."""
     monkeypatch.setattr(op2, "CROWDED", crowded)
+    monkeypatch.setattr(op2, "PACKED", packed)
     monkeypatch.setattr(op2, "PIECE_BYTES", piece)
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 90")
     assert op2_rows(docs, spark) == removed(texts(docs))
