@@ -5,15 +5,24 @@ A turn is written ``### <role>: <text></turn>\\n``; inside roles and texts
 ``\\h`` and ``\\c``, so no text can end a turn or begin one, and replacing back in
 the order l, h, c, s restores it.
 
-A turn costs a quarter of its escaped bytes, rounded up, and TURN_TOKENS. A
+A turn costs a quarter of its escaped bytes, rounded up, and TURN_TOKENS, or a
+quarter of the bytes of its head and end where a long role makes them more. A
 prefix sum of costs puts each turn into the window that its start falls in,
 windows being STRIDE tokens apart; so a window holds whole turns, of less than
 STRIDE tokens before its last turn. Later windows repeat the conversation's
 leading system turn and the turns that began at most HISTORY tokens before the
 window's first (HISTORY < STRIDE, so only from the window before). The loss
 mask covers the text of assistant turns in the window they belong to; repeated
-ones are masked out, so each target counts once. BUDGET holds all: system,
-history, and the stride with its closing turn.
+ones are masked out, so each target counts once.
+
+BUDGET holds all. A window that would cost more is cut: its turns go on into the
+same window while they cost at most BUDGET less the system turn and HISTORY, and
+each cut repeats the system turn and as much of the history as fits. A turn that
+does not fit beside the system turn stands in a window of its own, without
+system turn and history. A turn (or system turn, which is then not repeated)
+above BUDGET by itself is such a window too, kept whole and marked ``over``; no
+other window costs more than BUDGET. ``window`` is the start of the window's
+first own turn.
 
 Turns are ordered by turn (null first), then role and text. Null texts and
 roles are empty. Prefix sums go by blocks of turns and then over the blocks, so
@@ -52,46 +61,81 @@ def unescape(text: Column) -> Column:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """conv_id, window, formatted, repeated (turns that lead the window and belong to another), loss: (start, length) in code points."""
+    """conv_id, window, formatted, repeated (turns that lead the window and belong to another), loss: (start, length) in code points, tokens, over (tokens above BUDGET)."""
     rows = turns.where("conv_id is not null").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-(2**62))).alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
     head = F.concat(F.lit("### "), escape(F.col("role"), role=True), F.lit(": "))
     rows = rows.withColumns({"head": head, "body": escape(F.col("text"))})
-    rows = rows.withColumns({"cost": F.ceil(F.octet_length("body") / 4) + TURN_TOKENS, "block": F.floor(F.col("turn") / BLOCK_TURNS)})
-    # Prefix sums and places: within blocks of turns, then over the blocks.
-    in_block = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    before = in_block.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"own": F.coalesce(F.sum("cost").over(before), F.lit(0)), "place": F.row_number().over(in_block)})
-    blocks = rows.groupBy("conv_id", "block").agg(F.sum("cost").alias("cost"), F.count("*").alias("n"))
+    marks = F.greatest(F.lit(TURN_TOKENS), F.ceil((F.octet_length("head") + len(TAIL)) / 4))
+    rows = rows.withColumns({"cost": F.ceil(F.octet_length("body") / 4) + marks, "block": F.floor(F.col("turn") / BLOCK_TURNS)})
+    # Prefix sums: within blocks of turns, then over the blocks.
+    before = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("own", F.coalesce(F.sum("cost").over(before), F.lit(0)))
+    blocks = rows.groupBy("conv_id", "block").agg(F.sum("cost").alias("cost"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("conv_id", "block", F.coalesce(F.sum("cost").over(earlier), F.lit(0)).alias("base"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    rows = rows.join(blocks, ["conv_id", "block"]).select("conv_id", "role", "head", "body", (F.col("base") + F.col("own")).alias("start"), (F.col("first") + F.col("place")).alias("place"))
-    rows = rows.withColumn("window", F.floor(F.col("start") / STRIDE))
+    blocks = blocks.select("conv_id", "block", F.coalesce(F.sum("cost").over(earlier), F.lit(0)).alias("base"))
+    rows = rows.join(blocks, ["conv_id", "block"]).select("conv_id", "role", "head", "body", "cost", (F.col("base") + F.col("own")).alias("start"))
+    # Every turn costs something, so only the first starts at 0.
+    rows = rows.withColumns({"window": F.floor(F.col("start") / STRIDE), "leads": (F.col("start") == 0) & (F.col("role") == "system")})
     # Where the next window begins, if there is one right after.
     windows = rows.groupBy("conv_id", "window").agg(F.min("start").alias("begins"))
     nexts = windows.select("conv_id", (F.col("window") - 1).alias("window"), F.col("begins").alias("next_begins"))
     rows = rows.join(nexts, ["conv_id", "window"], "left")
-    leads = (F.col("place") == 1) & (F.col("role") == "system")
-    again = (F.col("next_begins") - F.col("start") <= HISTORY) & ~leads
+    again = (F.col("next_begins") - F.col("start") <= HISTORY) & ~F.col("leads")
+    turn = ("conv_id", "role", "head", "body", "cost", "start", "leads")
     parts = rows.select(
-        "conv_id", "role", "head", "body", "place",
+        *turn,
         F.explode(F.when(again, F.array(F.struct("window", F.lit(False).alias("repeated")), F.struct((F.col("window") + 1).alias("window"), F.lit(True).alias("repeated")))).otherwise(F.array(F.struct("window", F.lit(False).alias("repeated"))))).alias("w"),
-    ).select("conv_id", "role", "head", "body", "place", "w.*")
-    systems = rows.where(leads).select("conv_id", "role", "head", "body", "place").join(windows.where("window > 0").select("conv_id", "window"), "conv_id")
+    ).select(*turn, "w.*")
+    systems = rows.where(F.col("leads") & (F.col("cost") <= BUDGET)).select(*turn).join(windows.where("window > 0").select("conv_id", "window"), "conv_id")
     parts = parts.unionByName(systems.withColumn("repeated", F.lit(True)))
-    # Text and mask of each window.
-    piece = F.concat("head", "body", F.lit(TAIL))
-    until = Window.partitionBy("conv_id", "window").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("piece", piece).withColumn("at", F.coalesce(F.sum(F.length("piece")).over(until), F.lit(0)))
-    target = (F.col("role") == "assistant") & ~F.col("repeated")
-    mask = F.when(target, F.struct((F.col("at") + F.length("head")).alias("start"), F.length("body").alias("length")))
-    return parts.groupBy("conv_id", "window").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda x: x["piece"]), "").alias("formatted"),
-        F.sum(F.col("repeated").cast("int")).alias("repeated"),
-        F.array_sort(F.collect_list(mask)).alias("loss"),
-    )
+    piece = F.struct(
+        "start", "cost", "leads", "repeated", (F.col("role") == "assistant").alias("target"), F.length("head").alias("head"), F.length("body").alias("body"),
+        F.concat("head", "body", F.lit(TAIL)).alias("text"),
+    )
+    cells = parts.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(piece)).alias("turns"), F.sum("cost").alias("all"), F.sum(F.when(F.col("leads"), F.col("cost")).otherwise(0)).alias("lead"))
+    # Starts of windows: the first own turn's, and where a window is cut.
+    own = F.filter("turns", lambda x: ~x["repeated"])
+    cells = cells.select("conv_id", "turns", "lead", F.when(F.col("all") <= BUDGET, F.slice(F.transform(own, lambda x: x["start"]), 1, 1)).otherwise(_cuts(own, F.col("lead"))).alias("cuts"))
+    cells = cells.select("conv_id", "turns", "lead", "cuts", F.posexplode("cuts").alias("n", "window"))
+    cells = cells.select("conv_id", "window", "turns", F.when(F.col("window") == 0, 0).otherwise(F.col("lead")).alias("lead"), F.coalesce(F.get("cuts", F.col("n") + 1), F.lit(2**62)).alias("ends"))
+    inside = lambda x: (x["start"] >= F.col("window")) & (x["start"] < F.col("ends"))
+    cells = cells.withColumn("left", BUDGET - F.col("lead") - _total(F.filter("turns", inside)))
+    history = lambda x: (x["start"] < F.col("window")) & (F.col("window") - x["start"] <= F.least(F.lit(HISTORY), F.col("left")))
+    cells = cells.select("conv_id", "window", F.filter("turns", lambda x: inside(x) | ((F.col("left") >= 0) & (x["leads"] | history(x)))).alias("turns"))
+    return cells.select(
+        "conv_id", "window",
+        F.array_join(F.transform("turns", lambda x: x["text"]), "").alias("formatted"),
+        F.size(F.filter("turns", lambda x: x["start"] < F.col("window"))).cast("long").alias("repeated"),
+        _loss(F.col("turns"), F.col("window")).alias("loss"), _total(F.col("turns")).alias("tokens"), (_total(F.col("turns")) > BUDGET).alias("over"),
+    )
+
+
+def _total(turns: Column) -> Column:
+    return F.aggregate(turns, F.lit(0).cast("long"), lambda n, x: n + x["cost"])
+
+
+def _cuts(own: Column, lead: Column) -> Column:
+    """Starts of the windows that ``own`` turns are cut into; at most STRIDE / TURN_TOKENS and one turns come here."""
+
+    def step(a: Column, x: Column) -> Column:
+        # Only the leading turn leaves nothing spent in an open window.
+        fits = F.when(a["spent"] > 0, a["spent"] + x["cost"] <= BUDGET - HISTORY - lead).otherwise(lead + x["cost"] <= BUDGET) & (F.size(a["cuts"]) > 0)
+        cost = F.when(x["leads"], 0).otherwise(x["cost"])
+        return F.struct(F.when(fits, a["spent"] + cost).otherwise(cost).alias("spent"), F.when(fits, a["cuts"]).otherwise(F.concat(a["cuts"], F.array(x["start"]))).alias("cuts"))
+
+    return F.aggregate(own, F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<bigint>").alias("cuts")), step, lambda a: a["cuts"])
+
+
+def _loss(turns: Column, window: Column) -> Column:
+    def step(a: Column, x: Column) -> Column:
+        mask = F.struct((a["at"] + x["head"]).alias("start"), x["body"].alias("length"))
+        return F.struct((a["at"] + F.length(x["text"])).alias("at"), F.when(x["target"] & (x["start"] >= window), F.concat(a["loss"], F.array(mask))).otherwise(a["loss"]).alias("loss"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:int>>").alias("loss"))
+    return F.aggregate(turns, zero, step, lambda a: a["loss"])
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -68,6 +68,32 @@ def test_op1_windows(spark):
     assert targets == [t for _, _, r, t in rows if r == "assistant"]
 
 
+def test_op1_no_window_is_over_budget(spark):
+    say = lambda tokens: "w" * (4 * (tokens - op1.TURN_TOKENS))
+    costs = {
+        1: [100] + [1000, 900] * 5,  # windows of the plain stride would hold 2380 and more
+        2: [5000] + [300] * 20,  # a system turn above the budget
+        3: [1500] + [300, 40, 20] * 8,  # one that leaves little room
+        4: [100, 200, 3000, 200, 200],  # a turn above the budget
+        5: [200, 1900, 30, 10],  # a turn that does not fit beside the system turn
+        6: [700] + [30] * 30 + [1000] * 3,
+    }
+    rows = [(c, i, "assistant" if i % 2 else "user" if i else "system", say(n)) for c, all_costs in costs.items() for i, n in enumerate(all_costs)]
+    rows += [(7, i, "r" * 3000, "x") for i in range(9)]  # heads cost too
+    found = op1.format_chats(chat(spark, rows)).orderBy("conv_id", "window").collect()
+    back = op1.read_back(op1.format_chats(chat(spark, rows))).orderBy("conv_id", "window").collect()
+    assert [(t["role"], t["text"]) for r in back for t in r["turns"]] == [(role, text) for _, _, role, text in rows]
+    assert [x for r in back for x in r["targets"]] == [text for _, _, role, text in rows if role == "assistant"]
+    for w, b in zip(found, back):
+        assert b["turns"] and w["over"] == (w["tokens"] > op1.BUDGET) and len(w["formatted"]) / 4 <= w["tokens"]
+        assert not w["over"] or (w["repeated"] == 0 and len(b["turns"]) == 1)
+        system = costs.get(w["conv_id"], [op1.BUDGET])[0]
+        own = w["tokens"] if not w["repeated"] else sum(len(t["text"]) // 4 + op1.TURN_TOKENS for t in b["turns"])
+        assert (w["formatted"].startswith("### system: ")) == (w["window"] == 0 or system + own <= op1.BUDGET) or w["conv_id"] == 7
+    assert [(w["conv_id"], w["tokens"]) for w in found if w["over"]] == [(2, 5000), (4, 3000)]
+    assert [(w["window"], w["tokens"], w["repeated"]) for w in found if w["conv_id"] == 5] == [(0, 200, 0), (200, 1900, 0), (2100, 240, 1)]
+
+
 def test_op1_uses_no_python(spark):
     plan = op1.op1_chat(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
