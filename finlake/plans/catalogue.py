@@ -17,7 +17,8 @@ from finlake.operators.keyed import merged
 from finlake.operators.quality import accepted_values, not_null, orphan_rate, same_count, unique
 from finlake.operators.routing import dead_letters, high_watermark, is_ready, normalised_partitions, route, watermark_rows
 from finlake.plans import checks, gold, serving, silver
-from finlake.sources.adapters import Bronze
+from finlake.sources.adapters import Bronze, settled, streamed
+from finlake.sources.jsonl import residual
 
 #: The settled part ends here where a query needs both parts; a nightly run's day; the dashboard's today.
 SETTLED_UNTIL, RUN_DATE, TODAY = "2024-01-20", "2024-01-15", "2024-01-31"
@@ -127,6 +128,12 @@ def _cutover(w: Warehouse) -> DataFrame:
     return cutover(batch, stream, "composite_pk").select(*BRONZE_TX, "promo_code_id")
 
 
+def _cutover_all(w: Warehouse) -> DataFrame:
+    """The batch of all days over what the stream left in the partitions that the batch touches."""
+    batch = settled(w.bronze.transactions)
+    return cutover(batch, residual(streamed(w.bronze.transactions), "event_day", batch, batch), "composite_pk").select(*BRONZE_TX, "promo_code_id")
+
+
 def _counts(w: Warehouse) -> DataFrame:
     """Both sides of the reconciliation; the check itself returns nothing when they agree."""
     differs = same_count(w.bronze.transactions, w.tx, "composite_pk", "ingested_at").agg(F.count("*").alias("failures"))
@@ -171,6 +178,7 @@ WAREHOUSE_QUERIES: dict[str, Query] = {
     "unified_purchases": Warehouse.unified_purchases,
     "unified_cancellations": Warehouse.unified_cancellations,
     "cutover_merge": _cutover,
+    "cutover_merge_all": _cutover_all,
     "route_on_time": lambda w: w.late()[0].select(*BRONZE_TX),
     "route_late": lambda w: w.late()[1].select(*BRONZE_TX),
     "dlq_late_events": lambda w: dead_letters(w.late()[1], "transactions", "composite_pk", "event_day").drop("payload_json"),
@@ -334,6 +342,11 @@ FROM tx WHERE promo_code_id IS NOT NULL AND NOT is_test_user GROUP BY event_day"
   SELECT *, 0 AS origin FROM bronze_tx WHERE created_at % 2 = 0 UNION ALL
   SELECT * REPLACE ('stream-' || status AS status, ingested_at + INTERVAL 5 DAY AS ingested_at, NULL AS promo_code_id), 1 FROM bronze_tx)
 WHERE event_day = '{RUN_DATE}' QUALIFY row_number() OVER (PARTITION BY composite_pk ORDER BY origin, ingested_at DESC) = 1""",
+    "cutover_merge_all": f"""SELECT {_BRONZE_SHOWN}, promo_code_id FROM (
+  SELECT *, 0 AS origin FROM bronze_tx WHERE status <> 'pending' UNION ALL
+  SELECT * REPLACE ('stream-' || status AS status, ingested_at + INTERVAL 5 DAY AS ingested_at, NULL AS promo_code_id), 1 FROM bronze_tx
+  WHERE event_day IN (SELECT event_day FROM bronze_tx WHERE status <> 'pending'))
+QUALIFY row_number() OVER (PARTITION BY composite_pk ORDER BY origin, ingested_at DESC) = 1""",
     "route_on_time": f"SELECT {_BRONZE_SHOWN} FROM bronze_tx WHERE event_day > '{SETTLED_UNTIL}'",
     "route_late": f"SELECT {_BRONZE_SHOWN} FROM bronze_tx WHERE event_day <= '{SETTLED_UNTIL}'",
     "dlq_late_events": f"SELECT 'transactions|' || composite_pk AS dlq_pk, 'transactions' AS source_table, 'late_partition_owned_by_batch' AS reason, event_day AS event_day_observed FROM bronze_tx WHERE event_day <= '{SETTLED_UNTIL}'",

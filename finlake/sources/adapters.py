@@ -43,6 +43,16 @@ def redelivered(events: DataFrame) -> DataFrame:
     return again.withColumns({"status": F.lit("failed"), "loaded_at": F.col("loaded_at") + F.expr("INTERVAL 1 DAY")})
 
 
+def settled(bronze: DataFrame) -> DataFrame:
+    """The batch's side of a cutover, of all days: it takes what is final, so pending transactions are with the stream only."""
+    return bronze.where("status <> 'pending'")
+
+
+def streamed(bronze: DataFrame) -> DataFrame:
+    """The stream's side, of all days: every row, marked in its status, five days newer and without promo codes."""
+    return bronze.withColumns({"status": F.concat(F.lit("stream-"), "status"), "ingested_at": F.col("ingested_at") + F.expr("INTERVAL 5 DAYS")}).drop("promo_code_id")
+
+
 def users(customer: DataFrame) -> DataFrame:
     return customer.select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("u-"), F.col("c_custkey").cast("string")).alias("user_uuid"), (F.col("c_acctbal") < 0).alias("is_test_user"))
 

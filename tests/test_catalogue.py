@@ -11,3 +11,12 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query_agrees_with_sql(name, spark, duck):
     same_rows(catalogue.QUERIES[name](spark, SF).toPandas(), duck.execute(catalogue.ORACLE[name]).df())
+
+
+def test_cutover_merges_every_day(spark):
+    """Each day keeps every key, and has rows of both sides."""
+    found = catalogue.QUERIES["cutover_merge_all"](spark, SF).toPandas()
+    every = catalogue.QUERIES["upsert_latest"](spark, SF).toPandas()
+    assert sorted(found["composite_pk"]) == sorted(every["composite_pk"]) and every["event_day"].nunique() > 1
+    sides = found["status"].str.startswith("stream-").groupby(found["event_day"]).agg(["any", "all"])
+    assert set(sides.index) == set(every["event_day"]) and sides["any"].all() and not sides["all"].any()
