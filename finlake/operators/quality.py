@@ -37,6 +37,11 @@ def orphan_rate(children: DataFrame, parents: DataFrame, child: str, parent: str
     return got.withColumn("orphan_pct", F.try_divide(F.col("orphan_cnt") * 100.0, F.col("total")))
 
 
+def orphans_above(rate: DataFrame, more_than: int = 100, pct: float = 99.0) -> DataFrame:
+    """The row of ``orphan_rate`` where more than ``more_than`` children have more than ``pct`` % of orphans; few children prove nothing."""
+    return rate.where((F.col("total") > more_than) & (F.col("orphan_pct") > pct))
+
+
 def run(tests: dict[str, tuple[str, Callable[[], DataFrame]]]) -> dict[str, int]:
     """Runs name -> (severity, test); returns the failures of severity ``warn`` and raises on others."""
     found = {name: (severity, n) for name, (severity, test) in tests.items() if (n := test().count())}

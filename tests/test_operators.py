@@ -154,6 +154,16 @@ def test_quality(spark):
     assert rows(quality.orphan_rate(children, spark.createDataFrame([(1,), (1,)], "p long"), "c", "p")) == [(4, 2, 50.0)]
 
 
+def test_orphan_threshold(spark):
+    def failures(orphans: int, known: int) -> dict:
+        children = spark.range(orphans).selectExpr("-1 - id as c").union(spark.range(known).selectExpr("1L as c"))
+        rate = quality.orphan_rate(children, spark.createDataFrame([(1,)], "p long"), "c", "p")
+        return quality.run({"orphans": (quality.WARN, lambda: quality.orphans_above(rate))})
+
+    assert failures(101, 0) == {"orphans": 1} and failures(199, 1) == {"orphans": 1}
+    assert failures(100, 0) == {} and failures(99, 1) == {} and failures(198, 2) == {} and failures(5, 200) == {} and failures(0, 0) == {}
+
+
 def test_declared_tests():
     n = [len(c.not_null) + len(c.unique) + len(c.accepted) for c in checks.DECLARED.values()]
     assert sum(n) == 69  # promo_codes_analysis has no clock column
