@@ -6,8 +6,12 @@ length. Each language has up to CENTROIDS unit centroids from spherical k-means
 over a bounded sample (about PER_LANGUAGE rows of each language, texts up to
 SAMPLE_TEXT_BYTES; all other steps read whole texts of all rows). A text takes
 the language of the centroid with the largest cosine, which is the score. Where
-the cosine falls below the language's rejection limit (its sample's smallest,
-less a margin), the text is too far from all that was learned: ``rejected``.
+the cosine falls below the language's rejection limit, the text is too far from
+all that was learned: ``rejected``. The limit is MARGIN times a low quantile of
+the cosines of one in HELD rows of the language's sample, held back from the
+centroids that they are compared with, so a few odd rows do not set it. Texts
+under SHORT bytes meet few n-grams of any centroid, so theirs falls with the
+root of their bytes: one word of a learned language is no reason to reject.
 
 A text that is null or has no letter: ``und``, score 0, rejected. Without any
 row to learn from, every text is ``und``. Rows without a doc_id are left out;
@@ -28,8 +32,10 @@ from finlake.llm.sampling import texts_by
 from finlake.llm.scratch import arrow_map, documents, in_sample
 
 BUCKETS, ORDERS, CENTROIDS, PER_LANGUAGE = 4096, (1, 2, 3), 4, 400
-#: A rejection limit is this share of the smallest cosine in a language's sample.
-MARGIN = 0.3
+#: A rejection limit is MARGIN times the LOW quantile of the cosines of held-back rows.
+LOW, MARGIN, HELD, SHORT = 0.05, 0.5, 5, 64
+#: A language with fewer rows holds none back; its limit comes from the rows of its centroids.
+LEAST_ROWS = 25
 UNKNOWN = "und"
 
 
@@ -56,6 +62,12 @@ def _cluster(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return c
 
 
+def _limit(x: np.ndarray, seed: int) -> float:
+    held = np.arange(len(x)) % HELD == 0 if len(x) >= LEAST_ROWS else np.zeros(len(x), bool)
+    c = _cluster(x[~held], CENTROIDS, np.random.default_rng(seed))
+    return MARGIN * float(np.quantile((x[held if held.any() else ~held] @ c.T).max(axis=1), LOW))
+
+
 def fit(texts: list[str], langs: list[str], seed: int = 7) -> dict:
     """The model: idf, centroids, the language of each and the limits of rejection."""
     if not texts:
@@ -73,7 +85,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> dict:
             c = _cluster(own, CENTROIDS, rng)
             centroids.append(c)
             of += [name] * len(c)
-            limits += [MARGIN * float((own @ c.T).max(axis=1).min())] * len(c)
+            limits += [_limit(own, seed)] * len(c)
     return {"idf": idf, "langs": of, "limits": np.array(limits), "centroids": np.concatenate(centroids).astype(np.float32) if centroids else None}
 
 
@@ -96,7 +108,8 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             best = near.argmax(axis=1)
             score = np.where(has, np.clip(near.max(axis=1), 0, 1), 0.0).astype(float)
             lang = [m["langs"][b] if h else UNKNOWN for b, h in zip(best, has)]
-            rejected = ~has | (score < m["limits"][best])
+            size = np.diff(text_bytes(block.column("text"))[1])
+            rejected = ~has | (score < m["limits"][best] * np.sqrt(np.minimum(size / SHORT, 1)))
         return {"doc_id": block.column("doc_id"), "lang_pred": lang, "score": score, "rejected": rejected}
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))

@@ -93,6 +93,33 @@ def test_op7_rejects_other_scripts(spark):
     assert kept.columns == docs.columns and kept.count() > 0.98 * docs.count()
 
 
+def test_op7_rejects_unlearned_latin_text_and_noise(spark):
+    docs = spark.read.parquet(f"{LARGE}/documents.parquet")
+    model = op7.train(docs.where(op7.in_sample(docs["doc_id"])))
+    rng = np.random.default_rng(5)
+    far = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz   "), n)) for n in (80, 400, 5000) for _ in range(20)]
+    unlearned = (
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto. ",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem. ",
+        "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri. ",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler. ",
+    )
+    far += [t * n for t in unlearned for n in (1, 5)]
+    found = op7.predict(spark.createDataFrame(list(enumerate(far)), "doc_id long, text string"), model).toPandas()
+    assert len(found) == len(far) and found.rejected.all()
+    clean = op7.predict(docs.where(~op7.in_sample(docs["doc_id"])), model).toPandas()
+    short = docs.where("length(text) < 50").select("doc_id").toPandas().doc_id
+    assert clean.rejected.mean() < 0.005 and clean[clean.doc_id.isin(short)].rejected.mean() < 0.1
+
+
+def test_op7_limits_withstand_odd_rows():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma"], 30)) for _ in range(100)]
+    even = op7.fit(texts, ["x"] * 100)["limits"][0]
+    odd = op7.fit([*texts[:-2], "qq", "zzz"], ["x"] * 100)["limits"][0]
+    assert odd > 0.8 * even
+
+
 def test_op3_edges(spark, edge, empty):
     labels = spark.createDataFrame([(i, i % 2) for i in (4, 5, 6, 7, 9, 11, 14, 15)], "doc_id long, toxic int")
     model = op3.train(edge, labels)
