@@ -131,7 +131,7 @@ def mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
     )
     sized = scratch.save(sized, "sized")
     sources = scratch.save(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
-    goals = scratch.save(targets(sources, scratch), "targets", coalesce=1)
+    goals = scratch.save(targets(sources, scratch), "targets")
     counts = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     same = counts["source"].eqNullSafe(goals["source"])
     plan = counts.join(goals, same).select(counts["source"], "size", "n", "source_size", "target").groupBy("source").applyInPandas(_fit_source, "source string, size long, passes long, extra long")

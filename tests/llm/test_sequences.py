@@ -196,6 +196,22 @@ def test_op4_permutation():
     assert (a != b).mean() > 0.99 and abs(np.corrcoef(a, np.arange(5000))[0, 1]) < 0.1
 
 
+def test_op8_targets_of_many_sources_are_not_one_task(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "'two words' as text", "concat('s', id) as source")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "4k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    scratch = Scratch(spark, "t")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        op8.mix(docs, scratch)
+        held = spark.read.parquet(f"{scratch.path}/targets").groupBy(F.input_file_name()).count().toPandas()["count"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert held.sum() == 3000 and len(held) > 1
+
+
 @pytest.mark.parametrize("source", ["edge", "documents"])
 def test_op4_round_trip(spark, source, edge, encoder, tmp_path, monkeypatch):
     monkeypatch.setattr(op4, "SHARD", 16)  # several shards
@@ -299,4 +315,3 @@ def test_op8_mixed_repeats_rows(spark, edge):
     taken = {r["doc_id"]: r["taken"] // max(r["size"], 1) for r in op8.mix(docs, Scratch(spark, "t")).collect()}
     assert got.columns == docs.columns
     assert {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()} == {i: n for i, n in taken.items() if n}
-
