@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -12,10 +14,14 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Lower-cases A-Z only.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: One random 64-bit value per byte, and the odd base of the rolling hash.
+#: One random 64-bit value per byte.
 BYTE_CODE = np.random.default_rng(20240101).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-BASE = 0x9E3779B97F4A7C15 | 1
-_powers = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
+#: Keeps the first n bytes of a little-endian lane of 8.
+LANE = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+#: Bytes that a span is hashed in one after another; longer ones by parts of so many.
+PART = 64
+#: Bytes of a long text that a kernel looks at together.
+SLICE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,16 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, at least ``n`` of each."""
-    if len(_powers["up"]) < n:
-        for key, base in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
-            steps = np.full(n + n // 4 + 1024, base, U64)
-            steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, bounds): row ``i`` is bytes[bounds[i]:bounds[i + 1]]; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -69,12 +65,86 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, np.flatnonzero(last) + 1, np.searchsorted(bounds, start, "right") - 1
 
 
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on, as one number; zeros after the end."""
+    return np.ndarray((len(data),), U64, np.concatenate((data, np.zeros(8, np.uint8))), 0, (1,))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span data[start:end], the same wherever the span stands."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_CODE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each span data[start:end], the same wherever the span stands.
+
+    Lanes of 8 bytes go in one after another, each through the finaliser, so no
+    algebra of the bytes makes two spans agree. Of a span above PART bytes the
+    parts are hashed, then the row of their hashes.
+    """
+    size = end - start
+    out = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(0x2545F4914F6CDD1D))
+    long = np.flatnonzero(size > PART)
+    if len(long):
+        parts = -(-size[long] // PART)
+        ends = np.cumsum(parts)
+        own = np.repeat(long, parts)
+        at = start[own] + (np.arange(len(own)) - np.repeat(ends - parts, parts)) * PART
+        row = span_hashes(data, at, np.minimum(at + PART, end[own]))
+        out[long] = mix(out[long] ^ span_hashes(row.view(np.uint8), (ends - parts) * 8, ends * 8))
+    live = np.flatnonzero((size > 0) & (size <= PART))
+    at, left, lanes = start[live], size[live], _lanes(data)
+    while len(live):
+        out[live] = mix((out[live] ^ (lanes[at] & LANE[np.minimum(left, 8)])) * U64(0xA0761D6478BD642F) + U64(1))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from each ``a`` on are those from ``b`` on."""
+    out = np.ones(len(a), bool)
+    for i in np.flatnonzero((size > PART) & (a != b)).tolist():
+        out[i] = np.array_equal(data[a[i] : a[i] + size[i]], data[b[i] : b[i] + size[i]])
+    live = np.flatnonzero((size > 0) & (size <= PART) & (a != b))
+    a, b, left, lanes = a[live], b[live], size[live], _lanes(data)
+    while len(live):
+        out[live] &= ((lanes[a] ^ lanes[b]) & LANE[np.minimum(left, 8)]) == 0
+        more = left > 8
+        live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+    return out
+
+
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a span of each distinct content, number of the content of each span). Equal hashes are checked byte by byte."""
+    _, first, number = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+    size, rep = end - start, first[number]
+    same = size == size[rep]
+    same[same] = same_spans(data, start[same], start[rep][same], size[same])
+    if not same.all():  # two contents with one hash
+        raw, found = data.tobytes(), {}
+        number = np.array([found.setdefault(raw[s:e], len(found)) for s, e in zip(start.tolist(), end.tolist())], np.int64)
+        first = np.unique(number, return_index=True)[1]
+    return first, number
+
+
+def slices(data: np.ndarray, bounds: np.ndarray, limit: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, bounds) of the texts, cut at white space where they are long. All rows are in each slice, mostly empty."""
+    start = 0
+    while start < len(data) or start == 0:
+        end = len(data) if len(data) - start <= 2 * limit else start + limit
+        while end < len(data):
+            gaps = np.flatnonzero(SPACE[data[end : end + limit]])
+            if len(gaps):
+                end += int(gaps[0])
+                break
+            end = min(end + limit, len(data))
+        yield data[start:end], np.clip(bounds, start, end) - start
+        start = max(end, 1)
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every word."""
+    found = []
+    for part, at in slices(data, bounds):
+        start, end, row = words(part, at)
+        found.append((span_hashes(part, start, end), row))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def fold(parts: list[np.ndarray], seed: int) -> np.ndarray:
@@ -87,10 +157,9 @@ def fold(parts: list[np.ndarray], seed: int) -> np.ndarray:
 
 def shingles(data: np.ndarray, bounds: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of each run of ``width`` words, repeats included; a row with fewer words gives its whole sequence."""
-    start, end, row = words(data, bounds)
-    if not len(start):
+    hashed, row = word_hashes(data, bounds)
+    if not len(hashed):
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    hashed = span_hashes(data, start, end)
     n = len(hashed) - width + 1
     full = np.flatnonzero(row[: max(n, 0)] == row[width - 1 :]) if n > 0 else np.zeros(0, np.int64)
     out, at = [fold([hashed[full + k] for k in range(width)], width)], [row[full]]

@@ -1,16 +1,25 @@
 """Training-order materialisation: token sequences in a keyed random order, in fixed-stride binary shards.
 
-Documents are encoded, each closed by one END id, and the stream of a task's
-documents is cut into sequences of SEQUENCE ids; only the last of a task can be
-shorter. The sequences are numbered 0 to N - 1 (by task, then in order), and a
-keyed Feistel network permutes the numbers: it permutes a domain of a power of
-four, and values outside N walk on along their cycle until they fall inside, so
-every slot 0 to N - 1 is taken once and nothing is sorted or held to shuffle the
-corpus. Shard k holds the slots from k * SHARD on. Each shard is one range
-partition: it is sorted by slot and written as records of STRIDE bytes (length
-and crc32 as 4 bytes each, then ids as 2 bytes each, little-endian, zeros after
-the length), under another name first and renamed when complete, so a task can
-be run again. A reader resumes at any slot by seeking to slot % SHARD * STRIDE.
+Documents are dealt into blocks by a hash of id and text, about BLOCK_ROWS in
+each and MOST_BLOCKS at most, and sorted by id and text within a block. They are
+encoded, each closed by one END id, and the stream of a block is cut into
+sequences of SEQUENCE ids; only the last of a block can be shorter. The
+sequences are numbered 0 to N - 1 (by block, then in order), and a keyed Feistel
+network permutes the numbers: it permutes a domain of a power of four, and
+values outside N walk on along their cycle until they fall inside, so every slot
+0 to N - 1 is taken once and nothing is sorted or held to shuffle the corpus.
+Blocks, numbers and slots follow from the rows and the key alone: input splits,
+partitions and executors change no byte of a shard.
+
+Shard k holds the slots from k * SHARD on. Shards are written in WAVES ranges of
+slots, one after the other: the encoded rows are stored by wave, and a wave's
+rows and shuffle files go when its shards are written, so rows, shuffle and
+shards are never all on disk. Within a wave a task gets a range of whole shards,
+sorted by slot, and writes records of STRIDE bytes (length and crc32 as 4 bytes
+each, then ids as 2 bytes each, little-endian, zeros after the length), each
+shard under another name first and renamed when complete, so a task can be run
+again. A reader resumes at any slot by seeking to slot % SHARD * STRIDE in the
+shard's file, whose path is in the index.
 
 Null texts count as empty (one END id). Rows without a doc_id are left out;
 repeated rows are encoded each. Extra columns are ignored. An empty table makes
@@ -39,6 +48,8 @@ SEQUENCE, SHARD, KEY = 2048, 4096, 0x5EED2024
 HEADER = "<II"
 STRIDE = struct.calcsize(HEADER) + 2 * SEQUENCE
 ROUNDS = 6
+#: Rows of a block, about, and most blocks; slot ranges written in turn, and most tasks of one.
+BLOCK_ROWS, MOST_BLOCKS, WAVES, MOST_TASKS = 4096, 100_000, 4, 20_000
 
 PIECES = "array<struct<doc_id:long,start:long,length:long>>"
 
@@ -64,7 +75,7 @@ def feistel(numbers: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.n
 
 
 def sequences(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """part, n (place in the part), n_tokens, ids_crc32, payload (compressed ids), pieces."""
+    """part (a block), n (place in it), n_tokens, ids_crc32, payload (compressed ids), pieces."""
     schema = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("n_tokens", pa.int32()), ("ids_crc32", pa.int64()), ("payload", pa.binary()), ("pieces", pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])))])
 
     def run(batches):
@@ -107,68 +118,88 @@ def sequences(docs: DataFrame, tokenizer: str) -> DataFrame:
             held = np.array(rest_pieces, np.int64).reshape(-1, 3)
             yield out(rest, held[:, 0], held[:, 1], held[:, 2], last=True)
 
+    blocks = max(1, min(docs.count() // BLOCK_ROWS, MOST_BLOCKS))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.repartitionById(blocks, F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).sortWithinPartitions("doc_id", "text")
     return rows.mapInArrow(run, f"part int, n long, n_tokens int, ids_crc32 long, payload binary, pieces {PIECES}")
 
 
 def placed(made: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
-    """The rows with ``sequence`` (0 to N - 1) and ``slot``, and N. Only a count per task reaches the driver."""
+    """The rows with ``sequence`` (0 to N - 1), ``slot`` and ``wave``, and N. Only a count per block, MOST_BLOCKS at most, reaches the driver."""
     counts = {r["part"]: r["n"] for r in made.groupBy("part").agg(F.count("*").alias("n")).collect()}
     first, total = {}, 0
     for part in sorted(counts):
         first[part], total = total, total + counts[part]
+    shards = max(1, -(-total // SHARD))
 
     def run(batches):
         for batch in batches:
             part, n = batch.column("part").to_numpy(), batch.column("n").to_numpy()
             begin = np.array([first[p] for p in part.tolist()], np.int64)
             slot = feistel(begin + n, total, key) if len(n) else n
-            yield pa.RecordBatch.from_arrays([pa.array(begin + n), pa.array(slot), *[batch.column(c) for c in ("n_tokens", "ids_crc32", "payload", "pieces")]], names=["sequence", "slot", "n_tokens", "ids_crc32", "payload", "pieces"])
+            wave = slot // SHARD * WAVES // shards
+            yield pa.RecordBatch.from_arrays([pa.array(begin + n), pa.array(slot), *[batch.column(c) for c in ("n_tokens", "ids_crc32", "payload", "pieces")], pa.array(wave.astype(np.int32))], names=["sequence", "slot", "n_tokens", "ids_crc32", "payload", "pieces", "wave"])
 
-    return made.mapInArrow(run, f"sequence long, slot long, n_tokens int, ids_crc32 long, payload binary, pieces {PIECES}"), total
+    return made.mapInArrow(run, f"sequence long, slot long, n_tokens int, ids_crc32 long, payload binary, pieces {PIECES}, wave int"), total
 
 
 def shard_path(root: str, shard: int) -> str:
     return f"{root}/shard-{shard:08d}.bin"
 
 
-def write_shards(rows: DataFrame, total: int, root: str) -> DataFrame:
-    """Writes the shards under ``root`` (a folder all executors share) and returns where each sequence stands."""
-    shards = max(1, -(-total // SHARD))
-    names = ["sequence", "slot", "shard", "byte_offset", "n_tokens", "ids_crc32", "pieces"]
+def write_shards(rows: DataFrame, first: int, shards: int, root: str) -> DataFrame:
+    """Writes the ``shards`` shards from number ``first`` on under ``root`` (a folder all executors share), all of whose slots ``rows`` must hold, and returns where each sequence stands."""
+    names = ["sequence", "slot", "shard", "path", "byte_offset", "n_tokens", "ids_crc32", "pieces"]
 
     def run(batches):
         store, folder = fs.FileSystem.from_uri(root)
         store.create_dir(folder, recursive=True)
         stream, at, temporary, shard = None, 0, "", -1
+
+        def close():
+            if stream is not None:
+                stream.close()
+                store.move(temporary, shard_path(folder, shard))
+
         for batch in batches:
             slots = batch.column("slot").to_pylist()
             for slot, size, crc, payload in zip(slots, batch.column("n_tokens").to_pylist(), batch.column("ids_crc32").to_pylist(), batch.column("payload").to_pylist()):
-                if stream is None:
-                    shard = slot // SHARD
+                if slot // SHARD != shard:
+                    close()
+                    shard, at = slot // SHARD, 0
                     temporary = f"{shard_path(folder, shard)}.{TaskContext.get().taskAttemptId()}"
                     stream = store.open_output_stream(temporary)
-                assert slot == shard * SHARD + at, "a slot is missing"
+                if slot != shard * SHARD + at:
+                    raise ValueError(f"slot {shard * SHARD + at} is missing")
                 body = pa.decompress(payload, decompressed_size=2 * size, codec="zstd", asbytes=True)
                 stream.write(struct.pack(HEADER, size, crc) + body + bytes(2 * (SEQUENCE - size)))
                 at += 1
             slot = np.array(slots, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("sequence"), batch.column("slot"), pa.array(slot // SHARD), pa.array(slot % SHARD * STRIDE), batch.column("n_tokens"), batch.column("ids_crc32"), batch.column("pieces")], names=names)
-        if stream is not None:
-            stream.close()
-            store.move(temporary, shard_path(folder, shard))
+            paths = pa.array([shard_path(root, k) for k in (slot // SHARD).tolist()])
+            yield pa.RecordBatch.from_arrays([batch.column("sequence"), batch.column("slot"), pa.array(slot // SHARD), paths, pa.array(slot % SHARD * STRIDE), batch.column("n_tokens"), batch.column("ids_crc32"), batch.column("pieces")], names=names)
+        close()
 
-    ranged = rows.repartitionById(shards, F.expr(f"int(slot div {SHARD})")).sortWithinPartitions("slot")
-    return ranged.mapInArrow(run, f"sequence long, slot long, shard long, byte_offset long, n_tokens int, ids_crc32 long, pieces {PIECES}")
+    each = -(-shards // MOST_TASKS)
+    ranged = rows.repartitionById(-(-shards // each), F.expr(f"int((slot div {SHARD} - {first}) div {each})")).sortWithinPartitions("slot")
+    return ranged.mapInArrow(run, f"sequence long, slot long, shard long, path string, byte_offset long, n_tokens int, ids_crc32 long, pieces {PIECES}")
 
 
 def materialise(docs: DataFrame, tokenizer: str, scratch: Scratch, root: str, key: int = KEY) -> DataFrame:
     """Writes the shards of ``docs`` and returns their index, one row per sequence."""
     made = scratch.save(sequences(docs, tokenizer), "sequences")
     rows, total = placed(made, key)
-    index = scratch.save(write_shards(rows, total, root), "index")
+    scratch.save(rows, "waves", by="wave")
     scratch.drop("sequences")
-    return index
+    shards, found = max(1, -(-total // SHARD)), None
+    for wave in range(WAVES):
+        first, end = (-(-shards * w // WAVES) for w in (wave, wave + 1))  # the shards k with k * WAVES // shards = wave
+        if end > first:
+            schema = rows.drop("wave").schema
+            part = scratch.load(schema, f"waves/wave={wave}") if total else docs.sparkSession.createDataFrame([], schema)
+            index = scratch.save(write_shards(part, first, end - first, root), f"index{wave}")
+            found = index if found is None else found.unionByName(index)
+            scratch.drop(f"waves/wave={wave}")
+    return found
 
 
 def read_from(root: str, slot: int, total: int) -> Iterator[np.ndarray]:
@@ -187,8 +218,9 @@ def read_from(root: str, slot: int, total: int) -> Iterator[np.ndarray]:
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shards stay in a folder of their own under the shared one; the index names their paths."""
     scratch = Scratch(spark, "op4")
-    return materialise(documents(spark, sf_dir), public_tokenizer("word_bpe_49k.json"), scratch, f"{scratch.path}/shards")
+    return materialise(documents(spark, sf_dir), public_tokenizer("word_bpe_49k.json"), scratch, f"{scratch.path}-shards")
 
 
 QUERIES = {"op4_training_order": op4_training_order}

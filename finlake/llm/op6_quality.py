@@ -1,8 +1,10 @@
 """Quality rules: base counts and a hashed n-gram logistic regression.
 
-Base counts are exact, over the whole text. The classifier sees hashed words
-and hashed byte n-grams of 1 to 3 as log(1 + count), each kind scaled to unit
-length. It is fitted by gradient steps on a bounded sample of ``labels.quality``
+Base counts are over the whole text; lines and windows of words are equal when
+64-bit hashes of their contents are. The classifier sees hashed words and pairs
+of words, and hashed n-grams of 1 to 3 characters (code points), as log(1 +
+count), each kind scaled to unit length. A text above SLICE bytes is counted in
+slices, cut at white space; its character n-grams lie within them. It is fitted by gradient steps on a bounded sample of ``labels.quality``
 (about PER_CLASS rows of each label, texts up to SAMPLE_TEXT_BYTES), and its
 margin is turned into a probability on a fifth of that sample held back. Rows
 are scored in Arrow batches. A text is kept when no base rule fails and the
@@ -21,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlake.llm.features import blocks_of, char_counts, platt, sigmoid, word_counts
-from finlake.llm.kernels import SPACE, U64, fold, mix, span_hashes, text_bytes, words
+from finlake.llm.features import blocks_of, char_counts, code_points, platt, sigmoid, word_counts
+from finlake.llm.kernels import SPACE, U64, fold, mix, slices, span_hashes, text_bytes, word_hashes
 from finlake.llm.sampling import labelled_texts
 from finlake.llm.scratch import arrow_map, documents, in_sample
 
-WORD_BUCKETS, CHAR_BUCKETS, ORDERS, PER_CLASS = 4096, 4096, (1, 2, 3), 1200
+WORD_BUCKETS, CHAR_BUCKETS, ORDERS, PER_CLASS = 8192, 8192, (1, 2, 3), 1200
 #: Fixed thresholds of the rules.
 MIN_WORDS, MOST_REPEATED, KEEP, WINDOW = 10, 20, 0.3, 5
 SYMBOLS = np.zeros(256, bool)
@@ -48,14 +50,15 @@ def base_counts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     rows = len(bounds) - 1
 
     def per_row(flags: np.ndarray) -> np.ndarray:
+        if rows == 1:
+            return np.array([np.count_nonzero(flags)])
         sums = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
         return sums[bounds[1:]] - sums[bounds[:-1]]
 
-    start, end, row = words(data, bounds)
-    hashes = span_hashes(data, start, end)
+    hashes, row = word_hashes(data, bounds)
     n_words = np.bincount(row, minlength=rows)
-    repeated = np.zeros(len(start) + WINDOW, bool)
-    full = len(start) - WINDOW + 1
+    repeated = np.zeros(len(hashes) + WINDOW, bool)
+    full = len(hashes) - WINDOW + 1
     if full > 0:
         at = np.flatnonzero(row[:full] == row[WINDOW - 1 :])
         twice, _ = _more_than_once(fold([hashes[at + k] for k in range(WINDOW)], 1), row[at])
@@ -67,14 +70,14 @@ def base_counts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     begin = begin[begin < len(data)]
     stop = np.concatenate((begin[1:], [len(data)])) if len(begin) else begin
     stop = stop - ((stop > begin) & (data[np.maximum(stop - 1, 0)] == 0x0A)) if len(begin) else stop
-    full_words = np.concatenate(([0], np.cumsum(~SPACE[data], dtype=np.int64)))
-    worded = full_words[stop] > full_words[begin]
+    inside = ~SPACE[data]
+    worded = np.logical_or.reduceat(inside, begin) if len(begin) else np.zeros(0, bool)
     begin, stop = begin[worded], stop[worded]
     line_row = np.searchsorted(bounds, begin, "right") - 1
     _, later = _more_than_once(span_hashes(data, begin, stop), line_row)
     return {
         "n_words": n_words,
-        "word_chars": per_row(~SPACE[data] & ((data & 0xC0) != 0x80)),
+        "word_chars": per_row(inside & ((data & 0xC0) != 0x80)),
         "n_symbols": per_row(SYMBOLS[data]),
         "n_dup_lines": np.bincount(line_row[later], minlength=rows),
         "n_repeat_words": np.bincount(row[repeated[: len(row)]], minlength=rows),
@@ -82,7 +85,8 @@ def base_counts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    parts = [np.log1p(word_counts(data, bounds, WORD_BUCKETS)), np.log1p(char_counts(data, bounds, ORDERS, CHAR_BUCKETS))]
+    chars = sum(char_counts(*code_points(*part), ORDERS, CHAR_BUCKETS) for part in slices(data, bounds))
+    parts = [np.log1p(word_counts(data, bounds, WORD_BUCKETS)), np.log1p(chars)]
     parts = [p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9) for p in parts]
     return np.concatenate(parts, axis=1).astype(np.float32)
 

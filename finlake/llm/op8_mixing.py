@@ -1,12 +1,16 @@
 """Mixing sources to target weights by fitting a subset sum.
 
-A source's target is met in whole passes over it and a remaining budget. The
-budget is filled by number of documents of each exact length: the counts by
-length are lowered in proportion, the longest lengths first, with what rounding
-leaves carried on; a dynamic program over the bounded counts that are left then
-fits the last words (a knapsack of LEAST_ROOM words or four times the longest
-text, kept as bits of one integer). The documents of each length are the first by a seeded hash of
-their id, so reruns agree.
+A source's target is met by a number of copies of each exact length, MOST for
+each document at most. The copies by length are lowered in proportion, the
+longest lengths first, with what rounding leaves carried on. A dynamic program
+over the bounded counts then fits the remaining budget to the nearest sum there
+is, above or below: some copies are handed back, the shortest first, until the
+rest is a small number of words (ROOMS, one after another until a sum fits), and
+a knapsack finds what to take instead. It keeps one number for each sum up to
+the rest and at most the longest text more, whatever the number of lengths. A
+budget below the last of ROOMS is thus fitted over all documents. Copies of a
+length go to its documents evenly, the extra ones to the first by a seeded hash
+of their id, so reruns agree.
 
 Only counts by source and length reach the dynamic program, one source at a
 time; they are bounded by the number of lengths, not of documents. Ranks within
@@ -14,15 +18,17 @@ a length are found in hash ranges, so a third of all rows with one source and
 length is no task of its own.
 
 Null text: size 0, taken 0. A null source is a source, the last. Rows without a
-doc_id are left out. Texts of no words take part with size 0. Repeated rows are
-told apart by nothing and are taken alike. An empty table gives no rows. Extra
-columns are ignored.
+doc_id are left out. Texts of no words take part with size 0. Rows that repeat a
+doc_id are rows of their own; those that agree in all columns are told apart by
+nothing, and the mix has as many of them as all together are taken. An empty
+table gives no rows. Extra columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,62 +42,77 @@ BUDGET, MOST = 1.5, 2.0
 SEED = 20240607
 #: Documents of one source, length and hash range, about.
 RANGE_ROWS = 5000
-#: Words that the knapsack decides about, at least.
-LEAST_ROOM = 1 << 16
+#: Words that the knapsack decides about, in turn.
+ROOMS = (1 << 10, 1 << 13, 1 << 16)
+
+
+def _knapsack(weights: list[int], counts: list[int], goal: float, over: int) -> list[int]:
+    """How many of each weight to take for the sum nearest to ``goal``, at most ``over`` above it; the lower of two as near."""
+    limit = math.floor(goal) + over
+    first = np.full(limit + 1, -1, np.int32)  # the step that reached a sum first
+    first[0] = 0
+    exact = math.floor(goal) if goal - math.floor(goal) <= 0.5 or not over else math.ceil(goal)
+    steps: list[tuple[int, int]] = [(0, 0)]
+    for i in sorted(range(len(weights)), key=lambda i: weights[i]):
+        free, part = (min(counts[i], limit // weights[i]) if weights[i] > 0 else 0), 1
+        while free > 0 and first[exact] < 0:  # counts go in as powers of two
+            use = min(part, free)
+            steps.append((i, use))
+            move = use * weights[i]
+            new = (first[: limit + 1 - move] >= 0) & (first[move:] < 0)
+            first[move:][new] = len(steps) - 1
+            free, part = free - use, part * 2
+    sums = np.flatnonzero(first >= 0)
+    at = int(sums[np.argmin(np.abs(sums - goal))])
+    taken = [0] * len(weights)
+    while at:  # a sum was reached from one of an earlier step
+        i, use = steps[first[at]]
+        taken[i] += use
+        at -= use * weights[i]
+    return taken
 
 
-def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each length to take so that the words come to ``budget`` as nearly as they can from below."""
+def fit(lengths: list[int], counts: list[int], budget: float, above: bool = False) -> list[int]:
+    """How many of each length to take so that the words come nearest to ``budget``: from below or, if ``above``, from either side."""
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     total = sum(n * c for n, c in zip(lengths, counts))
-    taken = [0] * len(lengths)
+    start = [0] * len(lengths)
     if total <= 0 or budget <= 0:
-        return taken
+        return start
     if budget >= total:
         return list(counts)
     due = got = 0
+    whole = math.floor(budget)
     for i in order:
         if lengths[i] > 0:
             due += lengths[i] * counts[i]
-            want = budget * due // total - got
-            taken[i] = max(0, min(counts[i], want // lengths[i]))
-            got += taken[i] * lengths[i]
-    # Hand documents back, the shortest first, so that the program has room to change the sum.
-    rest = budget - got
-    room = max(4 * lengths[order[0]], LEAST_ROOM)
-    while rest <= room and any(taken):
-        for i in reversed(order):
-            if taken[i]:
-                taken[i] -= 1
-                rest += lengths[i]
-                if rest > room:
-                    break
-    # Bounded knapsack: bit k of ``reach`` tells that k more words can be had; counts go in as powers of two.
-    mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
-    for i in reversed(order):
-        free = min(counts[i] - taken[i], rest // lengths[i]) if lengths[i] > 0 else 0
-        part = 1
-        while free > 0:
-            use = min(part, free)
-            steps.append((i, use, reach))
-            reach |= (reach << (use * lengths[i])) & mask
-            free -= use
-            part *= 2
-        if reach >> rest & 1:
+            want = whole * due // total - got
+            start[i] = max(0, min(counts[i], want // lengths[i]))
+            got += start[i] * lengths[i]
+    best, rest, kept = None, budget - got, list(start)
+    for room in ROOMS:
+        # Hand copies back, the shortest first, so that the program has room to change the sum.
+        while rest <= room and any(kept):
+            for i in reversed(order):
+                if kept[i] and lengths[i] > 0:
+                    back = min(kept[i], max(1, int((room - rest) // lengths[i])))
+                    kept[i] -= back
+                    rest += back * lengths[i]
+                    if rest > room:
+                        break
+        more = _knapsack(lengths, [c - k for c, k in zip(counts, kept)], rest, min(math.ceil(rest), lengths[order[0]]) if above else 0)
+        error = abs(rest - sum(n * c for n, c in zip(lengths, more)))
+        if best is None or error < best[0]:
+            best = (error, [a + b for a, b in zip(kept, more)])
+        if error <= 0.5:
             break
-    at = reach.bit_length() - 1
-    for i, use, before in reversed(steps):
-        if not before >> at & 1:
-            taken[i] += use
-            at -= use * lengths[i]
-    return taken
+    return best[1]
 
 
 def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
-    size, target = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
-    passes = int(target // size) if size else 0
-    extra = fit(rows["size"].tolist(), rows["n"].tolist(), max(0, round(target) - passes * size))
-    return rows[["source", "size"]].assign(passes=passes, extra=extra)
+    n = rows["n"].tolist()
+    copies = fit(rows["size"].tolist(), [int(MOST) * c for c in n], float(rows["target"].iloc[0]), above=True)
+    return rows[["source", "size"]].assign(passes=[c // k for c, k in zip(copies, n)], extra=[c % k for c, k in zip(copies, n)])
 
 
 def targets(sources: DataFrame, scratch: Scratch) -> DataFrame:
@@ -122,40 +143,50 @@ def targets(sources: DataFrame, scratch: Scratch) -> DataFrame:
     return weighted.select("source", "source_size", F.least("most", F.col("weight") * share).alias("target"))
 
 
-def mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every document."""
+def mix(docs: DataFrame, scratch: Scratch, row=None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every document; ``row``, a hash of the row, is carried along as such."""
     sized = docs.where("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long")).alias("draw"),
+        F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long")).alias("draw"), (F.lit(0).cast("long") if row is None else row).alias("row"),
     )
     sized = scratch.save(sized, "sized")
     sources = scratch.save(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     goals = scratch.save(targets(sources, scratch), "targets")
     counts = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     same = counts["source"].eqNullSafe(goals["source"])
-    plan = counts.join(goals, same).select(counts["source"], "size", "n", "source_size", "target").groupBy("source").applyInPandas(_fit_source, "source string, size long, passes long, extra long")
+    plan = counts.join(goals, same).select(counts["source"], "size", "n", "target").groupBy("source").applyInPandas(_fit_source, "source string, size long, passes long, extra long")
     plan = scratch.save(plan, "plan")
     ranges = max(1, sized.count() // RANGE_ROWS)
-    keyed = sized.select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), "source", "size", "draw", F.pmod("draw", F.lit(ranges)).alias("range"))
+    keyed = sized.select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), "source", "size", "draw", F.pmod("draw", F.lit(ranges)).alias("range"), "row")
     keyed = scratch.save(keyed, "keyed")
     per = keyed.groupBy("key", "size", "range").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("key", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     plan = plan.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), "size", "passes", "extra")
     room = per.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(plan, ["key", "size"]).select("key", "size", "range", "passes", (F.col("extra") - F.col("first")).alias("room"))
-    place = F.row_number().over(Window.partitionBy("key", "size", "range").orderBy("draw", "doc_id"))
+    place = F.row_number().over(Window.partitionBy("key", "size", "range").orderBy("draw", "doc_id", "row"))
     taken = F.col("size") * (F.col("passes") + F.when(place <= F.col("room"), 1).otherwise(0))
-    ranked = keyed.join(room, ["key", "size", "range"]).select("doc_id", "source", "size", taken.alias("taken"))
+    ranked = keyed.join(room, ["key", "size", "range"]).select("doc_id", "source", "size", taken.alias("taken"), "row")
     done = scratch.save(ranked, "ranked")
-    out = done.join(F.broadcast(goals) if goals.count() <= 100_000 else goals, done["source"].eqNullSafe(goals["source"]))
-    return out.select("doc_id", done["source"], "size", "source_size", "target", "taken")
+    scratch.drop("sized", "keyed", "plan")
+    out = done.join(goals, done["source"].eqNullSafe(goals["source"]))
+    return out.select("doc_id", done["source"], "size", "source_size", "target", "taken", *([] if row is None else ["row"]))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as the mix takes it."""
-    chosen = mix(docs, Scratch(docs.sparkSession, "mixed")).where("taken > 0").select("doc_id", F.expr("int(taken div size)").alias("__times"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(chosen, "doc_id").withColumn("__time", F.explode(F.sequence(F.lit(1), "__times"))).select(*columns)
+    row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    scratch = Scratch(docs.sparkSession, "mixed")
+    taken = mix(docs, scratch, row).where("taken > 0").groupBy("doc_id", "row").agg(F.sum(F.expr("int(taken div size)")).cast("int").alias("times"), F.count("*").alias("rows"))
+    taken = scratch.save(taken, "times")
+    # The columns of docs travel in a struct, so that none of them can clash.
+    packed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.struct(*columns).alias("doc"))
+    out = packed.join(taken.where("rows = 1"), ["doc_id", "row"])
+    several = taken.where("rows > 1")
+    if not several.isEmpty():  # one of each set of equal rows, before anything is sorted
+        out = out.unionByName(packed.join(several, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]))
+    return out.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select("doc.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

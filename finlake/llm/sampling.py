@@ -5,22 +5,27 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Longer texts are not learned from; they are scored whole like all others.
-SAMPLE_TEXT_BYTES = 200_000
-#: Labels that are learned, the most frequent ones.
-MOST_LABELS = 500
+SAMPLE_TEXT_BYTES = 20_000
+#: Rows that a sample has about, of all labels together; with many labels each gets an equal part, LEAST_ROWS at least. At most 400 MB of text.
+SAMPLE_ROWS, LEAST_ROWS = 20_000, 20
 
 
 def _share(rows: DataFrame, label: str, per_class: int, seed: int) -> DataFrame:
-    """About ``per_class`` rows of each label, by a seeded hash of the id; never a cut by order."""
-    frequent = rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), label).limit(MOST_LABELS)
-    counts = {r[label]: r["n"] for r in frequent.collect()}
+    """About ``per_class`` rows of each label, by a seeded hash of the id; never a cut by order, and no label is left out.
+
+    One count per label comes to the driver, where the model has room for each label.
+    """
+    kind = rows.schema[label].dataType
+    counts = [(r[label], r["n"]) for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()]
     if not counts:
         return rows.limit(0)
+    per = min(per_class, max(LEAST_ROWS, SAMPLE_ROWS // len(counts)))
+    shares = rows.sparkSession.createDataFrame([(k, per / n) for k, n in counts], StructType([StructField(label, kind), StructField("__share", DoubleType())]))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003.0
-    bound = F.coalesce(*[F.when(F.col(label) == F.lit(k), F.lit(per_class / n)) for k, n in sorted(counts.items())])
-    return rows.where(draw < bound)
+    return rows.join(shares, label).where(draw < F.col("__share")).select(*rows.columns)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int, columns: tuple[str, ...] = ()) -> pd.DataFrame:
@@ -28,11 +33,11 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: in
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).dropDuplicates(["doc_id"])
     chosen = _share(rows, "label", per_class, seed)
     texts = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_TEXT_BYTES)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *columns)
-    return texts.join(F.broadcast(chosen), "doc_id").toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
+    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
 
 
 def texts_by(docs: DataFrame, label: str, per_class: int, seed: int) -> pd.DataFrame:
     """The same where the label is a column of ``docs``; its counts are taken without reading texts."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label"), "text")
     chosen = _share(rows, "label", per_class, seed)
-    return chosen.where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_TEXT_BYTES)).toPandas().drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
+    return chosen.where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_TEXT_BYTES)).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)

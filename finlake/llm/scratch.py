@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,9 +20,11 @@ _STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spa
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one is made only where the setting is missing, as in tests."""
+    """The folder of ``spark.checkpoint.dir``. A local one is made only where the setting is missing and all runs in one process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("finlake.scratch.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="finlake-")
         spark.conf.set("finlake.scratch.dir", root)
     return root.rstrip("/")
@@ -31,32 +34,47 @@ class Scratch:
     """Tables of one run of one operator, written as Parquet under the shared folder.
 
     Writing a table cuts the lineage: a lost executor costs the tasks of the
-    current step only. The shuffle files of the step go when it ends.
+    current step only. The shuffle files of the step go when it ends. Results
+    read these tables, so they go when they are dropped or the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark, self.saved = spark, False
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, table: str, coalesce: int | None = None) -> DataFrame:
+    def save(self, df: DataFrame, table: str, by: str | None = None) -> DataFrame:
+        """Writes and rereads ``df``; ``by``: the column that its files are kept apart by."""
         conf = self.spark.conf
         before = {key: conf.get(key, None) for key in _STEP}
         for key, value in _STEP.items():
             conf.set(key, value)
         try:
-            (df.coalesce(coalesce) if coalesce else df).write.mode("overwrite").parquet(f"{self.path}/{table}")
+            writer = df.write.mode("overwrite")
+            (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{table}")
         finally:
             for key, value in before.items():
                 if value is None:
                     conf.unset(key)
                 else:
                     conf.set(key, value)
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{table}")
+        if not self.saved:
+            store, at = self._folder(self.path)
+            store.deleteOnExit(at)
+            self.saved = True
+        return self.load(df.schema, table)
+
+    def load(self, schema, table: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
+
+    def _folder(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
     def drop(self, *tables: str) -> None:
-        for table in tables:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        """Deletes these tables, or all without a name."""
+        for path in [f"{self.path}/{t}" for t in tables] or [self.path]:
+            store, at = self._folder(path)
+            store.delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Token ids of whole texts by a public tokenizer that lower-cases and whose tokens never cross white space.
 
 Each distinct piece of text is encoded once per worker and found again by its
-64-bit hash; texts are put together from these with NumPy. Pieces are words
+bytes; texts are put together from these with NumPy. Pieces are words
 between ASCII white space, cut further where the tokenizer surely cuts too:
 between an ASCII letter and ASCII punctuation or digits, and around ASCII
 digits, but not before a letter that an apostrophe precedes (contractions) nor
@@ -19,7 +19,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from finlake.llm.kernels import LOWER, span_hashes, text_bytes, words
+from finlake.llm.kernels import LOWER, distinct_spans, slices, text_bytes, words
 
 OTHER, LETTER, DIGIT, PUNCTUATION = range(4)
 KIND = np.full(256, PUNCTUATION, np.uint8)
@@ -71,13 +71,13 @@ class WordEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.bounds = np.zeros(1 << 12, np.int64)
         self.known = 0
 
-    def learn(self, hashes: list[int], texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def learn(self, texts: list[bytes]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         ends = self.bounds[self.known] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
         while ends[-1] > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
@@ -86,30 +86,33 @@ class WordEncoder:
         begin = self.bounds[self.known]
         self.pool[begin : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1] - begin))
         self.bounds[self.known + 1 : self.known + 1 + len(found)] = ends
-        self.place.update(zip(hashes, range(self.known, self.known + len(found))))
+        self.place.update(zip(texts, range(self.known, self.known + len(found))))
         self.known += len(found)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of all rows; null and empty texts have no ids."""
         data, bounds = text_bytes(column)
+        made = [self._encode(part, at) for part, at in slices(data, bounds)]
+        count = sum(n for _, n in made)
+        return np.concatenate([ids for ids, _ in made]), np.concatenate(([0], np.cumsum(count)))
+
+    def _encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each row)."""
         data, start, end, row = pieces(data, bounds, self.specials)
         if self.known > self.most:
             self.reset()
-        distinct, first, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.place]
+        first, back = distinct_spans(data, start, end)
+        raw = data.tobytes()
+        keys = [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist())]
+        new = [k for k in keys if k not in self.place]
         if new:
-            raw = data.tobytes()
-            spans = zip(start[first[new]].tolist(), end[first[new]].tolist())
-            self.learn([keys[i] for i in new], [raw[s:e].decode() for s, e in spans])
+            self.learn(new)
         place = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[back]
         begin, count = self.bounds[place], self.bounds[place + 1] - self.bounds[place]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.pool[np.arange(total) + np.repeat(begin - (ends - count), count)]
-        per_row = np.zeros(len(column), np.int64)
-        np.add.at(per_row, row, count)
-        return ids, np.concatenate(([0], np.cumsum(per_row)))
+        return ids, np.bincount(row, weights=count, minlength=len(bounds) - 1).astype(np.int64)
 
 
 _encoders: dict[str, WordEncoder] = {}
