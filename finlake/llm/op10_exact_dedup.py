@@ -3,32 +3,45 @@
 A text, lower-cased in A-Z only, is cut into chunks of its UTF-8 bytes. Each
 chunk is hashed by itself (the value of its bytes as digits to a base, modulo
 four primes), and the hashes combine to that of the text: each is shifted by
-base ** (bytes after the chunk), then all are added. So a huge text is never
-hashed as one. Texts with equal fingerprint and length are then compared with
-the group's representative chunk by chunk, as bytes; what differs goes into
-another round with a representative of its own.
-
-Null texts count as empty, empty texts are copies of each other. Other columns
-of the input, whatever their names, are neither read nor returned. An empty
-table gives no rows. A row that repeats another's doc_id and text is returned
-again but counts once in group_size; rows without a doc_id are left out.
+base ** (bytes after the chunk), then all are added. Texts of more than
+PARALLEL chunks are dealt out chunk by chunk, so that a huge text is hashed by
+many tasks; what the others need is found in the same pass.
+
+Texts with equal fingerprint and length are then compared chunk by chunk, as
+bytes: for each chunk of a group the smallest and the largest content are
+found, which Spark does before it shuffles, so a group with a third of all rows
+is no task's. Where these differ the fingerprints collided: the members of such a
+group are compared with the group's representative, and what differs from it goes
+into another round with a representative of its own.
+
+A row is told apart by its doc_id and a 64-bit hash of its text, so rows of one
+doc_id with different texts are in the groups of their texts. Repeated rows
+(same doc_id and text) are returned each and count each in group_size; the
+deduplicated table keeps one of them. Null texts count as empty, empty texts are
+copies of each other. Rows without a doc_id are left out. Other columns of the
+input, whatever their names, are neither read nor returned. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlake.llm.kernels import LOWER
+from finlake.llm.kernels import LOWER, text_bytes
 from finlake.llm.scratch import Scratch, documents
 
 #: Primes below 2**31; a 64-bit sum of byte * power stays exact for a chunk.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 BASES = (1103515245, 1664525017, 1566083941, 1812433253)
 CHUNK_BYTES = 1 << 16
+#: Chunks of a text that one task hashes.
+PARALLEL = 64
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _powers: list[np.ndarray] = []
@@ -59,7 +72,9 @@ def shift(value: int, length: int, k: int) -> int:
 
 
 def normalised(text) -> F.Column:
-    return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    """A-Z in lower case; ``lower`` is the same, and faster, where all is ASCII."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
 def _chunks(rows: DataFrame, *keep: str) -> DataFrame:
@@ -76,70 +91,120 @@ def _chunks(rows: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def _data(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).cast("binary").alias("data"))
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and version, which tells rows of one doc_id apart."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
+
+
+RESIDUES = [f"r{k}" for k in range(4)]
+
+
+def _hashed(column: pa.Array) -> list[list[int]]:
+    """The chunk hashes of each chunk, lower-cased."""
+    data, bounds = text_bytes(column)
+    return [chunk_hash(LOWER[data[s:e]]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+def _whole(batches):
+    """Texts of at most PARALLEL chunks: the composed hash, and the digest."""
+    for batch in batches:
+        data, bounds = text_bytes(batch.column("text"))
+        found, digests = [], []
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            value, digest = [0] * 4, hashlib.sha256()
+            for at in range(s, max(e, s + 1), CHUNK_BYTES):
+                chunk = LOWER[data[at : min(at + CHUNK_BYTES, e)]]
+                digest.update(chunk)
+                value = [(shift(v, len(chunk), k) + h) % PRIMES[k] for k, (v, h) in enumerate(zip(value, chunk_hash(chunk)))]
+            found.append(value)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(np.diff(bounds)), *[pa.array([v[k] for v in found], pa.int64()) for k in range(4)], pa.array(digests, pa.string())], names=["doc_id", "version", "n_bytes", *RESIDUES, "digest"])
+
+
+def _shares(batches):
+    """Single chunks: their share of the hash of their text."""
+    for batch in batches:
+        after = batch.column("after").to_pylist()
+        hashes = _hashed(batch.column("chunk"))
+        size = pc.binary_length(batch.column("chunk")).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), batch.column("row"), size, *[pa.array([shift(h[k], n, k) for h, n in zip(hashes, after)], pa.int64()) for k in range(4)]], names=["doc_id", "version", "row", "n_bytes", *RESIDUES])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and f1, f2: four residues in two longs."""
-
-    def run(batches):
-        for batch in batches:
-            hashes = [chunk_hash(np.frombuffer(c.as_buffer() or b"", np.uint8)) for c in batch.column("chunk")]
-            after = batch.column("after").to_pylist()
-            shares = [[shift(h[k], n, k) for h, n in zip(hashes, after)] for k in range(4)]
-            size = pc.binary_length(batch.column("chunk")).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), size, *[pa.array(s, pa.int64()) for s in shares]], names=["doc_id", "row", "size", "r0", "r1", "r2", "r3"])
-
-    shares = _chunks(_data(docs).withColumn("row", F.monotonically_increasing_id()), "doc_id", "row").mapInArrow(run, "doc_id long, row long, size long, r0 long, r1 long, r2 long, r3 long")
-    whole = shares.groupBy("doc_id", "row").agg(F.sum("size").alias("n_bytes"), *[(F.sum(f"r{k}") % PRIMES[k]).alias(f"r{k}") for k in range(4)])
+    """doc_id, version, n_bytes, digest (SHA-256) and f1, f2 (four residues in two longs), for every row."""
+    rows, most = _rows(docs), PARALLEL * CHUNK_BYTES
+    kinds = ", ".join(f"{r} long" for r in RESIDUES)
+    whole = rows.where(F.octet_length("text") <= most).mapInArrow(_whole, f"doc_id long, version long, n_bytes long, {kinds}, digest string")
+    long = rows.where(F.octet_length("text") > most).withColumn("row", F.monotonically_increasing_id()).withColumn("data", F.col("text").cast("binary"))
+    chunks = _chunks(long, "doc_id", "version", "row").repartition("row", "number")
+    sums = chunks.mapInArrow(_shares, f"doc_id long, version long, row long, n_bytes long, {kinds}").groupBy("row", "doc_id", "version").agg(F.sum("n_bytes").alias("n_bytes"), *[(F.sum(r) % PRIMES[k]).alias(r) for k, r in enumerate(RESIDUES)])
+    digests = rows.where(F.octet_length("text") > most).select("doc_id", "version", F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("digest")).dropDuplicates(["doc_id", "version"])
     pair = lambda a, b: F.shiftleft(F.col(a), 31).bitwiseOR(F.col(b))
-    return whole.select("doc_id", "n_bytes", pair("r0", "r1").alias("f1"), pair("r2", "r3").alias("f2")).distinct()
+    every = whole.unionByName(sums.drop("row").join(digests, ["doc_id", "version"]))
+    return every.select("doc_id", "version", "n_bytes", "digest", pair("r0", "r1").alias("f1"), pair("r2", "r3").alias("f2"))
+
+
+ROW, PRINT, KEEP = ["doc_id", "version"], ["n_bytes", "f1", "f2"], ["keep_id", "keep_version"]
 
 
 def exact_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, keep_id (largest id with the same text) and group_size, for every document."""
-    key = ["n_bytes", "f1", "f2"]
-    pending = scratch.save(fingerprints(docs), "prints")
-    data = _data(docs)
+    """doc_id, version, digest, keep_id and keep_version (the row with the largest id of the same text) and group_size, for every row."""
+    rows = scratch.save(fingerprints(docs), "prints")
+    pending = scratch.save(rows.groupBy(*ROW, *PRINT).agg(F.count("*").alias("copies")), "pending")
+    data = _rows(docs).select(*ROW, normalised(F.col("text")).cast("binary").alias("data"))
     done = None
     for turn in range(1 << 30):
-        groups = scratch.save(pending.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("size")), f"groups{turn}")
-        alone = groups.where("size = 1").select(F.col("keep_id").alias("doc_id"), "keep_id")
-        several = groups.where("size > 1")
-        # Sides of each join are scans, so that AQE can split a hot group.
-        members = scratch.save(pending.join(several.drop("size"), key).select("doc_id", "keep_id"), f"members{turn}")
-        texts = data.join(members, "doc_id")
-        mine = _chunks(texts.where("doc_id <> keep_id"), "doc_id", "keep_id")
-        theirs = _chunks(data.join(several.select("keep_id"), F.col("doc_id") == F.col("keep_id")), "keep_id")
-        same = (
-            mine.join(theirs.select("keep_id", "number", F.col("chunk").alias("other")), ["keep_id", "number"], "left")
-            .groupBy("doc_id", "keep_id")
-            .agg(F.min(F.coalesce(F.col("chunk") == F.col("other"), F.lit(False))).alias("same"))
-        )
-        checked = scratch.save(same, f"same{turn}")
-        found = alone.union(several.select("keep_id", "keep_id")).union(checked.where("same").select("doc_id", "keep_id"))
+        largest = F.max(F.struct("doc_id", "version"))
+        groups = pending.groupBy(*PRINT).agg(largest.alias("keep"), F.count("*").alias("members"), F.sum("copies").alias("group_size"))
+        groups = scratch.save(groups.select(*PRINT, F.col("keep.doc_id").alias("keep_id"), F.col("keep.version").alias("keep_version"), "members", "group_size"), f"groups{turn}")
+        # Sides of the join are scans, so that AQE can split a hot group.
+        members = scratch.save(pending.join(groups.where("members > 1").select(*PRINT, *KEEP), PRINT).select(*ROW, *KEEP), f"members{turn}")
+        chunks = _chunks(data.join(members, ROW), *KEEP)
+        mixed = chunks.groupBy(*KEEP, "number").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low <> high").select(*KEEP).distinct()
+        mixed = scratch.save(mixed, f"mixed{turn}")
+        if mixed.isEmpty():
+            found = pending.join(groups, PRINT).select(*ROW, *KEEP)
+        else:
+            checked = scratch.save(_like_representative(data, members.join(mixed, KEEP, "left_semi")), f"checked{turn}")
+            good = pending.join(groups.join(mixed, KEEP, "left_anti"), PRINT).select(*ROW, *KEEP)
+            found = good.union(checked.where("same").select(*ROW, *KEEP))
         done = found if done is None else done.union(found)
-        differing = checked.where("not same").select("doc_id")
-        if differing.isEmpty():
+        if mixed.isEmpty():
             break
-        pending = scratch.save(pending.join(differing, "doc_id"), f"pending{turn}")
-    done = scratch.save(done.toDF("doc_id", "keep_id"), "done")
-    sizes = done.groupBy("keep_id").agg(F.count("*").alias("group_size"))
-    return done.join(scratch.save(sizes, "sizes"), "keep_id")
+        pending = scratch.save(pending.join(checked.where("not same").select(*ROW), ROW), f"pending{turn}")
+    if turn == 0:
+        return rows.join(groups, PRINT).select(*ROW, "digest", *KEEP, "group_size")
+    done = rows.join(scratch.save(done, "done"), ROW).select(*ROW, "digest", *KEEP)
+    return done.join(done.groupBy(*KEEP).agg(F.count("*").alias("group_size")), KEEP).select(*ROW, "digest", *KEEP, "group_size")
+
+
+def _like_representative(data: DataFrame, members: DataFrame) -> DataFrame:
+    """The members of groups whose fingerprints collided, with ``same``: every chunk is the representative's."""
+    heads = members.select(*KEEP).distinct()
+    mine = _chunks(data.join(members, ROW).dropDuplicates(ROW), *ROW, *KEEP)
+    theirs = _chunks(data.select(F.col("doc_id").alias("keep_id"), F.col("version").alias("keep_version"), "data").join(heads, KEEP).dropDuplicates(KEEP), *KEEP)
+    met = mine.join(theirs.select(*KEEP, "number", F.col("chunk").alias("other")), [*KEEP, "number"], "left")
+    return met.groupBy(*ROW, *KEEP).agg(F.min(F.coalesce(F.col("chunk") == F.col("other"), F.lit(False))).alias("same"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, of equal texts only the one with the largest doc_id."""
-    groups = exact_groups(docs, Scratch(docs.sparkSession, "exact"))
-    return docs.join(groups.where("doc_id = keep_id").select("doc_id"), "doc_id", "left_semi")
+    """The rows of ``docs``, of equal texts one row with the largest doc_id."""
+    scratch = Scratch(docs.sparkSession, "exact")
+    groups = exact_groups(docs, scratch).groupBy(*ROW).agg(F.count("*").alias("copies"), F.first(F.struct(*ROW) == F.struct(F.col("keep_id"), F.col("keep_version"))).alias("stays"))
+    groups = scratch.save(groups.where("not stays or copies > 1"), "away")
+    # The columns of docs travel in a struct, so that none of them can clash.
+    packed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    kept = packed.join(groups, ROW, "left_anti")
+    several = groups.where("stays")
+    if not several.isEmpty():  # one of the repeated rows
+        kept = kept.unionByName(packed.join(several.select(*ROW), ROW).dropDuplicates(ROW))
+    return kept.select("doc.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    groups = exact_groups(docs, Scratch(spark, "op10"))
-    digests = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("text_sha256"))
-    return groups.join(digests, "doc_id").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = exact_groups(documents(spark, sf_dir), Scratch(spark, "op10"))
+    return groups.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 QUERIES = {"op10_exact_dedup": op10_exact_dedup}
