@@ -10,8 +10,9 @@ MinHash at a small part of its cost. BANDS bands of ROWS coordinates give the
 candidates: a pair of similarity 0.85 shares none with probability 7e-9, one of
 0.8 with 3e-6.
 
-Sets that are equal are merged first (by a 128-bit digest). In a band bucket
-of up to SMALL_BUCKET sets all pairs are candidates. The sets of larger buckets
+Sets that are equal are merged first: sets with one 128-bit digest are compared
+in full (their smallest and largest, which Spark finds before it shuffles), and
+where they differ after all none of them is merged. In a band bucket of up to SMALL_BUCKET sets all pairs are candidates. The sets of larger buckets
 go an exact way that needs no sketch: sets with enough overlap share one of
 their rarest elements (a prefix, in order of frequency), and a prefix list is
 compared by stars first (each member with a central one, which has the element
@@ -21,8 +22,11 @@ confirmed on their full sets. Links within one component that are not listed cha
 result.
 
 A null or empty text, or one of white space only, has an empty set and links
-with nothing. Rows without a doc_id are left out; a repeated doc_id counts
-once. Extra columns are ignored. An empty table gives no rows.
+with nothing. Rows without a doc_id are left out. A doc_id is one document: of
+rows that repeat it the one with the smallest set size and digest counts, and
+one row is returned; ``near_dedup`` keeps or drops all of them alike. Extra
+columns are ignored. An empty table gives no rows. Shingles are 64-bit hashes
+of 64-bit hashes of words.
 """
 
 from __future__ import annotations
@@ -74,16 +78,20 @@ def _sketch_columns(block: pa.RecordBatch) -> dict:
     bands = np.stack([fold([s[:, b * ROWS + k] for k in range(ROWS)], b + 1) for b in range(BANDS)], axis=1)
     return {
         "doc_id": block.column("doc_id"),
-        "n_shingles": np.diff(bounds),
-        "k1": row_sums(mix(values), bounds).view(np.int64),
-        "k2": row_sums(mix(values ^ U64(0xC2B2AE3D27D4EB4F)), bounds).view(np.int64),
+        **_digest(values, bounds),
         "bands": list_array(bands.reshape(-1).view(np.int64), np.arange(block.num_rows + 1) * BANDS),
     }
 
 
 def _set_columns(block: pa.RecordBatch) -> dict:
     values, bounds = _sets(block)
-    return {"doc_id": block.column("doc_id"), "items": list_array(values.view(np.int64), bounds)}
+    return {"doc_id": block.column("doc_id"), **_digest(values, bounds), "items": list_array(values.view(np.int64), bounds)}
+
+
+def _digest(values: np.ndarray, bounds: np.ndarray) -> dict:
+    """Size and two sums of each set."""
+    sums = [row_sums(mix(values ^ U64(seed)), bounds).view(np.int64) for seed in (0, 0xC2B2AE3D27D4EB4F)]
+    return {"n_shingles": np.diff(bounds), "k1": sums[0], "k2": sums[1]}
 
 
 def _linked(threshold: int) -> F.Column:
@@ -128,20 +136,54 @@ def _prefixes(sets: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
     return rare.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold / F.lit(100)) + 1).where("among > 1").select("item", "doc_id", "n", "place")
 
 
+DIGEST = ["n_shingles", "k1", "k2"]
+
+
+def _one_row_per_id(made: DataFrame, scratch: Scratch) -> DataFrame:
+    """``made`` without repeated ids; only these are sorted."""
+    repeated = made.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.struct(*DIGEST)).alias("least")).where("n > 1")
+    repeated = scratch.save(repeated, "repeated")
+    if repeated.isEmpty():
+        return made
+    one = made.join(repeated, "doc_id").where(F.struct(*DIGEST) == F.col("least")).dropDuplicates(["doc_id"]).select(*made.columns)
+    return scratch.save(made.join(repeated, "doc_id", "left_anti").unionByName(one), "single")
+
+
+def _full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets of the documents in ``wanted`` (doc_id and digest), of repeated ids that of the digest."""
+    made = arrow_map(texts.join(wanted.select("doc_id"), "doc_id", "left_semi"), _set_columns, "doc_id long, n_shingles long, k1 long, k2 long, items array<long>")
+    return made.join(wanted, ["doc_id", *DIGEST], "left_semi")
+
+
 def near_groups(docs: DataFrame, scratch: Scratch, threshold: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = scratch.save(arrow_map(texts, _sketch_columns, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "sketches")
-    digest = ["n_shingles", "k1", "k2"]
-    classes = scratch.save(made.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep")), "classes")
-
-    chosen = made.join(classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n")), "doc_id").dropDuplicates(["doc_id"])
+    sketched = scratch.save(arrow_map(texts, _sketch_columns, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "sketches")
+    made = _one_row_per_id(sketched, scratch)
+    unique_ids = made is sketched
+    one = (lambda sets: sets) if unique_ids else (lambda sets: sets.dropDuplicates(["doc_id"]))
+
+    # Merge equal sets; one digest of different sets merges none.
+    copies = made.where("n_shingles > 0").groupBy(*DIGEST).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    copies = scratch.save(copies, "copies")
+    members = scratch.save(made.join(copies.where("copies > 1"), DIGEST).select("doc_id", *DIGEST), "members")
+    differ = _full_sets(texts, members).groupBy(*DIGEST).agg(F.min("items").alias("low"), F.max("items").alias("high")).where("low <> high").select(*DIGEST)
+    differ = scratch.save(differ, "differ")
+    digest, classes = DIGEST, copies
+    if not differ.isEmpty():
+        digest = [*DIGEST, "own"]
+        apart = made.join(differ.withColumn("apart", F.lit(True)), DIGEST, "left")
+        made = scratch.save(apart.withColumn("own", F.when(F.col("apart"), F.col("doc_id")).otherwise(F.lit(-1).cast("long"))).drop("apart"), "apart")
+        classes = scratch.save(made.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep")), "classes")
+
+    chosen = made.join(classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n")), "doc_id")
     bands = scratch.save(chosen.select("doc_id", "n", F.explode("bands").alias("bucket")), "bands")
     buckets = scratch.save(bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     held = scratch.save(bands.join(buckets, "bucket"), "held")
     scratch.drop("bands")
     wanted = scratch.save(held.groupBy("doc_id").agg((F.max("members") > SMALL_BUCKET).alias("crowded")), "wanted")
-    sets = scratch.save(arrow_map(texts.join(wanted, "doc_id"), _set_columns, "doc_id long, items array<long>").dropDuplicates(["doc_id"]), "sets")
+    sets = one(_full_sets(texts, made.join(wanted, "doc_id", "left_semi").select("doc_id", *DIGEST))).select("doc_id", "items")
+    sets = scratch.save(sets, "sets")
 
     # Small buckets: every pair.
     few = held.where(F.col("members") <= SMALL_BUCKET).select("bucket", "doc_id", "n")
@@ -175,7 +217,7 @@ def near_groups(docs: DataFrame, scratch: Scratch, threshold: int = 85) -> DataF
     # Back to all documents: set -> representative -> component.
     heads = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*digest, F.coalesce("component", "rep").alias("component_id"))
     heads = scratch.save(heads, "heads")
-    scratch.drop("sets", "items", "held", "lists", *[f"labelled{t}" for t in range(STARS + 1)])
+    scratch.drop("sets", "items", "among", "held", "members", "lists", *[f"labelled{t}" for t in range(STARS + 1)])
     return (
         made.select("doc_id", *digest)
         .join(heads, digest, "left")

@@ -169,8 +169,31 @@ def op10_rows(docs, spark):
     return {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in op10.exact_groups(docs, Scratch(spark, "t")).collect()}
 
 
+def group_rows(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, keep_id, group_size, digest) of each row, repeated ones too."""
+    norm = [(i, (t or "").translate(LOWER)) for i, t in rows if i is not None]
+    of = {}
+    for i, t in norm:
+        of.setdefault(t, []).append(i)
+    return sorted((i, max(of[t]), len(of[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in norm)
+
+
+REPEATED = [(5, "A"), (5, "B"), (3, "a"), (2, "b"), (5, "A"), (9, "long " * 400_000), (8, "LONG " * 400_000), (7, "LONG " * 399_999 + "lung "), (1, None), (1, ""), (4, ""), (None, "a")]
+
+
+@pytest.mark.parametrize("parallel", [64, 2])
+def test_op10_rows_of_one_id(spark, parallel, monkeypatch):
+    monkeypatch.setattr(op10, "PARALLEL", parallel)
+    df = spark.createDataFrame(REPEATED, "doc_id long, text string").repartition(3)
+    found = op10.exact_groups(df, Scratch(spark, "t")).select("doc_id", "keep_id", "group_size", "digest").collect()
+    assert sorted(map(tuple, found)) == group_rows(REPEATED)
+    kept = op10.exact_dedup(df.selectExpr("doc_id", "text", "1 as version", "2 as keep_id", "3 as copies", "4 as doc"))
+    assert sorted((r["doc_id"], (r["text"] or "").lower()[:9]) for r in kept.collect()) == [(4, ""), (5, "a"), (5, "b"), (7, "long long"), (9, "long long")]
+
+
 def test_op10_edges(spark, edge, empty):
-    assert op10_rows(edge, spark) == groups(texts(edge))
+    found = op10.exact_groups(edge, Scratch(spark, "t")).select("doc_id", "keep_id", "group_size", "digest").collect()
+    assert sorted(map(tuple, found)) == group_rows([(r["doc_id"], r["text"]) for r in edge.collect()])
     assert op10_rows(empty, spark) == {}
 
 
@@ -193,7 +216,7 @@ def test_op10_equal_fingerprints_are_compared(spark, edge, monkeypatch):
     rows = {i: f"text {i % 4}" for i in range(12)} | {20: "other length"}
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     real = op10.fingerprints
-    monkeypatch.setattr(op10, "fingerprints", lambda docs: real(docs).selectExpr("doc_id", "n_bytes", "0L as f1", "0L as f2"))
+    monkeypatch.setattr(op10, "fingerprints", lambda docs: real(docs).selectExpr("doc_id", "version", "n_bytes", "digest", "0L as f1", "0L as f2"))
     assert op10_rows(df, spark) == groups(rows)
 
 
@@ -206,3 +229,30 @@ def test_op10_dedup_keeps_columns(spark, edge):
 def test_repeated_ids_do_not_crash(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "other text of six words"), (2, "a b c d e f")], "doc_id long, text string")
     assert len(op10_rows(df, spark)) == 2 and len(op5_rows(df, spark)) == 2 and len(op2_rows(df, spark)) == 2
+
+
+def test_op5_repeated_ids(spark):
+    """A doc_id counts with its smallest set, in one row."""
+    rows = [(1, "a b c d e f g"), (1, "other text of six words"), (2, "a b c d e f g"), (3, "other text of six words"), (3, "other text of six words"), (4, "A b c d e f g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted(map(tuple, op5.near_groups(df, Scratch(spark, "t")).collect()))
+    assert found == [(1, 1, 1), (2, 3, 2), (3, 1, 1), (4, 3, 2)]  # the text of one shingle is the smaller
+
+
+def test_op5_equal_digests_are_compared(spark, monkeypatch):
+    """With one digest for all sets of a size, nothing is merged that differs, and every link is found."""
+    monkeypatch.setattr(op5, "_digest", lambda values, bounds: {"n_shingles": np.diff(bounds), "k1": np.zeros(len(bounds) - 1, np.int64), "k2": np.zeros(len(bounds) - 1, np.int64)})
+    docs = {1: "a b c d e f g", 2: "h i j k l m n", 3: "a b c d e f g", 4: "o p q r s t u", 5: "H i j k l m n", 6: ""}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert op5_rows(df, spark) == components(docs)
+
+
+THUE_MORSE = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+OTHER = THUE_MORSE.translate(str.maketrans("ab", "ba"))
+
+
+def test_op5_long_words_are_told_apart(spark):
+    """Words whose polynomial hashes modulo a power of two agree whatever the base."""
+    docs = {1: THUE_MORSE, 2: OTHER, 3: f"one two {THUE_MORSE} three four", 4: f"one two {OTHER} three four", 5: THUE_MORSE}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert op5_rows(df, spark) == components(docs)

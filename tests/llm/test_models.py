@@ -50,6 +50,14 @@ def test_op6_base_counts(spark, edge, empty):
     assert counts(op6.score(docs, None)) == {r["doc_id"]: base(r["text"] or "") for r in docs.collect()}
 
 
+def test_op6_long_lines_are_told_apart():
+    tm = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    other = tm.translate(str.maketrans("ab", "ba"))
+    for t in (f"{tm}\n{other}\n", f"{tm}\n{other}\n{tm}", f"a b {tm} c d a b {other} c d a b {tm} c d"):
+        got = op6.base_counts(*text_bytes(pa.array([t])))
+        assert tuple(int(got[c][0]) for c in COLUMNS[:5]) == base(t)[:5]
+
+
 def test_op6_lines_at_the_ends():
     for t in ("\n", "\n\na\na", "a\na", "a\n a\na \na", "x\n\n\nx\n", "é\né"):
         got = op6.base_counts(*text_bytes(pa.array(["a\n", t, "a\n"])))

@@ -1,6 +1,8 @@
 """op1, op4, op8, op9: round trips, invariants and edge cases."""
 
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -9,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from support import SF, same_rows
 
+from finlake.llm import kernels
 from finlake.llm import op1_chat as op1
 from finlake.llm import op4_training_order as op4
 from finlake.llm import op8_mixing as op8
@@ -112,6 +115,31 @@ def test_tokens_equal_those_of_whole_texts(encoder):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_tokens_of_words_with_one_polynomial_hash(encoder):
+    tm = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    texts = [tm, tm.translate(str.maketrans("ab", "ba")), f"{tm} {tm.translate(str.maketrans('ab', 'ba'))}"]
+    ids, bounds = encoder.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_tokens_with_one_hash_are_told_apart(encoder, monkeypatch):
+    monkeypatch.setattr(kernels, "span_hashes", lambda data, start, end: (end - start).astype(np.uint64))
+    texts = ["some words and more text", "text more and words some", "abc def ghi abc"]
+    ids, bounds = encoder.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_long_texts_are_encoded_in_slices(encoder, monkeypatch):
+    rng = np.random.default_rng(4)
+    text = " ".join(rng.choice(["wörd", "Don't", "x,y", "12a", "<", "\n", "plain"], 3000))
+    monkeypatch.setattr(kernels.slices, "__defaults__", (500,))
+    ids, bounds = encoder.encode(pa.array([text, "", text]))
+    whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == whole * 2 and bounds.tolist() == [0, len(whole), len(whole), 2 * len(whole)]
+
+
 # --- op9
 
 
@@ -233,6 +261,17 @@ def test_op4_round_trip(spark, source, edge, encoder, tmp_path, monkeypatch):
     assert [x.tolist() for x in later] == [x.tolist() for x in stored[len(index) // 2 :]]
 
 
+def test_op4_shards_do_not_depend_on_partitions(spark, edge, tmp_path, monkeypatch):
+    for name, value in (("SHARD", 8), ("BLOCK_ROWS", 5), ("MOST_TASKS", 2)):  # several blocks, several shards to a task
+        monkeypatch.setattr(op4, name, value)
+    made = []
+    for n in (1, 5):
+        index = op4.materialise(edge.repartition(n), PATH, Scratch(spark, "t"), f"file://{tmp_path}/{n}")
+        made.append((sorted((r["slot"], r["ids_crc32"], r["byte_offset"]) for r in index.collect()), {p.name: p.read_bytes() for p in (tmp_path / str(n)).glob("*.bin")}))
+    assert made[0] == made[1] and len(made[0][1]) > 5
+    assert {r["path"] for r in index.collect()} == {f"file://{tmp_path}/5/{name}" for name in made[0][1]}
+
+
 def test_op4_empty_table(spark, empty, tmp_path):
     assert op4.materialise(empty, PATH, Scratch(spark, "t"), f"file://{tmp_path}/s").isEmpty()
 
@@ -286,6 +325,30 @@ def test_op8_targets_are_met(spark, source, edge):
     assert got.set_index("doc_id").taken.to_dict() == again.set_index("doc_id").taken.to_dict()
 
 
+def test_op8_fit_is_the_nearest_of_tiny_sources():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        lengths = sorted(set(rng.integers(1, 400, rng.integers(1, 5)).tolist()))
+        counts = rng.integers(1, 3, len(lengths)).tolist()
+        target = float(rng.random() * 2 * sum(a * b for a, b in zip(lengths, counts)))
+        taken = op8.fit(lengths, [2 * c for c in counts], target, above=True)
+        reach = {0}
+        for a, b in zip(lengths, counts):
+            reach = {x + a * k for x in reach for k in range(2 * b + 1)}
+        assert all(0 <= t <= 2 * c for t, c in zip(taken, counts))
+        assert abs(target - sum(a * b for a, b in zip(lengths, taken))) <= min(abs(target - x) for x in reach) + 1e-6
+
+
+def test_op8_a_long_text_takes_little_memory():
+    tracemalloc.start()
+    lengths, counts = [*range(1, 4001), 2_000_000], [5] * 4000 + [1]
+    target = 1.3 * sum(a * b for a, b in zip(lengths, counts))
+    taken = op8.fit(lengths, [2 * c for c in counts], target, above=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert abs(target - sum(a * b for a, b in zip(lengths, taken))) <= 1 and peak < 60_000_000
+
+
 def test_op8_fit_is_exact_where_it_can_be():
     rng = np.random.default_rng(8)
     for _ in range(60):
@@ -309,6 +372,18 @@ def test_op8_empty_and_wordless(spark, empty):
     assert op8.mixed(none).isEmpty()
 
 
+def test_op8_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "a b c", "s")] * 3 + [(2, "d e", "s"), (2, "f g", "s"), (3, "h i j k", "s"), (4, "l", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as time", "2 as times", "3 as rows", "4 as row", "5 as doc", "6 as __times").repartition(3)
+    taken = sum(r["taken"] for r in op8.mix(docs, Scratch(spark, "t")).collect())
+    got = op8.mixed(docs)
+    assert got.columns == docs.columns
+    found = Counter((r["doc_id"], r["text"], r["source"]) for r in got.collect())
+    assert sum(len(t.split()) * n for (_, t, _), n in found.items()) == taken and taken > 0
+    have = Counter(rows)
+    assert all(n <= 2 * have[r] for r, n in found.items())
+
+
 def test_op8_mixed_repeats_rows(spark, edge):
     docs = edge.where("doc_id is not null").dropDuplicates(["doc_id"])
     got = op8.mixed(docs)
