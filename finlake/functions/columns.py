@@ -23,6 +23,11 @@ def time_of(epoch: str) -> Column:
     return F.expr(f"timestampadd(SECOND, {epoch}, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
 
 
+def time_of_micros(epoch: str) -> Column:
+    """Time of epoch microseconds, to the second."""
+    return F.expr(f"timestampadd(SECOND, cast(floor({epoch} / 1000000) as bigint), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+
+
 def hour_of(epoch: str) -> Column:
     return F.pmod(F.floor(F.col(epoch) / 3600), F.lit(24)).cast("long")
 

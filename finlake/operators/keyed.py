@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
+from contextlib import closing
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +34,14 @@ def merged(old: DataFrame, new: DataFrame, key: Sequence[str], order: str) -> Da
 class KeyedTable:
     """``key`` identifies a row, in the whole table or (``global_key`` false) in its partition; ``order`` tells which version is newer.
 
-    One writer at a time. A write is made aside first and then replaces the
-    table, or the partitions it touches; other partitions are neither read nor
-    rewritten.
+    A write makes new folders and then a new manifest, the list of folders that
+    are the table, whose renaming is the commit. So a write that fails leaves the
+    table as it was, and a reader sees one version or the next. Folders that the
+    last two manifests do not name are deleted after a commit. One writer at a
+    time; a second one fails at its commit.
+
+    Partitions that a write does not touch are neither read nor rewritten. Only a
+    global key needs the key columns of the whole table, to find a former partition.
     """
 
     path: str
@@ -46,47 +52,89 @@ class KeyedTable:
     global_key: bool = True
     sort: tuple[str, ...] = ()
 
+    @property
+    def columns(self) -> list[str]:
+        return [c.split()[0] for c in self.schema.split(", ")]
+
+    def _manifest(self, number: int) -> str:
+        return f"{self.path}/_manifests/{number:012d}"
+
+    def version(self, spark: SparkSession) -> int | None:
+        """The number of the newest commit; None before the first."""
+        store, at = _path(spark, f"{self.path}/_manifests/[0-9]*[0-9]")
+        names = [int(x.getPath().getName()) for x in store.globStatus(at) or []]
+        return max(names, default=None)
+
+    def folders(self, spark: SparkSession, number: int | None = None) -> dict[str, str]:
+        """Partition (its folder's name; empty without one) -> folder below ``path``, of the newest commit or ``number``."""
+        number = self.version(spark) if number is None else number
+        if number is None:
+            return {}
+        store, at = _path(spark, self._manifest(number))
+        with closing(store.open(at)) as file:
+            lines = spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8").splitlines()
+        return {x.partition("/")[2]: x for x in lines}
+
     def create(self, spark: SparkSession) -> None:
         """An empty table, unless there is one."""
-        if not exists(spark, self.path):
-            self._write(spark.createDataFrame([], self.schema), self.path)
+        if self.version(spark) is None:
+            self._commit(spark, 0, {})
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        if not exists(spark, self.path):
+    def read(self, spark: SparkSession, only: Collection[str] | None = None) -> DataFrame:
+        """The table, or those of its partitions that ``only`` names by their folders."""
+        wanted = [f"{self.path}/{folder}" for part, folder in self.folders(spark).items() if only is None or part in only]
+        if not wanted:
             return spark.createDataFrame([], self.schema)
-        return spark.read.schema(self.schema).parquet(self.path)
-
-    def _write(self, df: DataFrame, path: str, mode: str = "overwrite", dynamic: bool = False) -> None:
+        return spark.read.schema(f"{self.schema}, table_version string").option("basePath", self.path).parquet(*wanted).select(*self.columns)
+
+    def _replace(self, df: DataFrame, spark: SparkSession, replaced: Collection[str] | None) -> None:
+        """``df`` instead of the partitions ``replaced`` (None: of all) and of those it has rows for."""
+        number = self.version(spark)
+        number = 0 if number is None else number + 1
+        folder = f"table_version={number}-{uuid.uuid4().hex[:12]}"
+        df = df.select(*self.columns)
         if self.sort:  # rows that are read together stand together
             df = df.sortWithinPartitions(*([self.partition] if self.partition else []), *self.sort)
-        writer = df.write.mode(mode).option("compression", "zstd")
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(self.partition) if self.partition else writer).parquet(f"{self.path}/{folder}")
+        made = {"": folder}
         if self.partition:
-            writer = writer.partitionBy(self.partition)
-        if dynamic:
-            writer = writer.option("partitionOverwriteMode", "dynamic")
-        writer.parquet(path)
-
-    def _replace(self, df: DataFrame, spark: SparkSession, dynamic: bool, touched: DataFrame | None = None) -> None:
-        """Writes aside first, since ``df`` may read this table. Of the ``touched`` partitions, those left without a row go."""
-        aside = f"{self.path}.{uuid.uuid4().hex}"
-        store, at = _path(spark, aside)
-        try:
-            df.write.parquet(aside)
-            made = spark.read.schema(df.schema).parquet(aside)
-            emptied = touched.join(made.select(self.partition).distinct(), self.partition, "left_anti").collect() if touched is not None else []
-            self._write(made, self.path, dynamic=dynamic)
-            for row in emptied:
-                store.delete(_path(spark, f"{self.path}/{self.partition}={row[0]}")[1], True)
-        finally:
-            store.delete(at, True)
+            store, at = _path(spark, f"{self.path}/{folder}")
+            names = [x.getPath().getName() for x in store.listStatus(at) if x.isDirectory()]
+            made = {name: f"{folder}/{name}" for name in names}
+        kept = {} if replaced is None else {part: f for part, f in self.folders(spark).items() if part not in replaced}
+        self._commit(spark, number, kept | made)
+
+    def _commit(self, spark: SparkSession, number: int, folders: dict[str, str]) -> None:
+        store, at = _path(spark, self._manifest(number))
+        _, aside = _path(spark, f"{self._manifest(number)}.{uuid.uuid4().hex}.tmp")
+        with closing(store.create(aside)) as file:
+            file.write(bytearray("\n".join(folders.values()).encode()))
+        if store.exists(at) or not store.rename(aside, at):
+            raise RuntimeError(f"another writer committed {self.path}")
+        named = set(folders.values()) | (set(self.folders(spark, number - 1).values()) if number else set())
+        for status in store.globStatus(_path(spark, f"{self.path}/table_version=*")[1]):
+            folder = status.getPath().getName()
+            parts = [f"{folder}/{x.getPath().getName()}" for x in store.listStatus(status.getPath()) if x.isDirectory()] if self.partition else []
+            gone = [p for p in parts if p not in named]
+            for path in [folder] if folder not in named and len(gone) == len(parts) else gone:
+                store.delete(_path(spark, f"{self.path}/{path}")[1], True)
+        if number > 1:
+            store.delete(_path(spark, self._manifest(number - 2))[1], False)
+
+    def _partitions(self, spark: SparkSession, df: DataFrame) -> set[str]:
+        """Names of the folders of the partitions in ``df``; one value per partition reaches the driver."""
+        name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+        values = [r[0] for r in df.select(F.col(self.partition).cast("string")).distinct().collect()]
+        return {name(self.partition, v) for v in values}
 
     def snapshot(self, df: DataFrame) -> None:
         """Replaces the whole table."""
-        self._replace(df, df.sparkSession, dynamic=False)
+        self._replace(df, df.sparkSession, None)
 
     def overwrite_partitions(self, df: DataFrame) -> None:
-        """Replaces the partitions that ``df`` has rows for."""
-        self._replace(df, df.sparkSession, dynamic=bool(self.partition))
+        """Replaces the partitions that ``df`` has rows for; all where the table has no partitions."""
+        self._replace(df, df.sparkSession, () if self.partition else None)
 
     def upsert(self, batch: DataFrame) -> bool:
         """Merges a batch, whose repeated keys collapse first; an empty batch writes nothing.
@@ -96,18 +144,21 @@ class KeyedTable:
         """
         spark = batch.sparkSession
         key = self.key if self.global_key or not self.partition else (*self.key, self.partition)
-        batch = latest(batch.select([c.split()[0] for c in self.schema.split(", ")]), key, [F.col(self.order).desc_nulls_last()])
-        if batch.isEmpty():
-            return False
-        old = self.read(spark)
-        if not self.partition or not exists(spark, self.path):
-            self._replace(merged(old, batch, key, self.order), spark, dynamic=False)
+        batch = latest(batch.select(*self.columns), key, [F.col(self.order).desc_nulls_last()])
+        aside = f"{self.path}/_batch-{uuid.uuid4().hex}"  # so that the batch is computed once
+        try:
+            batch.write.parquet(aside)
+            batch = spark.read.schema(batch.schema).parquet(aside)
+            if batch.isEmpty():
+                return False
+            replaced = None
+            if self.partition:
+                touched = batch.select(self.partition)
+                if self.global_key:
+                    touched = touched.union(self.read(spark).join(batch.select(*self.key), list(self.key), "left_semi").select(self.partition))
+                replaced = self._partitions(spark, touched)
+            self._replace(merged(self.read(spark, replaced), batch, key, self.order), spark, replaced)
             return True
-        touched = batch.select(self.partition)
-        if self.global_key:
-            touched = touched.union(old.join(batch.select(*self.key), list(self.key), "left_semi").select(self.partition))
-        touched = touched.distinct()
-        same = old[self.partition].eqNullSafe(touched[self.partition])
-        scope = old.join(touched, same, "left_semi")
-        self._replace(merged(scope, batch, key, self.order), spark, dynamic=True, touched=touched)
-        return True
+        finally:
+            store, at = _path(spark, aside)
+            store.delete(at, True)

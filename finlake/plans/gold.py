@@ -94,10 +94,17 @@ def cancellations_live(cancelled: DataFrame) -> DataFrame:
     return _cancelled_by_reason(touched(cancelled, None), F.lit(False), F.lit(False), F.lit(None).cast("long"))
 
 
-def user_cohorts(tx: DataFrame, run_date: str | None = None) -> DataFrame:
-    """New users have their first day in all history on that day."""
+def first_seen(tx: DataFrame, run_date: str | None = None) -> DataFrame:
+    """The first day of each real user among the rows of ``run_date``, or of all. ``not_before`` falls as days rise, so that the earliest wins a merge by the larger."""
+    known = on_day(tx, run_date).where(real() & ~F.col("is_user_missing"))
+    first = known.groupBy("user_id").agg(F.min("event_day").alias("first_day"))
+    return first.withColumn("not_before", F.date_sub(F.lit("1970-01-01").cast("date"), F.unix_date(F.col("first_day").cast("date"))))
+
+
+def user_cohorts(tx: DataFrame, run_date: str | None = None, first: DataFrame | None = None) -> DataFrame:
+    """New users have their first day in all history on that day. ``first``: the kept first days of users, so that a day's run reads its day only."""
     known = tx.where(real() & ~F.col("is_user_missing"))
-    first = known.groupBy("user_id").agg(F.min("event_day").alias("__first"))
+    first = (first_seen(tx) if first is None else first).select("user_id", F.col("first_day").alias("__first"))
     per_user = on_day(known, run_date).groupBy("user_id", "event_day").agg(
         F.count("*").alias("n"), F.count_if(F.col("status") == "completed").alias("done"), F.count_if("is_revenue_eligible").alias("eligible"),
         F.sum("amount").alias("amount"), F.count("amount").alias("amounts"), F.max("ingested_at").alias("ingested_at"),
@@ -111,8 +118,8 @@ def user_cohorts(tx: DataFrame, run_date: str | None = None) -> DataFrame:
     return cohorts.select(key("event_day", "user_type"), "*")
 
 
-def promo_codes_analysis(tx: DataFrame, promo_codes: DataFrame) -> DataFrame:
-    """All history per code, with codes never used and uses of unknown codes. ``updated_at`` is left to the caller's clock."""
+def promo_codes_analysis(tx: DataFrame, promo_codes: DataFrame, updated_at: Column | None = None) -> DataFrame:
+    """All history per code, with codes never used and uses of unknown codes. ``updated_at`` is the caller's clock, which no row of the input gives."""
     used = tx.where(F.col("promo_code_id").isNotNull() & real()).groupBy("promo_code_id").agg(
         F.count("*").alias("total"), F.count_if(F.col("status") == "completed").alias("done"), F.count_if(F.col("status") == "failed").alias("failed"),
         F.min("created_ts").alias("first_used_at"), F.max("created_ts").alias("last_used_at"),
@@ -122,7 +129,7 @@ def promo_codes_analysis(tx: DataFrame, promo_codes: DataFrame) -> DataFrame:
     return promo_codes.join(used, "promo_code_id", "full_outer").select(
         "promo_code_id", "code", "max_uses", "expiry_date", zero("total").alias("uses_total"), zero("done").alias("uses_completed"), zero("failed").alias("uses_failed"),
         "first_used_at", "last_used_at", false(F.col("last_used_at") > F.try_to_date("expiry_date").cast("timestamp_ntz")).alias("used_after_expiry"),
-        false(F.col("total") > F.col("max_uses")).alias("over_limit"),
+        false(F.col("total") > F.col("max_uses")).alias("over_limit"), *([] if updated_at is None else [updated_at.alias("updated_at")]),
     )
 
 

@@ -47,7 +47,8 @@ def transactions_clean(bronze: DataFrame, users: DataFrame, test_users: DataFram
     if run_date:
         bronze = bronze.where(F.col("event_day") == run_date)
     rows = latest(bronze, ["composite_pk"], newest()).withColumn("created_ts", time_of("created_at"))
-    same_id = Window.partitionBy("event_day", "transaction_id")
+    # Null ids are no duplicates; each in a window of its own key, so that they never meet in one task.
+    same_id = Window.partitionBy("event_day", "transaction_id", F.when(F.col("transaction_id").isNull(), F.col("composite_pk")))
     rows = rows.withColumn("is_transaction_id_duplicated", F.col("transaction_id").isNotNull() & (F.count("*").over(same_id) > 1))
     return enriched(rows, users, test_users, promo_codes)
 

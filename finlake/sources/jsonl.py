@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,20 +25,24 @@ class Source:
 def sources(root: str) -> dict[str, Source]:
     return {
         "transactions": Source("transactions", schemas.TRANSACTIONS, f"{root}/day={{day}}", "transactions.jsonl"),
-        "cancellations": Source("cancellations", schemas.CANCELLATIONS, f"{root}/day={{day}}/cancellations.jsonl"),
-        "exchange_rates": Source("exchange_rates", schemas.RATES, f"{root}/day={{day}}/exchange_rates.jsonl"),
+        "cancellations": Source("cancellations", schemas.CANCELLATIONS, f"{root}/cancellations/day={{day}}/cancellations.jsonl"),
+        "exchange_rates": Source("exchange_rates", schemas.RATES, f"{root}/exchange_rates/day={{day}}/rates.jsonl"),
     }
 
 
-def read_day(spark: SparkSession, source: Source, day: str) -> DataFrame:
-    """The day's rows; a day without files is an empty frame of the same schema."""
-    path = source.path.format(day=day)
-    if not exists(spark, path):
+def read_days(spark: SparkSession, source: Source, days: Iterable[str]) -> DataFrame:
+    """The rows of these days; days without files have none, and no files at all make an empty frame of the same schema."""
+    paths = [path for day in days if exists(spark, path := source.path.format(day=day))]
+    if not paths:
         return spark.createDataFrame([], source.schema)
     reader = spark.read.schema(source.schema)
     if source.glob:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", source.glob)
-    return reader.json(path)
+    return reader.json(paths)
+
+
+def read_day(spark: SparkSession, source: Source, day: str) -> DataFrame:
+    return read_days(spark, source, [day])
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: str, ingested_at) -> DataFrame:

@@ -103,6 +103,42 @@ def test_upsert_moves_a_global_key(spark, tmp_path):
     assert rows(t.read(spark)) == [("a", 2, "p2"), ("b", 1, "p2"), ("c", 1, "p2")]
 
 
+def test_a_failed_write_leaves_the_table(spark, tmp_path, monkeypatch):
+    t = KeyedTable(f"file://{tmp_path}/t", "k string, v long, p string", ("k",), "v", "p")
+    before = [("a", 1, "p1"), ("b", 1, None)]
+    t.snapshot(spark.createDataFrame(before, t.schema))
+    broken = spark.createDataFrame([("c", 1, "p1"), ("d", 2, "p2")], t.schema).withColumn("v", F.expr("if(k = 'd', raise_error('lost'), v)").cast("long"))
+    for write in (t.snapshot, t.overwrite_partitions, t.upsert):
+        with pytest.raises(Exception, match="lost"):
+            write(broken)
+        assert sorted(map(tuple, t.read(spark).collect()), key=str) == sorted(before, key=str)
+    good = spark.createDataFrame([("a", 5, "p1")], t.schema)
+    with monkeypatch.context() as m:  # the folders are written, the commit does not come
+        m.setattr(KeyedTable, "_commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            t.upsert(good)
+    assert sorted(map(tuple, t.read(spark).collect()), key=str) == sorted(before, key=str)
+    earlier = t.read(spark)
+    t.upsert(good)
+    assert rows(t.read(spark).where("k = 'a'")) == [("a", 5, "p1")] and earlier.count() == 2  # a reader may finish
+    with pytest.raises(RuntimeError):  # a second writer that began at the same version
+        t._commit(spark, t.version(spark), {})
+    for _ in range(3):
+        t.upsert(good)
+    left = [p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("table_version=")]
+    assert len(left) <= 3 and len(list((tmp_path / "t" / "_manifests").glob("[0-9]*[0-9]"))) == 2
+
+
+def test_untouched_partitions_are_not_read(spark, tmp_path):
+    t = KeyedTable(f"file://{tmp_path}/t", "k string, v long, p string", ("k",), "v", "p", global_key=False)
+    t.snapshot(spark.createDataFrame([("a", 1, "p1"), ("b", 1, "p2/x y")], t.schema))
+    folder = t.folders(spark)["p=p1"]
+    for file in (tmp_path / "t" / folder).glob("*.parquet"):
+        file.write_bytes(b"unreadable")
+    t.upsert(spark.createDataFrame([("b", 2, "p2/x y")], t.schema))
+    assert t.folders(spark)["p=p1"] == folder and rows(t.read(spark).where("p <> 'p1'")) == [("b", 2, "p2/x y")]
+
+
 def test_overwrites(spark, tmp_path):
     t = KeyedTable(f"file://{tmp_path}/t", "k string, v long, p string", ("k",), "v", "p")
     t.snapshot(spark.createDataFrame([("a", 1, "p1"), ("b", 1, "p2")], t.schema))
