@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +22,14 @@ REFERENCES = {"users": schemas.USERS, "test_users": schemas.TEST_USERS, "promo_c
 REQUIRED = frozenset({"users"})
 
 
-def _prepared(source: Source, raw: DataFrame, ingested_at: Column) -> DataFrame:
+def _prepared(lake: Lake, source: Source, days: list[str], ingested_at: Column) -> DataFrame:
     if source.name == "transactions":
-        return with_transaction_keys(raw, ingested_at)
-    if source.name == "cancellations":
-        return with_cancellation_keys(raw, ingested_at, F.to_date(ingested_at)).withColumn("ingestion_day", F.col("ingestion_day").cast("string"))
-    return with_rate_keys(raw, ingested_at)
+        return with_transaction_keys(read_days(lake.spark, source, days), ingested_at)
+    if source.name == "exchange_rates":
+        return with_rate_keys(read_days(lake.spark, source, days), ingested_at)
+    # A cancellation belongs to the day that it was delivered with.
+    by_day = [with_cancellation_keys(read_days(lake.spark, source, [d]), ingested_at, F.lit(d)) for d in days]
+    return reduce(DataFrame.unionByName, by_day)
 
 
 def ingest(lake: Lake, source: Source, days: Iterable[str], ingested_at: Column, committed_at: str) -> int:
@@ -37,16 +40,14 @@ def ingest(lake: Lake, source: Source, days: Iterable[str], ingested_at: Column,
     else either and stay in their own partition.
     """
     spark, days = lake.spark, list(days)
-    raw = read_days(spark, source, days)
-    name = f"bronze.{source.name}"
-    table = lake.table(name)
-    prepared = _prepared(source, raw, ingested_at).select(*table.columns)
+    table = lake.table(f"bronze.{source.name}")
+    prepared = _prepared(lake, source, days, ingested_at).select(*table.columns)
     if table.partition:
         left = residual(table.read(spark), table.partition, prepared, prepared)
         table.overwrite_partitions(cutover(prepared, left, table.key[0]))
     else:
         table.upsert(prepared)
-    n = raw.count()
+    n = read_days(spark, source, days).count()
     closed = [f"day={d}" for d in days] if table.partition else [NONPARTITIONED]
     lake.mark(source.name, spark.createDataFrame([(d,) for d in closed], "p string"), n, committed_at)
     return n

@@ -60,8 +60,56 @@ def of_kind(events: DataFrame, kind: str) -> DataFrame:
 class Folders:
     root: str
 
-    #: The day that a row of the log is filed under: that of the aggregates it goes into.
-LOG_DAYS = {"transactions": F.col("event_day"), "cancellations": F.col("event_day"), "exchange_rates": F.lit("all")}
+    def bronze(self, table: str) -> str:
+        return f"{self.root}/bronze/{table}"
+
+    @property
+    def dead(self) -> str:
+        return f"{self.root}/bronze_dlq/late_events"
+
+    @property
+    def offsets(self) -> str:
+        return f"{self.root}/bronze/offsets"
+
+    def checkpoint(self, name: str) -> str:
+        return f"{self.root}/checkpoints/{name}"
+
+
+def _prepared(rows: DataFrame, kind: str, now: F.Column) -> tuple[DataFrame, str, str, str | None]:
+    """(rows, table, key, day that a watermark can close)."""
+    at = F.coalesce("source_ts", now)
+    if kind == "transaction":
+        return with_transaction_keys(rows, at).drop("source_ts"), "transactions", "composite_pk", "event_day"
+    if kind == "cancellation":
+        return with_cancellation_keys(rows, at, F.to_date(at)).drop("source_ts"), "cancellations", "cancellation_pk", "ingestion_day"
+    return with_rate_keys(rows, at).drop("source_ts"), "exchange_rates", "rate_pk", None
+
+
+def ingest_batch(batch: DataFrame, batch_id: int, folders: Folders, closed: Callable[[str], datetime.date | None], now: F.Column, mark: Callable[[int, int], None] | None = None) -> None:
+    """Routes one micro-batch. Files are named by the batch, so running it again replaces what it wrote. ``mark`` gets the batch and its largest offset, if any."""
+    batch = batch.persist()
+    try:
+        for kind in schemas.KINDS:
+            rows, table, key, day = _prepared(of_kind(batch, kind), kind, now)
+            on_time, late = route(rows, day, closed(table)) if day else (rows, None)  # rates are idempotent by key and exempt
+            on_time.withColumn("log_day", F.expr(LOG_DAYS[table])).write.mode("overwrite").partitionBy("log_day").parquet(f"{folders.bronze(table)}/batch={batch_id}")
+            if late is not None:
+                dead_letters(late, table, key, day).write.mode("overwrite").parquet(f"{folders.dead}/batch={batch_id}/table={table}")
+        last = batch.agg(F.max("source_offset").alias("offset"), F.count("*").alias("rows"))
+        last.write.mode("overwrite").parquet(f"{folders.offsets}/batch={batch_id}")
+        if mark and (offset := last.first()["offset"]) is not None:
+            mark(batch_id, offset)
+    finally:
+        batch.unpersist()
+
+
+def ingest(messages: DataFrame, folders: Folders, closed: Callable[[str], datetime.date | None], now: F.Column, trigger: dict, mark: Callable[[int, int], None] | None = None) -> StreamingQuery:
+    writer = parsed(messages).writeStream.foreachBatch(lambda batch, n: ingest_batch(batch, n, folders, closed, now, mark))
+    return writer.option("checkpointLocation", folders.checkpoint("ingest")).trigger(**trigger).start()
+
+
+#: The day that a row of the log is filed under: that of the aggregates it goes into.
+LOG_DAYS = {"transactions": "event_day", "cancellations": "event_day", "exchange_rates": "'all'"}
 _LOGS = {
     "transactions": f"{schemas.TRANSACTIONS}, event_day string, composite_pk string, ingested_at timestamp_ntz",
     "cancellations": f"{schemas.CANCELLATIONS}, cancelled_ts timestamp_ntz, ingestion_day date, event_day string, ingested_at timestamp_ntz, cancellation_pk string",

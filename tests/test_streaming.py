@@ -45,3 +45,25 @@ def test_live_equals_batch(spark, tmp_path):
     dead = spark.read.parquet(folders.dead)
     late = live.with_transaction_keys(frames["transaction"].drop("loaded_at"), now).where("event_day <= '2024-01-10'")
     assert dead.count() == late.count() and json.loads(dead.first()["payload_json"])["composite_pk"]
+    assert live.last_batch(spark, folders, "transactions") == 2 and live.last_batch(spark, live.Folders(f"file://{tmp_path}/none"), "transactions") == -1
+    days = live.log(spark, folders, "transactions", ["2024-01-12"])
+    assert {r["event_day"] for r in days.collect()} == {"2024-01-12"}
+    assert all("/log_day=2024-01-12/" in r[0] for r in days.select(F.input_file_name()).collect())
+
+
+def test_a_stream_may_start_after_a_batch(spark, tmp_path):
+    folders, now = live.Folders(f"file://{tmp_path}/lake"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    batch = lambda n: spark.createDataFrame([(json.dumps({"_source": "exchange_rate", "update_id": n, "timestamp": n}), None, n)], "value string, source_ts timestamp_ntz, source_offset long")
+    marks = []
+    for n in range(3):
+        live.ingest_batch(live.parsed(batch(n)), n, folders, lambda _: None, now, lambda b, o: marks.append((b, o)))
+    assert marks == [(0, 0), (1, 1), (2, 2)]
+    seen = []
+    query = live.changes(spark, folders, "exchange_rates", after=1).writeStream.foreachBatch(lambda df, _: seen.extend(r["update_id"] for r in df.collect())).trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/c").start()
+    query.awaitTermination()
+    assert seen == [2]
+    spark.streams.resetTerminated()
+    idle = [live.changes(spark, folders, "exchange_rates").writeStream.foreachBatch(lambda df, _: None).start() for _ in range(2)]
+    assert not live.wait_for_any(spark, idle, timeout=1) and all(q.isActive for q in idle)
+    idle[0].stop()
+    assert live.wait_for_any(spark, idle) and not any(q.isActive for q in idle)
