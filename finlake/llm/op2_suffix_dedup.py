@@ -1,4 +1,4 @@
-"""Repeated passages by distributed prefix doubling.
+"""Repeated passages by ranks of positions at growing lengths.
 
 Removed is every byte that a THRESHOLD-byte string covers which also starts in
 a document with a smaller doc_id; strings are judged on the input. Ranks of
@@ -20,9 +20,10 @@ reaches the next:
    of each. (Windows count as equal if 64-bit hash and 64-bit rank are equal.)
 
 Hashes of doubled length come from pairs of hashes at an offset (1, 2, 4, ...,
-32). Documents are handled in blocks of about BLOCK_BYTES; within a block a
+32). Documents are handled in blocks of about BLOCK_BYTES of text; within a block a
 rank, or a run, is sent once however many documents have it, so a passage in a
 third of all documents makes one entry per block. No pair of documents is made.
+CROWDED and PACKED choose the length of a rank and change no result.
 
 A null text counts as empty. Of rows that repeat a doc_id only the one with the
 smallest text counts; rows without a doc_id are left out. Texts shorter than
@@ -40,10 +41,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finlake.llm.kernels import BYTE_CODE, U64, mix, span_hashes, text_bytes
-from finlake.llm.scratch import Scratch, documents, input_bytes
+from finlake.llm.scratch import Scratch, documents
 
 THRESHOLD, FIRST, SECOND = 50, 20, 40
-BLOCK_BYTES, LEAST_BLOCKS, PIECE_BYTES, CROWDED, PACKED = 4 << 20, 48, 1 << 18, 2000, 1 << 18
+BLOCK_BYTES, LEAST_BLOCKS, PIECE_BYTES, CROWDED, PACKED = 8 << 20, 48, 1 << 18, 2000, 1 << 18
 
 #: Set in a 16-bit count of runs of one block: all are of one document.
 ONE_DOCUMENT = 1 << 15
@@ -158,7 +159,8 @@ def _joined(table: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndar
 
 def repeated(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, the kept bytes as ``kept``, for every document."""
-    blocks = max(LEAST_BLOCKS, input_bytes(docs) // BLOCK_BYTES)
+    size = docs.where("doc_id is not null").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(LEAST_BLOCKS, size // BLOCK_BYTES)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
 

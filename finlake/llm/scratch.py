@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finlake.sources.storage import shared_root
+
 #: Bytes of text that a NumPy kernel looks at together; bounds its temporary arrays.
 BLOCK_BYTES = 1 << 20
 
@@ -19,17 +19,6 @@ BLOCK_BYTES = 1 << 20
 _STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. A local one is made only where the setting is missing and all runs in one process, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("finlake.scratch.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="finlake-")
-        spark.conf.set("finlake.scratch.dir", root)
-    return root.rstrip("/")
-
-
 class Scratch:
     """Tables of one run of one operator, written as Parquet under the shared folder.
 
@@ -81,12 +70,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``, to choose numbers of groups; where it has none, by the number of rows."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else df.count() * 2000
-
-
 def by_block(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """Slices batches so that each holds about ``limit`` bytes of text and at most ``rows`` rows, or one row."""
     for batch in batches:

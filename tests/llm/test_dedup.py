@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from plain_doubling import bytes_removed
 from support import SF, same_rows
 
 from finlake.llm import op2_suffix_dedup as op2
@@ -63,6 +64,17 @@ def test_op2_brute_force(spark, crowded, packed, piece, monkeypatch):
     assert op2_rows(docs, spark) == removed(texts(docs))
 
 
+def test_op2_brute_force_on_all_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert op2_rows(docs, spark) == removed(texts(docs))
+
+
+def test_op2_agrees_with_plain_doubling(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    found = {r["doc_id"]: r["n_removed"] for r in op2.repeated(docs, Scratch(spark, "t")).collect()}
+    assert {i: n for i, n in found.items() if n} == bytes_removed(docs)
+
+
 def test_op2_periodic_and_overlapping(spark):
     docs = {1: "ab" * 400, 2: "ba" * 100 + "tail", 3: "z" * 49, 4: "z" * 50, 5: "z" * 51, 6: "q" + "ab" * 30 + "q", 7: "é" * 40}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
