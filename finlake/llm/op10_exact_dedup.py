@@ -152,15 +152,15 @@ def exact_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, version, digest, keep_id and keep_version (the row with the largest id of the same text) and group_size, for every row."""
     rows = scratch.save(fingerprints(docs), "prints")
     pending = scratch.save(rows.groupBy(*ROW, *PRINT).agg(F.count("*").alias("copies")), "pending")
-    data = _rows(docs).select(*ROW, normalised(F.col("text")).cast("binary").alias("data"))
-    done = None
+    data, done = _rows(docs), None
     for turn in range(1 << 30):
         largest = F.max(F.struct("doc_id", "version"))
         groups = pending.groupBy(*PRINT).agg(largest.alias("keep"), F.count("*").alias("members"), F.sum("copies").alias("group_size"))
         groups = scratch.save(groups.select(*PRINT, F.col("keep.doc_id").alias("keep_id"), F.col("keep.version").alias("keep_version"), "members", "group_size"), f"groups{turn}")
         # Sides of the join are scans, so that AQE can split a hot group.
         members = scratch.save(pending.join(groups.where("members > 1").select(*PRINT, *KEEP), PRINT).select(*ROW, *KEEP), f"members{turn}")
-        chunks = _chunks(data.join(members, ROW), *KEEP)
+        # Merged at every size, so that a larger input does the same as a small one; lower-cased after the join, what is left of the texts only.
+        chunks = _chunks(_normal(data.join(members.hint("merge"), ROW), *KEEP), *KEEP)
         mixed = chunks.groupBy(*KEEP, "number").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low <> high").select(*KEEP).distinct()
         mixed = scratch.save(mixed, f"mixed{turn}")
         if mixed.isEmpty():
@@ -179,11 +179,16 @@ def exact_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return done.join(done.groupBy(*KEEP).agg(F.count("*").alias("group_size")), KEEP).select(*ROW, "digest", *KEEP, "group_size")
 
 
+def _normal(rows: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns and the normalised text as ``data``."""
+    return rows.select(*keep, normalised(F.col("text")).cast("binary").alias("data"))
+
+
 def _like_representative(data: DataFrame, members: DataFrame) -> DataFrame:
     """The members of groups whose fingerprints collided, with ``same``: every chunk is the representative's."""
     heads = members.select(*KEEP).distinct()
-    mine = _chunks(data.join(members, ROW).dropDuplicates(ROW), *ROW, *KEEP)
-    theirs = _chunks(data.select(F.col("doc_id").alias("keep_id"), F.col("version").alias("keep_version"), "data").join(heads, KEEP).dropDuplicates(KEEP), *KEEP)
+    mine = _chunks(_normal(data.join(members, ROW), *ROW, *KEEP).dropDuplicates(ROW), *ROW, *KEEP)
+    theirs = _chunks(_normal(data.select(F.col("doc_id").alias("keep_id"), F.col("version").alias("keep_version"), "text").join(heads, KEEP), *KEEP).dropDuplicates(KEEP), *KEEP)
     met = mine.join(theirs.select(*KEEP, "number", F.col("chunk").alias("other")), [*KEEP, "number"], "left")
     return met.groupBy(*ROW, *KEEP).agg(F.min(F.coalesce(F.col("chunk") == F.col("other"), F.lit(False))).alias("same"))
 
