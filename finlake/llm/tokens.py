@@ -14,7 +14,6 @@ the whole text.
 from __future__ import annotations
 
 import os
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +61,7 @@ def pieces(data: np.ndarray, bounds: np.ndarray, specials: list[bytes]) -> tuple
 class WordEncoder:
     """``path``: a tokenizers JSON file. ``most``: pieces kept before the memory starts anew."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,17 +76,18 @@ class WordEncoder:
         self.known = 0
 
     def learn(self, texts: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-        ends = self.bounds[self.known] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        made = self.tokenizer.encode([t.decode() for t in texts], is_pretokenized=True, add_special_tokens=False)
+        # Each id with the number of the text it comes from.
+        found, count = np.array(made.ids, np.uint32), np.bincount(np.array(made.word_ids, np.int64), minlength=len(texts))
+        ends = self.bounds[self.known] + np.cumsum(count)
         while ends[-1] > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        while self.known + len(found) + 1 > len(self.bounds):
+        while self.known + len(texts) + 1 > len(self.bounds):
             self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
-        begin = self.bounds[self.known]
-        self.pool[begin : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1] - begin))
-        self.bounds[self.known + 1 : self.known + 1 + len(found)] = ends
-        self.place.update(zip(texts, range(self.known, self.known + len(found))))
-        self.known += len(found)
+        self.pool[self.bounds[self.known] : ends[-1]] = found
+        self.bounds[self.known + 1 : self.known + 1 + len(texts)] = ends
+        self.place.update(zip(texts, range(self.known, self.known + len(texts))))
+        self.known += len(texts)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of all rows; null and empty texts have no ids."""
@@ -111,7 +111,9 @@ class WordEncoder:
         begin, count = self.bounds[place], self.bounds[place + 1] - self.bounds[place]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.arange(total) + np.repeat(begin - (ends - count), count)]
+        at = np.repeat((begin - (ends - count)).astype(np.int32), count)
+        at += np.arange(total, dtype=np.int32)
+        ids = self.pool.take(at)
         return ids, np.bincount(row, weights=count, minlength=len(bounds) - 1).astype(np.int64)
 
 
