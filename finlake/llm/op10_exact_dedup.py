@@ -200,7 +200,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     groups = scratch.save(groups.where("not stays or copies > 1"), "away")
     # The columns of docs travel in a struct, so that none of them can clash.
     packed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    kept = packed.join(groups, ROW, "left_anti")
+    kept = packed.join(groups.hint("merge"), ROW, "left_anti")
     several = groups.where("stays")
     if not several.isEmpty():  # one of the repeated rows
         kept = kept.unionByName(packed.join(several.select(*ROW), ROW).dropDuplicates(ROW))

@@ -151,7 +151,8 @@ def _one_row_per_id(made: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """The sets of the documents in ``wanted`` (doc_id and digest), of repeated ids that of the digest."""
-    made = arrow_map(texts.join(wanted.select("doc_id"), "doc_id", "left_semi"), _set_columns, "doc_id long, n_shingles long, k1 long, k2 long, items array<long>")
+    # Merged at every size, so that a larger input does the same as a small one.
+    made = arrow_map(texts.join(wanted.select("doc_id").hint("merge"), "doc_id", "left_semi"), _set_columns, "doc_id long, n_shingles long, k1 long, k2 long, items array<long>")
     return made.join(wanted, ["doc_id", *DIGEST], "left_semi")
 
 
@@ -228,7 +229,7 @@ def near_groups(docs: DataFrame, scratch: Scratch, threshold: int = 85) -> DataF
 def near_dedup(docs: DataFrame, threshold: int = 80) -> DataFrame:
     """The rows of ``docs``, of linked ones only that with the smallest doc_id."""
     groups = near_groups(docs, Scratch(docs.sparkSession, "near"), threshold)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    return docs.join(groups.where("doc_id = component_id").select("doc_id").hint("merge"), "doc_id", "left_semi")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

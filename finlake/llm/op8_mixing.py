@@ -182,7 +182,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     taken = scratch.save(taken, "times")
     # The columns of docs travel in a struct, so that none of them can clash.
     packed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.struct(*columns).alias("doc"))
-    out = packed.join(taken.where("rows = 1"), ["doc_id", "row"])
+    out = packed.join(taken.where("rows = 1").hint("merge"), ["doc_id", "row"])
     several = taken.where("rows > 1")
     if not several.isEmpty():  # one of each set of equal rows, before anything is sorted
         out = out.unionByName(packed.join(several, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]))

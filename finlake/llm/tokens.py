@@ -14,6 +14,7 @@ the whole text.
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -104,10 +105,12 @@ class WordEncoder:
         first, back = distinct_spans(data, start, end)
         raw = data.tobytes()
         keys = [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist())]
-        new = [k for k in keys if k not in self.place]
-        if new:
-            self.learn(new)
-        place = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[back]
+        place = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = np.arange(self.known, self.known + len(new))
+            self.learn([keys[i] for i in new.tolist()])
+        place = place[back]
         begin, count = self.bounds[place], self.bounds[place + 1] - self.bounds[place]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
