@@ -161,30 +161,32 @@ def near_groups(docs: DataFrame, scratch: Scratch, threshold: int = 85) -> DataF
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = scratch.save(arrow_map(texts, _sketch_columns, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "sketches")
     made = _one_row_per_id(sketched, scratch)
-    unique_ids = made is sketched
-    one = (lambda sets: sets) if unique_ids else (lambda sets: sets.dropDuplicates(["doc_id"]))
-
-    # Merge equal sets; one digest of different sets merges none.
-    copies = made.where("n_shingles > 0").groupBy(*DIGEST).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = scratch.save(copies, "copies")
-    members = scratch.save(made.join(copies.where("copies > 1"), DIGEST).select("doc_id", *DIGEST), "members")
-    differ = _full_sets(texts, members).groupBy(*DIGEST).agg(F.min("items").alias("low"), F.max("items").alias("high")).where("low <> high").select(*DIGEST)
-    differ = scratch.save(differ, "differ")
-    digest, classes = DIGEST, copies
-    if not differ.isEmpty():
-        digest = [*DIGEST, "own"]
+    for digest in (DIGEST, [*DIGEST, "own"]):
+        # Merge equal sets; the first of each class stands for it.
+        classes = made.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+        classes = scratch.save(classes, "classes")
+        chosen = made.join(classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n")), "doc_id")
+        bands = scratch.save(chosen.select("doc_id", "n", F.explode("bands").alias("bucket")), "bands")
+        buckets = scratch.save(bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
+        held = scratch.save(bands.join(buckets, "bucket"), "held")
+        scratch.drop("bands")
+        wanted = scratch.save(held.groupBy("doc_id").agg((F.max("members") > SMALL_BUCKET).alias("crowded")), "wanted")
+        # One pass over the texts for the sets of the candidates and of all members of classes, which are compared in full.
+        members = made.join(classes.where("copies > 1"), digest).select("doc_id", *DIGEST)
+        needed = scratch.save(members.union(made.join(wanted, "doc_id", "left_semi").select("doc_id", *DIGEST)).distinct(), "needed")
+        full = _full_sets(texts, needed)
+        full = scratch.save(full if made is sketched else full.dropDuplicates(["doc_id"]), "full")
+        if len(digest) > len(DIGEST):
+            break
+        differ = full.groupBy(*DIGEST).agg(F.min("items").alias("low"), F.max("items").alias("high")).where("low <> high").select(*DIGEST)
+        differ = scratch.save(differ, "differ")
+        if differ.isEmpty():
+            break
+        # Different sets of one digest: each document of it stands for itself.
         apart = made.join(differ.withColumn("apart", F.lit(True)), DIGEST, "left")
         made = scratch.save(apart.withColumn("own", F.when(F.col("apart"), F.col("doc_id")).otherwise(F.lit(-1).cast("long"))).drop("apart"), "apart")
-        classes = scratch.save(made.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep")), "classes")
-
-    chosen = made.join(classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n")), "doc_id")
-    bands = scratch.save(chosen.select("doc_id", "n", F.explode("bands").alias("bucket")), "bands")
-    buckets = scratch.save(bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
-    held = scratch.save(bands.join(buckets, "bucket"), "held")
-    scratch.drop("bands")
-    wanted = scratch.save(held.groupBy("doc_id").agg((F.max("members") > SMALL_BUCKET).alias("crowded")), "wanted")
-    sets = one(_full_sets(texts, made.join(wanted, "doc_id", "left_semi").select("doc_id", *DIGEST))).select("doc_id", "items")
-    sets = scratch.save(sets, "sets")
+    sets = scratch.save(full.join(wanted, "doc_id", "left_semi").select("doc_id", "items"), "sets")
+    scratch.drop("full", "needed")
 
     # Small buckets: every pair.
     few = held.where(F.col("members") <= SMALL_BUCKET).select("bucket", "doc_id", "n")
@@ -218,7 +220,7 @@ def near_groups(docs: DataFrame, scratch: Scratch, threshold: int = 85) -> DataF
     # Back to all documents: set -> representative -> component.
     heads = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*digest, F.coalesce("component", "rep").alias("component_id"))
     heads = scratch.save(heads, "heads")
-    scratch.drop("sets", "items", "among", "held", "members", "lists", *[f"labelled{t}" for t in range(STARS + 1)])
+    scratch.drop("sets", "items", "among", "held", "lists", *[f"labelled{t}" for t in range(STARS + 1)])
     return (
         made.select("doc_id", *digest)
         .join(heads, digest, "left")
