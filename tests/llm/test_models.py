@@ -7,7 +7,9 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import plain_models
 import pytest
+from pyspark.sql import functions as F
 from support import SF
 
 from finlake.llm import op3_toxicity as op3
@@ -165,6 +167,79 @@ def test_op3_pooling_stays_within_texts():
     assert np.allclose(one(ts), np.concatenate([one([t]) for t in ts]), atol=1e-5) and (one([""]) == 0).all()
 
 
+@pytest.fixture(scope="module")
+def tables(spark, edge):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    few = edge.where("doc_id is not null").select("doc_id", "text").union(docs.where("doc_id < 60").select(F.col("doc_id") + 1000, "text"))
+    return docs, labels, few, {(r["doc_id"], r["text"]) for r in few.collect()}
+
+
+def test_op3_scores_agree_with_plain_python(tables):
+    docs, labels, few, rows = tables
+    model = op3.train(docs, labels)
+    found = {r["doc_id"]: r for r in op3.score(few, model).collect()}
+    for i, t in rows:
+        assert found[i]["score"] == pytest.approx(plain_models.toxicity(t or "", model), abs=1e-4), i
+        assert found[i]["predicted"] == (found[i]["score"] >= 0.7)
+
+
+def test_op6_verdicts_agree_with_plain_python(tables):
+    docs, labels, few, rows = tables
+    model = op6.train(docs, labels)
+    found = {r["doc_id"]: r for r in op6.score(few, model).collect()}
+    for i, t in rows:
+        p = plain_models.quality(t or "", model)
+        assert found[i]["p_quality"] == pytest.approx(p, abs=1e-4), i
+        assert found[i]["kept"] == (not base(t or "")[5] and found[i]["p_quality"] >= op6.KEEP) and (abs(p - op6.KEEP) < 1e-3 or (p >= op6.KEEP) == (found[i]["p_quality"] >= op6.KEEP))
+
+
+def test_op7_predictions_agree_with_plain_python(tables):
+    docs, _, few, rows = tables
+    model = op7.train(docs)
+    found = {r["doc_id"]: r for r in op7.predict(few, model).collect()}
+    for i, t in rows:
+        if not t or not re.search(r"[^\W\d_]", t):
+            assert (found[i]["lang_pred"], found[i]["score"]) == ("und", 0)
+            continue
+        lang, score = plain_models.language(t, model)
+        assert found[i]["lang_pred"] == lang and found[i]["score"] == pytest.approx(score, abs=1e-4), i
+
+
+def test_op3_training_moves_more_than_the_start(spark):
+    """The trained weights separate held-out texts better than those that training begins with."""
+    docs, labels = spark.read.parquet(f"{LARGE}/documents.parquet"), pd.read_parquet(f"{LARGE}/labels.parquet")
+    texts = docs.select("doc_id", "text").toPandas().merge(labels, on="doc_id")
+    learn, test = texts[~texts.doc_id.map(held)], texts[texts.doc_id.map(held)]
+    auc = []
+    for rounds in (0, 8):
+        model = op3.fit(learn.text.tolist(), learn.toxic.to_numpy(), [""] * len(learn), rounds=rounds)
+        z = op3.margins(pa.array(test.text.tolist(), pa.large_string()), model)
+        order = pd.Series(z).rank().to_numpy()
+        hit = test.toxic.to_numpy() == 1
+        auc.append((order[hit].sum() - hit.sum() * (hit.sum() + 1) / 2) / (hit.sum() * (~hit).sum()))
+    assert auc[1] >= auc[0] and auc[1] > 0.95, auc
+
+
+def test_op3_long_texts_are_pooled_in_slices(monkeypatch):
+    rng = np.random.default_rng(1)
+    filters = [rng.normal(size=(w, op3.DIMENSIONS, op3.FILTERS)).astype(np.float32) for w in op3.WIDTHS]
+    n = len(op3.WIDTHS) * op3.FILTERS
+    model = {"table": rng.normal(size=(op3.BUCKETS, op3.DIMENSIONS)).astype(np.float32), "filters": filters, "bias": np.full(n, -0.5, np.float32), "out": rng.normal(size=n).astype(np.float32), "offset": 0.1}
+    texts = [pa.array([" ".join(f"w{k}" for k in rng.integers(0, 900, size))]) for size in (1, 7, 8, 9, 10, 200)]
+    whole = [op3.margins(t, model)[0] for t in texts]
+    monkeypatch.setattr(op3, "SLICE_WORDS", 8)
+    assert np.allclose([op3.margins(t, model)[0] for t in texts], whole, atol=1e-4)
+
+
+def test_samples_leave_no_label_out(spark):
+    """Hundreds of labels, one of them with a third of all rows, and repeated ids."""
+    df = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text", "if(id % 3 = 0, 'hot', concat('l', id % 700)) as lang")
+    df = df.union(df.where("doc_id < 10")).union(df.limit(1).selectExpr("doc_id", "text", "null as lang"))
+    found = op7.texts_by(df, "lang", 400, 7)
+    assert found.label.nunique() == df.select("lang").distinct().where("lang is not null").count() and found.doc_id.is_unique
+    assert (found.label == "hot").sum() < 120
+
+
 def test_platt_is_calibrated():
     rng = np.random.default_rng(2)
     z = rng.normal(size=4000) * 3
