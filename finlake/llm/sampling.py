@@ -11,6 +11,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 SAMPLE_TEXT_BYTES = 20_000
 #: Rows that a sample has about, of all labels together; with many labels each gets an equal part, LEAST_ROWS at least. At most 400 MB of text.
 SAMPLE_ROWS, LEAST_ROWS = 20_000, 20
+#: Labels whose shares are broadcast; with more of them, rows and shares are merged.
+MOST_BROADCAST = 100_000
 
 
 def _share(rows: DataFrame, label: str, per_class: int, seed: int) -> DataFrame:
@@ -25,7 +27,7 @@ def _share(rows: DataFrame, label: str, per_class: int, seed: int) -> DataFrame:
     per = min(per_class, max(LEAST_ROWS, SAMPLE_ROWS // len(counts)))
     shares = rows.sparkSession.createDataFrame([(k, per / n) for k, n in counts], StructType([StructField(label, kind), StructField("__share", DoubleType())]))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003.0
-    return rows.join(shares, label).where(draw < F.col("__share")).select(*rows.columns)
+    return rows.join(F.broadcast(shares) if len(counts) <= MOST_BROADCAST else shares, label).where(draw < F.col("__share")).select(*rows.columns)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int, columns: tuple[str, ...] = ()) -> pd.DataFrame:
