@@ -17,9 +17,10 @@ go an exact way that needs no sketch: sets with enough overlap share one of
 their rarest elements (a prefix, in order of frequency), and a prefix list is
 compared by stars first (each member with a central one, which has the element
 earliest in its order and so has the fewest elements of its own), then only
-between members that different components still hold. All candidates are
-confirmed on their full sets. Links within one component that are not listed change no
-result.
+between members that different components still hold: by classes of size, since
+linked sizes are near, and in pairs of blocks of a class, so that no task gets a
+whole list. All candidates are confirmed on their full sets. Links within one
+component that are not listed change no result.
 
 A null or empty text, or one of white space only, has an empty set and links
 with nothing. Rows without a doc_id are left out. A doc_id is one document: of
@@ -31,6 +32,8 @@ of 64-bit hashes of words.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +49,8 @@ COORDINATES = BANDS * ROWS
 SMALL_BUCKET = 8
 #: Rounds of stars before the members of different components are compared.
 STARS = 2
+#: Members of a list and size class that are compared with as many others in one key, about.
+BLOCK = 1000
 EMPTY = U64(2**64 - 1)
 
 
@@ -136,6 +141,27 @@ def _prefixes(sets: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
     return rare.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold / F.lit(100)) + 1).where("among > 1").select("item", "doc_id", "n", "place")
 
 
+CELL = ["item", "class", "row", "column"]
+
+
+def _cells(away: DataFrame, members: DataFrame, scratch: Scratch, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides by CELL: a member of ``away`` meets each of ``members`` of its list that has its class of size or a next one.
+
+    Linked sizes differ by a factor of at most 100 / threshold, and a class is
+    no narrower. The members of a class are cut into blocks, and each pair of
+    blocks is a key of its own.
+    """
+    width = max(math.log(100 / threshold), 0.01) * (1 + 1e-6)  # a little wider than rounding can lose
+    size = F.floor(F.log("n") / width).cast("int")
+    away = scratch.save(away.withColumn("class", size), "away")
+    near = members.join(away.select("item").distinct(), "item", "left_semi").withColumn("class", F.explode(F.array(size - 1, size, size + 1)))
+    near = scratch.save(near.join(away.select("item", "class").distinct(), ["item", "class"], "left_semi"), "near")
+    blocks = scratch.save(near.groupBy("item", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return away.join(blocks, ["item", "class"]).withColumn("row", own).withColumn("column", every), near.join(blocks, ["item", "class"]).withColumn("column", own).withColumn("row", every)
+
+
 DIGEST = ["n_shingles", "k1", "k2"]
 
 
@@ -198,17 +224,20 @@ def near_groups(docs: DataFrame, scratch: Scratch, threshold: int = 85) -> DataF
     # Crowded buckets: prefix lists, by stars; from the second on, around a member outside the list's main component.
     crowded = sets.join(wanted.where("crowded"), "doc_id")
     lists = scratch.save(_prefixes(crowded, scratch, threshold), "lists")
-    member = lambda rows, x: rows.select("item", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"place_{x}"), F.col("component").alias(f"part_{x}"))
+    member = lambda rows, x, by: rows.select(*by, F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"place_{x}"), F.col("component").alias(f"part_{x}"))
     open_lists, labelled = None, lists.withColumn("component", F.col("doc_id"))
     for turn in range(STARS + 1):
         away = labelled if open_lists is None else labelled.join(open_lists, "item").where("component <> main")
         if turn < STARS:
             first = F.min_by(F.struct("doc_id", "n", "place", "component"), F.struct("place", "doc_id"))
             centres = away.groupBy("item").agg(first.alias("c")).select("item", "c.*")
-            away = scratch.save(centres, f"centres{turn}")
-        met = member(away, "a").join(member(labelled, "b"), "item").where((F.col("part_a") != F.col("part_b")) & _fits(threshold) & _early(threshold))
+            away, others, by = scratch.save(centres, f"centres{turn}"), labelled, ["item"]
+        else:
+            (away, others), by = _cells(away, labelled, scratch, threshold), CELL
+        met = member(away, "a", by).join(member(others, "b", by), by).where((F.col("part_a") != F.col("part_b")) & _fits(threshold) & _early(threshold))
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = links.union(scratch.save(confirmed(pairs, sets, threshold), f"links{turn}"))
+        scratch.drop("away", "near", "blocks")
         found = connected_components(links, scratch, f"parts{turn}")
         labelled = scratch.save(lists.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), f"labelled{turn}")
         held_by = labelled.groupBy("item", "component").agg(F.count("*").alias("held"))

@@ -143,6 +143,29 @@ def test_op5_crowded_buckets(spark, n):
     assert op5_rows(df, spark) == components(docs)
 
 
+def sections(n: int, seed: int) -> dict[int, str]:
+    """Texts of six of twelve shared sections in one order and a few words of their own: long lists, few links, many sizes."""
+    draw = np.random.default_rng(seed)
+    shared = [" ".join(f"s{k}w{i}" for i in range(12 + 3 * k)) for k in range(12)]
+    out = {}
+    for i in range(n):
+        own = " ".join(f"o{i}x{j}" for j in range(draw.integers(0, 9)))
+        out[i] = " ".join([shared[k] for k in sorted(draw.choice(12, 6, replace=False))] + [own])
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_op5_long_lists_without_links(spark, block, monkeypatch):
+    """The last turn by classes of size and blocks, against brute force: without stars it does all of the work."""
+    monkeypatch.setattr(op5, "BLOCK", block)
+    monkeypatch.setattr(op5, "STARS", 0 if block == 3 else 1)
+    docs = sections(150, block)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    expected = components(docs)
+    assert 20 < len({c for _, c in expected.values()}) < len(docs)
+    assert op5_rows(df, spark) == expected
+
+
 def test_op5_near_dedup_keeps_columns_and_uses_80(spark, edge):
     kept = op5.near_dedup(edge)
     assert kept.columns == edge.columns
