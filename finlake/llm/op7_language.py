@@ -15,7 +15,8 @@ root of their bytes: one word of a learned language is no reason to reject.
 
 A text that is null or has no letter: ``und``, score 0, rejected. Without any
 row to learn from, every text is ``und``. Rows without a doc_id are left out;
-repeated rows are predicted each. lang, source and doc_id never reach the
+repeated rows, and rows of one doc_id with other texts, are predicted and kept
+each. lang, source and doc_id never reach the
 model's features. Extra columns are ignored. An empty table gives no rows.
 """
 
@@ -25,11 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from finlake.llm.features import LETTERS, blocks_of, char_counts
 from finlake.llm.kernels import text_bytes
 from finlake.llm.sampling import texts_by
-from finlake.llm.scratch import arrow_map, documents, in_sample
+from finlake.llm.scratch import arrow_map, by_block, documents, in_sample
 
 BUCKETS, ORDERS, CENTROIDS, PER_LANGUAGE = 4096, (1, 2, 3), 4, 400
 #: A rejection limit is MARGIN times the LOW quantile of the cosines of held-back rows.
@@ -94,32 +96,47 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 7) -> d
     return fit(sample["text"].tolist(), sample["label"].astype(str).tolist(), seed)
 
 
+def _rows(docs: DataFrame, *columns) -> DataFrame:
+    """The given columns, text, and whether it has a letter."""
+    return docs.where("doc_id is not null").select(*columns, "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+
+
+def _decided(block: pa.RecordBatch, m: dict) -> dict:
+    """lang_pred, score and rejected of each row of ``block``."""
+    if not m["langs"]:
+        return {"lang_pred": [UNKNOWN] * block.num_rows, "score": np.zeros(block.num_rows), "rejected": np.ones(block.num_rows, bool)}
+    has = block.column("letters").to_numpy(zero_copy_only=False).astype(bool)
+    near = vectors(block.column("text"), m["idf"]) @ m["centroids"].T
+    best = near.argmax(axis=1)
+    score = np.where(has, np.clip(near.max(axis=1), 0, 1), 0.0).astype(float)
+    size = np.diff(text_bytes(block.column("text"))[1])
+    rejected = ~has | (score < m["limits"][best] * np.sqrt(np.minimum(size / SHORT, 1)))
+    return {"lang_pred": [m["langs"][b] if h else UNKNOWN for b, h in zip(best, has)], "score": score, "rejected": rejected}
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred, score, rejected for every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def columns(block: pa.RecordBatch) -> dict:
-        m = shared.value
-        has = block.column("letters").to_numpy(zero_copy_only=False).astype(bool)
-        if not m["langs"]:
-            lang, score, rejected = [UNKNOWN] * block.num_rows, np.zeros(block.num_rows), np.ones(block.num_rows, bool)
-        else:
-            near = vectors(block.column("text"), m["idf"]) @ m["centroids"].T
-            best = near.argmax(axis=1)
-            score = np.where(has, np.clip(near.max(axis=1), 0, 1), 0.0).astype(float)
-            lang = [m["langs"][b] if h else UNKNOWN for b, h in zip(best, has)]
-            size = np.diff(text_bytes(block.column("text"))[1])
-            rejected = ~has | (score < m["limits"][best] * np.sqrt(np.minimum(size / SHORT, 1)))
-        return {"doc_id": block.column("doc_id"), "lang_pred": lang, "score": score, "rejected": rejected}
-
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return arrow_map(rows, columns, "doc_id long, lang_pred string, score double, rejected boolean", rows=256)
+        return {"doc_id": block.column("doc_id"), **_decided(block, shared.value)}
+
+    return arrow_map(_rows(docs, F.col("doc_id").cast("long").alias("doc_id")), columns, "doc_id long, lang_pred string, score double, rejected boolean", rows=256)
 
 
 def recognised(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language the model, trained on them, does not reject."""
-    kept = predict(docs, train(docs)).where("not rejected").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of ``docs`` whose language the model, trained on them, does not reject; each by its own text, in one pass without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+
+    def kept(batches):
+        for block in by_block(batches, rows=256):
+            keep = pa.array(~_decided(block, shared.value)["rejected"])
+            yield pa.RecordBatch.from_arrays([block.column(c).filter(keep) for c in ("text", "doc")], names=["text", "doc"])
+
+    # The other columns of docs travel in a struct, so that none of them can clash.
+    rows = _rows(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"))
+    out = rows.mapInArrow(kept, StructType([rows.schema["text"], rows.schema["doc"]]))
+    return out.select(*[F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,18 @@ def test_op7_held_out(spark):
     assert (test.lang_pred == test.lang).mean() > 0.99 and found.rejected.mean() < 0.005
 
 
+def test_op7_recognised_keeps_rows_by_their_own_text(spark, empty):
+    words_ = "the river runs past the old mill and the town sleeps under a quiet moon".split()
+    rows = [(i, " ".join(words_[i % 5 :] + words_[: i % 5]), "en", i % 2 == 0, {"a": [i]}, f"d{i}", "t") for i in range(40)]
+    rows += [(1, None, "en", True, None, None, "t"), (1, "12 ?!", "en", True, None, "odd", "t"), (2, rows[2][1], "en", True, None, "twice", "t"), (None, "no id", "en", True, None, None, "t")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, letters boolean, rejected map<string, array<int>>, doc string, `a.b` string").repartition(3)
+    kept = op7.recognised(docs)
+    assert kept.dtypes == docs.dtypes
+    assert "Join" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r.text, str(r.rejected), r.doc) for r in kept.collect()) == sorted((r[0], r[1], str(r[4]), r[5]) for r in rows if r[0] is not None and r[1] not in (None, "12 ?!"))
+    assert op7.recognised(empty).isEmpty()
+
+
 def test_op7_rejects_other_scripts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     other = spark.createDataFrame([(1, "Это совсем другой язык, которого нет в корпусе. " * 5), (2, "これはまったく別の言語です。" * 9)], "doc_id long, text string")
