@@ -83,8 +83,7 @@ VOCABULARY = sorted({word for _, _, word, _ in POSTINGS})
 
 def _word_list(text: Column) -> Column:
     """The words of a text, as they are written."""
-    inner = F.regexp_replace(text, f"^{GAP}+|{GAP}+$", "")
-    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, f"{GAP}+"))
+    return F.filter(F.split(text, f"{GAP}+"), lambda x: x != "")
 
 
 def _piece(data: Column, k: Column) -> Column:
@@ -129,7 +128,8 @@ def _possible(present: Column) -> Column:
 def noted(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, row (a number of its own), n_words, present (licence words of the file), hits (at, word; only where a template is possible)."""
     last = F.floor(F.greatest(F.octet_length("__data") - 1, F.lit(0)) / PIECE).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.transform(F.array(_word_list(_piece(F.col("__data"), k))), _noted)[0])
+    pieces = lambda data: F.transform(F.sequence(F.lit(0), last), lambda k: F.transform(F.array(_word_list(_piece(data, k))), _noted)[0])
+    cut = F.transform(F.array("__data"), pieces)[0]  # bytes are taken out of the row once
     rows = docs.select(F.col(id), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__data")).select(id, F.monotonically_increasing_id().alias("row"), cut.alias("pieces"))
     rows = rows.select(id, "row", _joined(F.col("pieces")).alias("n")).select(id, "row", "n.*").withColumn("present", F.array_distinct(F.transform("hits", lambda h: h["word"])))
     return rows.select(id, "row", "n_words", "present", F.when(_possible(F.col("present")), F.col("hits")).otherwise(F.array().cast("array<struct<at:bigint,word:string>>")).alias("hits"))
