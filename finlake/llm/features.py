@@ -16,8 +16,8 @@ LETTERS[65:91] = np.arange(97, 123)
 LETTERS[128:] = np.arange(128, 256)
 
 
-def char_counts(data: np.ndarray, bounds: np.ndarray, orders: Iterable[int], buckets: int, blanks: bool = True) -> np.ndarray:
-    """Rows x buckets counts of n-grams (of bytes or code points) that lie within one row; without ``blanks``, none with two blanks in a row."""
+def char_counts(data: np.ndarray, bounds: np.ndarray, orders: Iterable[int], buckets: int, blanks: bool = True, starts: int | None = None) -> np.ndarray:
+    """Rows x buckets counts of n-grams (of bytes or code points) that lie within one row; without ``blanks``, none with two blanks in a row; with ``starts``, those that start before it."""
     rows, orders = len(bounds) - 1, tuple(orders)
     out = np.zeros(rows * buckets)
     for at in range(0, len(data), SLICE):
@@ -25,7 +25,7 @@ def char_counts(data: np.ndarray, bounds: np.ndarray, orders: Iterable[int], buc
         row = np.repeat(np.arange(rows, dtype=np.int64), np.diff(np.clip(bounds, at, at + len(x))))
         wide = x.astype(np.uint32) + np.uint32(1)
         for n in orders:
-            size = min(SLICE, len(x) - n + 1)
+            size = min(SLICE, len(x) - n + 1, len(data) if starts is None else starts - at)
             if size <= 0:
                 continue
             code = np.full(size, n, np.uint32)

@@ -159,7 +159,12 @@ def write_shards(rows: DataFrame, first: int, shards: int, root: str) -> DataFra
         def close():
             if stream is not None:
                 stream.close()
-                store.move(temporary, shard_path(folder, shard))
+                made = shard_path(folder, shard)
+                # A task that runs again finds the shards that it had finished; they have the same bytes.
+                if store.get_file_info(made).type == fs.FileType.NotFound:
+                    store.move(temporary, made)
+                else:
+                    store.delete_file(temporary)
 
         for batch in batches:
             slots = batch.column("slot").to_pylist()
@@ -199,16 +204,27 @@ def materialise(docs: DataFrame, tokenizer: str, scratch: Scratch, root: str, ke
             index = scratch.save(write_shards(part, first, end - first, root), f"index{wave}")
             found = index if found is None else found.unionByName(index)
             scratch.drop(f"waves/wave={wave}")
+    _tidy(docs.sparkSession, root)
     return found
 
 
+def _tidy(spark: SparkSession, root: str) -> None:
+    """Deletes what failed attempts left beside the shards."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/shard-*.bin.*")
+    store = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in store.globStatus(pattern) or []:
+        store.delete(status.getPath(), False)
+
+
 def read_from(root: str, slot: int, total: int) -> Iterator[np.ndarray]:
-    """The sequences from ``slot`` on, read in order; checks each against its crc32."""
+    """The sequences from ``slot`` on, read in order; checks each against its crc32. A cut, damaged or missing shard raises OSError."""
     store, folder = fs.FileSystem.from_uri(root)
     while slot < total:
         with store.open_input_file(shard_path(folder, slot // SHARD)) as f:
             f.seek(slot % SHARD * STRIDE)
-            while len(record := f.read(STRIDE)) == STRIDE:
+            for _ in range(min(SHARD - slot % SHARD, total - slot)):
+                if len(record := f.read(STRIDE)) < STRIDE:
+                    raise OSError(f"the shard of slot {slot} ends before it")
                 size, crc = struct.unpack_from(HEADER, record)
                 body = record[8 : 8 + 2 * size]
                 if zlib.crc32(body) != crc:

@@ -3,9 +3,9 @@
 Base counts are over the whole text; lines and windows of words are equal when
 64-bit hashes of their contents are. The classifier sees hashed words and pairs
 of words, and hashed n-grams of 1 to 3 characters (code points), as log(1 +
-count), each kind scaled to unit length. A text above SLICE bytes is counted in
-slices, cut at white space; its character n-grams lie within them. It is fitted by gradient steps on a bounded sample of ``labels.quality``
-(about PER_CLASS rows of each label, texts up to SAMPLE_TEXT_BYTES), and its
+count), each kind scaled to unit length. A long text is counted in slices, which
+its n-grams run across. It is fitted by gradient steps on a bounded sample of ``labels.quality``
+(about PER_CLASS rows of each label, within a bound of bytes), and its
 margin is turned into a probability on a fifth of that sample held back. Rows
 are scored in Arrow batches. A text is kept when no base rule fails and the
 probability of quality 1 is at least KEEP.
@@ -84,8 +84,19 @@ def base_counts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def _char_counts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Counts of character n-grams, slice by slice; each slice is given the first characters of the next, so that n-grams across the cut are counted once."""
+    more = max(ORDERS) - 1
+    total, (points, at) = 0, (np.zeros(0, np.uint32), np.zeros_like(bounds))
+    for part in slices(data, bounds):
+        following, next_at = code_points(*part)
+        total = total + char_counts(np.concatenate((points, following[:more])), at + np.minimum(next_at, more), ORDERS, CHAR_BUCKETS, starts=len(points))
+        points, at = following, next_at
+    return total + char_counts(points, at, ORDERS, CHAR_BUCKETS)
+
+
 def features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    chars = sum(char_counts(*code_points(*part), ORDERS, CHAR_BUCKETS) for part in slices(data, bounds))
+    chars = _char_counts(data, bounds)
     parts = [np.log1p(word_counts(data, bounds, WORD_BUCKETS)), np.log1p(chars)]
     parts = [p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9) for p in parts]
     return np.concatenate(parts, axis=1).astype(np.float32)

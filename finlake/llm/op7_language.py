@@ -3,8 +3,8 @@
 Letters are folded to lower case, other ASCII to blanks. Byte n-grams of 1 to 3
 are hashed to BUCKETS counts, weighted log(1 + tf) * idf and scaled to unit
 length. Each language has up to CENTROIDS unit centroids from spherical k-means
-over a bounded sample (about PER_LANGUAGE rows of each language, texts up to
-SAMPLE_TEXT_BYTES; all other steps read whole texts of all rows). A text takes
+over a bounded sample (about PER_LANGUAGE rows of each language, within a
+bound of bytes; all other steps read whole texts of all rows). A text takes
 the language of the centroid with the largest cosine, which is the score. Where
 the cosine falls below the language's rejection limit, the text is too far from
 all that was learned: ``rejected``. The limit is MARGIN times a low quantile of

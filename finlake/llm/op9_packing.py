@@ -157,36 +157,56 @@ def pack_examples(examples: DataFrame, tokens: int = SEQUENCE_TOKENS, segments:
     return rows.mapInArrow(run, "id long, start long, length long, sequence_id long, offset long")
 
 
+class Waiting:
+    """Ids of documents whose tokens are not all packed: only what is left of each."""
+
+    def __init__(self):
+        self.held: dict[int, tuple[object, np.ndarray, int, int]] = {}  # doc_id, ids from the start on, that start, all tokens
+
+    def add(self, key: int, doc, ids: np.ndarray) -> None:
+        self.held[key] = (doc, ids, 0, len(ids))
+
+    def row(self, key: int, start: int, length: int, sequence: int, offset: int) -> tuple:
+        doc, ids, base, size = self.held[key]
+        return doc, start, length, zlib.crc32(ids[start - base : start - base + length]), size, sequence, offset
+
+    def keep(self, lot: list[list]) -> None:
+        """Lets go of all ids that ``lot`` does not wait for."""
+        kept = {}
+        for key, start, *_ in lot:
+            doc, ids, base, size = self.held[key]
+            kept[key] = (doc, ids[start - base :].copy(), start, size) if start > base else self.held[key]
+        self.held = kept
+
+    @property
+    def nbytes(self) -> int:
+        return sum(ids.nbytes for _, ids, _, _ in self.held.values())
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, tokens: int = SEQUENCE_TOKENS, segments: int = MAX_SEGMENTS) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Every token bears loss."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
-        packer, held, key = Packer(tokens, segments, cut=True, first_sequence=first_sequence()), {}, 0
+        packer, held, key = Packer(tokens, segments, cut=True, first_sequence=first_sequence()), Waiting(), 0
 
         def out(pieces):
-            cols: list[list] = [[] for _ in names]
-            for k, start, length, sequence, offset in pieces:
-                doc, ids = held[k]
-                for c, v in zip(cols, (doc, start, length, zlib.crc32(ids[start : start + length]), len(ids), sequence, offset)):
-                    c.append(v)
-            waiting = {x[0] for x in packer.lot}
-            for k in [k for k in held if k not in waiting]:
-                del held[k]
+            cols = list(zip(*[held.row(*piece) for piece in pieces])) or [[]] * len(names)
+            held.keep(packer.lot)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
         for block in by_block(batches):
             ids, bounds = encoder(tokenizer).encode(block.column("text"))
             for row, doc in enumerate(block.column("doc_id").to_pylist()):
                 own = np.append(ids[bounds[row] : bounds[row + 1]], np.uint32(END_ID)).astype("<u4")
-                held[key] = (doc, own)
+                held.add(key, doc, own)
                 pieces = list(packer.add(key, len(own), len(own)))
                 key += 1
                 if len(packer.lot) >= LOT:
                     pieces += packer.pack(last=False)
                 if pieces:
                     yield out(pieces)
-        if held:
+        if held.held:
             yield out(list(packer.pack(last=True)))
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
