@@ -8,16 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY = r"^day=(\d{4}-\d{2}-\d{2})$"
-LATE, NO_DAY = "late_partition_owned_by_batch", "no_partition_day"
+LATE, NO_DAY, MALFORMED = "late_partition_owned_by_batch", "no_partition_day", "malformed_line"
 NONPARTITIONED = "snapshot"
 
 
-def watermark_rows(table: str, producer: str, partitions: DataFrame, rows: int, committed_at: str) -> DataFrame:
-    """Watermark rows for ``partitions`` (one column)."""
+def watermark_rows(table: str, producer: str, partitions: DataFrame, rows: int | Column, committed_at: str) -> DataFrame:
+    """Watermark rows for ``partitions`` (its first column); ``rows``: a number, or a column of ``partitions``."""
     part = F.col(partitions.columns[0]).cast("string")
     return partitions.select(
         F.concat_ws("|", F.lit(table), F.lit(producer), part).alias("watermark_id"), F.lit(table).alias("table_name"),
-        part.alias("source_partition"), F.lit(rows).cast("long").alias("rows_in_batch"), F.lit(committed_at).alias("committed_at"),
+        part.alias("source_partition"), (rows if isinstance(rows, Column) else F.lit(rows)).cast("long").alias("rows_in_batch"), F.lit(committed_at).alias("committed_at"),
     )
 
 
@@ -56,6 +56,15 @@ def dead_letters(late: DataFrame, table: str, key: str, day: str) -> DataFrame:
     )
 
 
+def malformed(lines: DataFrame, table: str, line: str, day: str) -> DataFrame:
+    """Lines that are no records as dead letters: one for each day and content, with the number of times it stood there."""
+    per = lines.groupBy(day, line).agg(F.count("*").alias("times"))
+    return per.select(
+        F.concat_ws("|", F.lit(table), F.col(day), F.sha2(F.col(line), 256)).alias("dlq_pk"), F.lit(table).alias("source_table"), F.lit(MALFORMED).alias("reason"),
+        F.to_json(F.struct(F.col(line).alias("line"), "times")).alias("payload_json"), F.col(day).alias("event_day_observed"),
+    )
+
+
 def is_ready(marks: DataFrame, day: str) -> DataFrame:
     """One row, ``ready``: transactions closed the day with rows; cancellations and rates with any row for it."""
     mine = marks.where(F.col("source_partition").isin(f"day={day}", NONPARTITIONED))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finlake import schemas
@@ -31,6 +31,8 @@ class Spec:
     partition: str | None = None
     global_key: bool = True
     sort: tuple[str, ...] = ()
+    buckets: int = 0
+    keep: int = 2
 
 
 SPECS: dict[str, Spec] = {
@@ -42,10 +44,10 @@ SPECS: dict[str, Spec] = {
     "bronze.promo_codes": Spec(f"{schemas.PROMO_CODES}, ingested_at timestamp_ntz", "promo_code_id", "ingested_at"),
     "bronze_dlq.late_events": Spec(f"{schemas.DEAD_LETTERS}, ingested_at timestamp_ntz", "dlq_pk", "ingested_at"),
     "silver.transactions_clean": Spec(f"{schemas.TRANSACTIONS}, composite_pk string, created_ts timestamp_ntz, event_day string, ingested_at timestamp_ntz, {FLAGS}", "composite_pk", "ingested_at", "event_day", False),
-    "silver.cancellations_clean": Spec("cancellation_pk string, cancellation_id long, original_transaction_id long, reason string, cancelled_ts timestamp_ntz, refund_amount double, event_day string, ingested_at timestamp_ntz, is_refund_invalid boolean", "cancellation_pk", "ingested_at", "event_day"),
+    "silver.cancellations_clean": Spec("cancellation_pk string, cancellation_id long, original_transaction_id long, reason string, cancelled_ts timestamp_ntz, refund_amount double, event_day string, ingested_at timestamp_ntz, is_refund_invalid boolean", "cancellation_pk", "ingested_at", "event_day", buckets=16),
     "silver.exchange_rates_daily": Spec("rate_day string, update_id long, timestamp long, rate_tgrk_punk double, rate_tgrk_rub double", "rate_day", "timestamp"),
     "silver.exchange_rates_long": Spec("rate_day_currency string, rate_day string, currency string, rate_to_tgrk double, timestamp long", "rate_day_currency", "timestamp"),
-    "silver.users_first_seen": Spec("user_id long, first_day string, not_before date", "user_id", "not_before"),
+    "silver.users_first_seen": Spec("user_id long, first_day string, not_before date", "user_id", "not_before", buckets=16),
     "gold.transactions_by_hour": Spec(_HOURS, "pk"),
     "gold.purchases_by_hour": Spec(_BUYS, "pk"),
     "gold.revenue_daily": Spec("event_day string, gross_revenue_tgrk double, tx_cnt long, tx_rate_missing long, tx_rate_backfilled long, tx_tgrk long, tx_punk long, tx_rub long, updated_at timestamp_ntz", "event_day"),
@@ -58,6 +60,9 @@ SPECS: dict[str, Spec] = {
     "gold.transactions_by_hour_live": Spec(_HOURS, "pk"),
     "gold.purchases_by_hour_live": Spec(_BUYS, "pk"),
     "gold.cancellations_summary_live": Spec(_CANCELLED, "pk"),
+    "gold.transactions_by_hour_signed": Spec(_HOURS, "pk"),
+    "gold.purchases_by_hour_signed": Spec(f"{_BUYS}, amount_cnt long", "pk"),
+    "gold.cancellations_summary_signed": Spec("pk string, cancel_day string, reason string, cancellations_cnt long, invalid_refund_cnt long, total_refund_amount double, updated_at timestamp_ntz", "pk"),
     "gold.exchange_rates_latest": Spec("pair string, rate_ts long, rate_tgrk_punk double, rate_tgrk_rub double", "pair", "rate_ts"),
 } | {f"bronze.ingest_watermarks_{name}": Spec(schemas.WATERMARKS, "watermark_id", "committed_at") for name in WATERMARK_TABLES}
 LAYERS = tuple(dict.fromkeys(name.split(".")[0] for name in SPECS))
@@ -72,7 +77,7 @@ class Lake:
 
     def table(self, name: str) -> KeyedTable:
         spec = SPECS[name]
-        return KeyedTable(f"{self.root}/{name.replace('.', '/')}", spec.schema, (spec.key,), spec.order, spec.partition, spec.global_key, spec.sort)
+        return KeyedTable(f"{self.root}/{name.replace('.', '/')}", spec.schema, (spec.key,), spec.order, spec.partition, spec.global_key, spec.sort, spec.buckets, spec.keep)
 
     def read(self, name: str) -> DataFrame:
         return self.table(name).read(self.spark)
@@ -96,8 +101,8 @@ class Lake:
             self.read(name).createOrReplaceTempView(view)
         return list(names.values())
 
-    def mark(self, table: str, partitions: DataFrame, rows: int, committed_at: str, producer: str = BATCH) -> None:
-        """Publishes that ``producer`` has closed ``partitions`` (one column) of ``table``."""
+    def mark(self, table: str, partitions: DataFrame, rows: int | Column, committed_at: str, producer: str = BATCH) -> None:
+        """Publishes that ``producer`` has closed ``partitions`` (their first column) of ``table``; ``rows``: a number, or a column of them."""
         if producer == BATCH and table not in SOURCES or producer not in (BATCH, STREAM):
             raise ValueError(f"no watermark table of {producer} for {table}")
         shard = STREAM if producer == STREAM else table

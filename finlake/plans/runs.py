@@ -2,55 +2,69 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from finlake import schemas
 from finlake.functions.columns import with_cancellation_keys, with_rate_keys, with_transaction_keys
 from finlake.operators.dedup import cutover
-from finlake.operators.keyed import exists
-from finlake.operators.routing import NONPARTITIONED, is_ready
+from finlake.operators.keyed import delete, exists
+from finlake.operators.quality import orphan_rate, orphans_above, same_count
+from finlake.operators.routing import NONPARTITIONED, is_ready, malformed
 from finlake.plans import checks, gold, silver
 from finlake.plans.lake import Lake
-from finlake.sources.jsonl import Source, load_snapshots, read_days, residual
+from finlake.sources.jsonl import BAD, DAY, Source, load_snapshots, scan_days
 
 #: Reference tables; the first must be there.
 REFERENCES = {"users": schemas.USERS, "test_users": schemas.TEST_USERS, "promo_codes": schemas.PROMO_CODES}
 REQUIRED = frozenset({"users"})
 
 
-def _prepared(lake: Lake, source: Source, days: list[str], ingested_at: Column) -> DataFrame:
+def _prepared(source: Source, rows: DataFrame, ingested_at: Column) -> DataFrame:
     if source.name == "transactions":
-        return with_transaction_keys(read_days(lake.spark, source, days), ingested_at)
+        return with_transaction_keys(rows, ingested_at)
     if source.name == "exchange_rates":
-        return with_rate_keys(read_days(lake.spark, source, days), ingested_at)
+        return with_rate_keys(rows, ingested_at)
     # A cancellation belongs to the day that it was delivered with.
-    by_day = [with_cancellation_keys(read_days(lake.spark, source, [d]), ingested_at, F.lit(d)) for d in days]
-    return reduce(DataFrame.unionByName, by_day)
+    return with_cancellation_keys(rows, ingested_at, F.col(DAY))
 
 
 def ingest(lake: Lake, source: Source, days: Iterable[str], ingested_at: Column, committed_at: str) -> int:
-    """Reads source days, merges them over what a stream left in their partitions, writes, and marks the days closed; the number of source rows.
+    """Reads source days, merges them over what a stream left in their partitions, writes, and marks the days closed; the number of source records.
 
-    A day without files closes with no rows, so that the readiness gate stays
-    shut for it where rows are needed. Rows without a partition value go nowhere
-    else either and stay in their own partition.
+    The source is read once: its lines are set aside, and records are counted by day
+    while that is written. Lines that are no records go to the dead letters. A day
+    without files closes with no rows, so that the readiness gate stays shut for it
+    where rows are needed. Rows without a partition value go nowhere else either and
+    stay in their own partition.
     """
-    spark, days = lake.spark, list(days)
+    spark, days = lake.spark, list(dict.fromkeys(days))
     table = lake.table(f"bronze.{source.name}")
-    prepared = _prepared(lake, source, days, ingested_at).select(*table.columns)
-    if table.partition:
-        left = residual(table.read(spark), table.partition, prepared, prepared)
-        table.overwrite_partitions(cutover(prepared, left, table.key[0]))
-    else:
-        table.upsert(prepared)
-    n = read_days(spark, source, days).count()
-    closed = [f"day={d}" for d in days] if table.partition else [NONPARTITIONED]
-    lake.mark(source.name, spark.createDataFrame([(d,) for d in closed], "p string"), n, committed_at)
-    return n
+    aside, counts, good = f"{table.path}/_source-{uuid.uuid4().hex}", Observation(), F.col(BAD).isNull()
+    lines = scan_days(spark, source, days)
+    per_day = [F.count_if(good & (F.col(DAY) == d)).alias(f"n{i}") for i, d in enumerate(days)]
+    try:
+        lines.observe(counts, F.count_if(~good).alias("bad"), *per_day).write.parquet(aside)
+        lines, got = spark.read.schema(lines.schema).parquet(aside), counts.get
+        prepared = _prepared(source, lines.where(good).drop(BAD), ingested_at).select(*table.columns)
+        if table.partition:
+            values = [r[0] for r in prepared.select(table.partition).distinct().collect()]
+            left = table.read(spark, {table.folder(spark, v) for v in values})
+            table.overwrite_partitions(cutover(prepared, left, table.key[0]), values)
+        else:
+            table.upsert(prepared)
+        if got.get("bad", 0):
+            dead = malformed(lines.where(~good), source.name, BAD, DAY).withColumn("ingested_at", ingested_at)
+            lake.table("bronze_dlq.late_events").upsert(dead)
+    finally:
+        delete(spark, aside)
+    n = [got.get(f"n{i}", 0) for i in range(len(days))]
+    closed = [(f"day={d}", k) for d, k in zip(days, n)] if table.partition else [(NONPARTITIONED, sum(n))]
+    lake.mark(source.name, spark.createDataFrame(closed, "p string, n long"), F.col("n"), committed_at)
+    return sum(n)
 
 
 def load_references(lake: Lake, root: str, ingested_at: Column, strict: bool = True) -> list[str]:
@@ -104,11 +118,25 @@ def test_tables(lake: Lake) -> DataFrame:
 test_tables.__test__ = False  # not a test of this repository
 
 
-def nightly(lake: Lake, sources: dict[str, Source], day: str, ingested_at: Column, committed_at: str) -> list[tuple[str, str, int]] | None:
-    """Bronze, then (only if every source is ready) silver, gold and the tests of one day; the warnings, or None where the day was not ready."""
+def nightly(lake: Lake, sources: dict[str, Source], day: str, ingested_at: Column, committed_at: str, references: str | None = None) -> list[tuple[str, str, int]] | None:
+    """Reference snapshots, bronze, then (only if every source is ready) silver, gold and the tests of one day; the warnings, or None where the day was not there or not ready.
+
+    A day without transactions ends the run before anything is read. ``references``:
+    the folder of the snapshots; without it the tables stay as they are.
+    """
+    if not source_ready(lake, sources["transactions"], day):
+        return None
+    if references:
+        load_references(lake, references, ingested_at)
     for source in sources.values():
         ingest(lake, source, [day], ingested_at, committed_at)
     if not ready(lake, day):
         return None
     run_models(lake, day)
-    return checks.assert_passed(test_tables(lake))
+    warned = checks.assert_passed(test_tables(lake))
+    orphans = orphans_above(orphan_rate(lake.read("silver.cancellations_clean"), lake.read("silver.transactions_clean"), "original_transaction_id", "transaction_id"))
+    if n := orphans.count():
+        warned.append(("silver.cancellations_clean", "orphan_rate", n))
+    if not same_count(lake.read("bronze.transactions"), lake.read("silver.transactions_clean"), "composite_pk", "ingested_at").isEmpty():
+        warned.append(("silver.transactions_clean", "same_count", 1))
+    return warned

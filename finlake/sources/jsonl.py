@@ -6,6 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from finlake import schemas
 from finlake.operators.dedup import aligned
@@ -30,15 +31,31 @@ def sources(root: str) -> dict[str, Source]:
     }
 
 
-def read_days(spark: SparkSession, source: Source, days: Iterable[str]) -> DataFrame:
-    """The rows of these days; days without files have none, and no files at all make an empty frame of the same schema."""
+#: Columns that a scan adds: the day whose folder a line is in, and the line itself where it is no record.
+DAY, BAD = "source_day", "bad_line"
+
+
+def scan_days(spark: SparkSession, source: Source, days: Iterable[str]) -> DataFrame:
+    """The lines of these days with DAY and BAD; days without files have none, and no files at all make an empty frame of the same schema.
+
+    A line is bad if nothing of it could be read. One with a field of another type is
+    a record in which that field is null.
+    """
     paths = [path for day in days if exists(spark, path := source.path.format(day=day))]
     if not paths:
-        return spark.createDataFrame([], source.schema)
-    reader = spark.read.schema(source.schema)
+        return spark.createDataFrame([], f"{source.schema}, {DAY} string, {BAD} string")
+    reader = spark.read.schema(f"{source.schema}, {BAD} string").option("columnNameOfCorruptRecord", BAD)
     if source.glob:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", source.glob)
-    return reader.json(paths)
+    lines = reader.json(paths)
+    nothing = F.coalesce(*[F.col(c).cast("string") for c in lines.columns if c != BAD]).isNull()
+    day = F.regexp_extract(F.col("_metadata.file_path"), r"day=(\d{4}-\d{2}-\d{2})", 1)
+    return lines.withColumns({DAY: day, BAD: F.when(nothing, F.col(BAD))})
+
+
+def read_days(spark: SparkSession, source: Source, days: Iterable[str]) -> DataFrame:
+    """The records of these days."""
+    return scan_days(spark, source, days).where(F.col(BAD).isNull()).drop(DAY, BAD)
 
 
 def read_day(spark: SparkSession, source: Source, day: str) -> DataFrame:

@@ -122,7 +122,7 @@ def test_a_failed_write_leaves_the_table(spark, tmp_path, monkeypatch):
     t.upsert(good)
     assert rows(t.read(spark).where("k = 'a'")) == [("a", 5, "p1")] and earlier.count() == 2  # a reader may finish
     with pytest.raises(RuntimeError):  # a second writer that began at the same version
-        t._commit(spark, t.version(spark), {})
+        t._commit(spark, t.version(spark), {}, {}, {})
     for _ in range(3):
         t.upsert(good)
     left = [p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("table_version=")]
