@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Collection, Mapping, Sequence
 from contextlib import closing
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +83,9 @@ class KeyedTable:
     With ``sort`` the files of a write hold ranges of (folder, sort columns) that do
     not overlap: as many as there are FILE_BYTES in the rows, by Catalyst's estimate,
     and at most one for each shuffle partition.
+
+    With a ``name`` each commit points the table of this name in the session's
+    catalogue to the new folders, so any session finds it with ``spark.table``.
     """
 
     path: str
@@ -93,6 +98,7 @@ class KeyedTable:
     buckets: int = 0
     keep: int = 2
     file_bytes: int = FILE_BYTES
+    name: str | None = None
 
     def __post_init__(self):
         if self.buckets and not self.global_key:
@@ -197,6 +203,8 @@ class KeyedTable:
     def _commit(self, spark: SparkSession, number: int, folders: Mapping[str, str], written: Mapping[str, int], batches: Mapping[str, int]) -> None:
         if not put_text(spark, self._manifest(number), json.dumps({"version": number, "folders": folders, "written": written, "batches": batches})):
             raise RuntimeError(f"another writer committed {self.path}")
+        if self.name:
+            self.publish(spark)
         store, at = _path(spark, f"{self.path}/table_version=*")
         old = [v for v in self.versions(spark) if v <= number - self.keep]
         named = {folder for v in range(max(0, number - self.keep + 1), number + 1) if v not in old for folder in self.folders(spark, v).values()}
@@ -209,6 +217,37 @@ class KeyedTable:
         for v in old:
             store.delete(_path(spark, self._manifest(v))[1], False)
 
+    def publish(self, spark: SparkSession) -> None:
+        """Makes what the catalogue has by this name the newest version.
+
+        By partitions it is an external table, whose partitions are moved where they
+        are not where it has them. Else it is a view over the folder, or the folders of
+        all buckets: other sessions may hold on to a table's location, not to a view's.
+        """
+        folders = {name: f"{self.path}/{folder}" for name, folder in self.folders(spark).items()}
+        empty = f"{self.path}/_empty"
+        store, at = _path(spark, empty)
+        store.mkdirs(at)
+        if self.buckets or not self.partition:
+            fields = [f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in StructType.fromDDL(self.schema)]
+            parts = [f"SELECT {', '.join(fields)} FROM parquet.`{folder}`" for folder in folders.values()]
+            nothing = f"SELECT {', '.join(f'CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`' for f in StructType.fromDDL(self.schema))} WHERE false"
+            spark.sql(f"CREATE OR REPLACE VIEW {self.name} AS {' UNION ALL '.join(parts) or nothing}")
+            return
+        if not spark.catalog.tableExists(self.name):
+            spark.sql(f"CREATE TABLE {self.name} ({self.schema}) USING parquet PARTITIONED BY ({self.partition}) LOCATION '{empty}'")
+        value = lambda name: "'" + unquote(name.partition("=")[2]).replace("'", "\\'") + "'"
+        state = spark.sql(f"SHOW TBLPROPERTIES {self.name} ('finlake.folders')").first()["value"]
+        before = json.loads(bytes.fromhex(state)) if re.fullmatch("[0-9a-f]+", state) else {}
+        gone = [name for name, folder in before.items() if folders.get(name) != folder]
+        new = {name: folder for name, folder in folders.items() if before.get(name) != folder}
+        if gone:
+            spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS " + ", ".join(f"PARTITION ({self.partition} = {value(n)})" for n in gone))
+        if new:
+            spark.sql(f"ALTER TABLE {self.name} ADD IF NOT EXISTS " + " ".join(f"PARTITION ({self.partition} = {value(n)}) LOCATION '{f}'" for n, f in new.items()))
+        spark.sql(f"ALTER TABLE {self.name} SET TBLPROPERTIES ('finlake.folders' = '{json.dumps(folders).encode().hex()}')")
+        spark.catalog.refreshTable(self.name)
+
     def folder(self, spark: SparkSession, value) -> str:
         """The name of the folder of a partition, or bucket."""
         name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString

@@ -82,7 +82,10 @@ def _cancelled_by_reason(df: DataFrame, orphan: Column, ambiguous: Column, secon
 
 
 def cancellations_summary(cancelled: DataFrame, tx: DataFrame, run_date: str | None = None) -> DataFrame:
-    """Attributed to the earliest transaction of a real user with the id."""
+    """Attributed to the earliest transaction of a real user with the id. A day's run looks only at transactions that its cancel days name."""
+    if run_date:
+        named = touched(cancelled, run_date).select(F.col("original_transaction_id").alias("transaction_id")).distinct()
+        tx = tx.join(named, "transaction_id", "left_semi")
     bought = tx.where(real() & F.col("transaction_id").isNotNull()).groupBy(F.col("transaction_id").alias("original_transaction_id")).agg(F.min("created_ts").alias("__bought"), F.count("*").alias("__matches"))
     attributed = touched(cancelled, run_date).join(bought, "original_transaction_id", "left")
     seconds = F.expr("timestampdiff(SECOND, __bought, cancelled_ts)")

@@ -70,22 +70,23 @@ LAYERS = tuple(dict.fromkeys(name.split(".")[0] for name in SPECS))
 
 @dataclass(frozen=True)
 class Lake:
-    """All tables below one folder."""
+    """All tables below one folder. With a ``prefix`` they are in the catalogue too, as ``<prefix><layer>.<table>``."""
 
     spark: SparkSession
     root: str
+    prefix: str | None = None
 
     def table(self, name: str) -> KeyedTable:
         spec = SPECS[name]
-        return KeyedTable(f"{self.root}/{name.replace('.', '/')}", spec.schema, (spec.key,), spec.order, spec.partition, spec.global_key, spec.sort, spec.buckets, spec.keep)
+        return KeyedTable(f"{self.root}/{name.replace('.', '/')}", spec.schema, (spec.key,), spec.order, spec.partition, spec.global_key, spec.sort, spec.buckets, spec.keep, name=None if self.prefix is None else f"{self.prefix}{name}")
 
     def read(self, name: str) -> DataFrame:
         return self.table(name).read(self.spark)
 
     def bootstrap(self) -> None:
         """Schemas, empty tables, and one sentinel row in each watermark table that has none; a second call changes nothing."""
-        for layer in LAYERS:
-            self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {layer}")
+        for layer in LAYERS if self.prefix is not None else ():
+            self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {self.prefix}{layer}")
         for name in SPECS:
             table = self.table(name)
             if table.version(self.spark) is None:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -104,10 +106,46 @@ MODELS: dict[str, Callable[[Lake, str | None], DataFrame]] = {
 }
 
 
-def run_models(lake: Lake, run_date: str | None = None, only: Iterable[str] = ()) -> list[str]:
-    """Merges each model's rows of the day (of all history without one) into its table; the names of the tables that were written."""
-    wanted = set(only) or set(MODELS)
-    return [name for name, model in MODELS.items() if name in wanted and lake.table(name).upsert(model(lake, run_date))]
+#: What each model reads of the others; models of one level run side by side.
+LEVELS: tuple[tuple[str, ...], ...] = (
+    ("silver.transactions_clean", "silver.cancellations_clean", "silver.exchange_rates_daily"),
+    ("silver.exchange_rates_long", "silver.users_first_seen"),
+    tuple(name for name in MODELS if name.startswith("gold.")),
+)
+
+
+def run_models(lake: Lake, run_date: str | None = None, only: Iterable[str] = (), at_once: int = 4) -> list[str]:
+    """Merges each model's rows of the day (of all history without one) into its table; the names of the tables that were written.
+
+    Up to ``at_once`` models of a level run side by side, each in a pool of its own
+    (which counts where Spark's scheduler is fair) and under one tag. When one fails,
+    the jobs of the others are cancelled by the tag, no later level begins, and the
+    error is raised; tables whose commit did not come stay as they were.
+    """
+    wanted, spark, tag, written = set(only) or set(MODELS), lake.spark, f"models-{uuid.uuid4().hex}", []
+
+    def run(name: str) -> bool:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        spark.addTag(tag)
+        try:
+            return lake.table(name).upsert(MODELS[name](lake, run_date))
+        finally:
+            spark.removeTag(tag)
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    for level in LEVELS:
+        names = [name for name in level if name in wanted]
+        with ThreadPoolExecutor(max(1, min(at_once, len(names)))) as pool:
+            started = {pool.submit(inheritable_thread_target(spark)(run), name): name for name in names}
+            done, waiting = wait(started, return_when=FIRST_EXCEPTION)
+            if failed := next((x for x in done if x.exception()), None):
+                for x in waiting:
+                    x.cancel()
+                spark.interruptTag(tag)
+                wait(started)
+                raise failed.exception()
+        written += [name for x, name in started.items() if x.result()]
+    return written
 
 
 def test_tables(lake: Lake) -> DataFrame:

@@ -20,6 +20,18 @@ def newest() -> list[Column]:
     return [F.col("ingested_at").desc()]
 
 
+#: Values that rows without a key are spread over.
+SALTS = 1024
+
+
+def matched(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
+    """Left join with a dimension that is unique by ``key``. Rows without a key match nothing; where the sides are shuffled they are spread, so that they do not meet in one task."""
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    # Always 0, but no constant, which the optimizer would take out of the join's key.
+    zero = F.pmod(F.xxhash64(key), F.lit(1).cast("long"))
+    return df.withColumn("__salt", salt).join(dimension.withColumn("__salt", zero), [key, "__salt"], "left").drop("__salt")
+
+
 def enriched(tx: DataFrame, users: DataFrame, test_users: DataFrame, promo_codes: DataFrame) -> DataFrame:
     """``tx`` with the flags that need dimensions. The same for settled and live rows.
 
@@ -29,7 +41,7 @@ def enriched(tx: DataFrame, users: DataFrame, test_users: DataFrame, promo_codes
     u = users.select("user_id", F.col("is_test_user").alias("__test"), F.lit(True).alias("__known"))
     t = test_users.select(F.col("test_user_uuid").alias("user_uuid"), F.lit(True).alias("__listed"))
     p = promo_codes.select("promo_code_id", F.date_add(F.try_to_date("expiry_date"), 1).alias("__invalid_from"))
-    wide = tx.join(u, "user_id", "left").join(t, "user_uuid", "left").join(p, "promo_code_id", "left")
+    wide = matched(matched(matched(tx, u, "user_id"), t, "user_uuid"), p, "promo_code_id")
     known, test, listed = holds(F.col("__known")), holds(F.col("__test")), holds(F.col("__listed"))
     return wide.withColumns({
         "is_user_missing": F.col("user_id").isNull(),
