@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from finlake.operators.dedup import cutover, latest
 from finlake.operators.keyed import merged
-from finlake.operators.quality import accepted_values, not_null, orphan_rate, same_count, unique
+from finlake.operators.quality import accepted_values, not_null, orphan_rate, orphans_above, same_count, unique
 from finlake.operators.routing import dead_letters, high_watermark, is_ready, normalised_partitions, route, watermark_rows
 from finlake.plans import checks, gold, serving, silver
 from finlake.sources.adapters import Bronze, settled, streamed
@@ -120,14 +120,6 @@ def _partition_key(w: Warehouse) -> DataFrame:
     return latest(w.bronze.cancellations, ["ingestion_day", "cancellation_id"], [F.col("ingested_at").desc(), F.col("cancellation_pk")]).select("ingestion_day", "cancellation_id", "cancellation_pk")
 
 
-def _cutover(w: Warehouse) -> DataFrame:
-    """Batch rows of one day over what the stream left of it: the batch wins though the stream's rows are newer."""
-    day = w.bronze.transactions.where(F.col("event_day") == RUN_DATE)
-    batch = day.where(F.col("created_at") % 2 == 0)
-    stream = day.withColumns({"status": F.concat(F.lit("stream-"), "status"), "ingested_at": F.col("ingested_at") + F.expr("INTERVAL 5 DAYS")}).drop("promo_code_id")
-    return cutover(batch, stream, "composite_pk").select(*BRONZE_TX, "promo_code_id")
-
-
 def _cutover_all(w: Warehouse) -> DataFrame:
     """The batch of all days over what the stream left in the partitions that the batch touches."""
     batch = settled(w.bronze.transactions)
@@ -177,7 +169,6 @@ WAREHOUSE_QUERIES: dict[str, Query] = {
     "unified_transactions": Warehouse.unified_transactions,
     "unified_purchases": Warehouse.unified_purchases,
     "unified_cancellations": Warehouse.unified_cancellations,
-    "cutover_merge": _cutover,
     "cutover_merge_all": _cutover_all,
     "route_on_time": lambda w: w.late()[0].select(*BRONZE_TX),
     "route_late": lambda w: w.late()[1].select(*BRONZE_TX),
@@ -186,9 +177,10 @@ WAREHOUSE_QUERIES: dict[str, Query] = {
     "high_watermark": lambda w: high_watermark(w.marks, "transactions"),
     "latest_watermark": lambda w: w.marks.orderBy(F.col("committed_at").desc(), F.col("watermark_id").desc()).limit(1).select("watermark_id", "rows_in_batch"),
     "readiness": lambda w: is_ready(w.marks, RUN_DATE),
-    "partition_names": lambda w: normalised_partitions(w.bronze.transactions.select(F.concat(F.lit("event_day="), "event_day").alias("p")).union(w.bronze.events.limit(1).select(F.lit("").alias("p"))), "p"),
+    "partition_names": lambda w: normalised_partitions(w.bronze.transactions.select(F.concat(F.lit("event_day="), "event_day").alias("p")).union(w.bronze.spark.range(1).select(F.lit("").alias("p"))), "p"),
     "upsert_latest": _upserted,
     "partition_scoped_key": _partition_key,
+    "orphans_above": lambda w: orphans_above(orphan_rate(w.cancelled, w.tx, "original_transaction_id", "transaction_id"), pct=1.0),
     "orphan_rate": lambda w: orphan_rate(w.cancelled, w.tx, "original_transaction_id", "transaction_id"),
     "count_recon": _counts,
     "data_tests": _tests,
@@ -338,10 +330,6 @@ FROM tx WHERE promo_code_id IS NOT NULL AND NOT is_test_user GROUP BY event_day"
     "unified_transactions": f"SELECT * FROM {_U_TX}",
     "unified_purchases": f"SELECT * FROM {_U_BUYS}",
     "unified_cancellations": f"SELECT * FROM {_U_CANCEL}",
-    "cutover_merge": f"""SELECT {_BRONZE_SHOWN}, promo_code_id FROM (
-  SELECT *, 0 AS origin FROM bronze_tx WHERE created_at % 2 = 0 UNION ALL
-  SELECT * REPLACE ('stream-' || status AS status, ingested_at + INTERVAL 5 DAY AS ingested_at, NULL AS promo_code_id), 1 FROM bronze_tx)
-WHERE event_day = '{RUN_DATE}' QUALIFY row_number() OVER (PARTITION BY composite_pk ORDER BY origin, ingested_at DESC) = 1""",
     "cutover_merge_all": f"""SELECT {_BRONZE_SHOWN}, promo_code_id FROM (
   SELECT *, 0 AS origin FROM bronze_tx WHERE status <> 'pending' UNION ALL
   SELECT * REPLACE ('stream-' || status AS status, ingested_at + INTERVAL 5 DAY AS ingested_at, NULL AS promo_code_id), 1 FROM bronze_tx
@@ -359,6 +347,8 @@ QUALIFY row_number() OVER (PARTITION BY composite_pk ORDER BY origin, ingested_a
     "partition_scoped_key": "SELECT ingestion_day::VARCHAR AS ingestion_day, cancellation_id, min(cancellation_pk) AS cancellation_pk FROM bronze_cancel GROUP BY ALL",
     "orphan_rate": """SELECT count(*) AS total, count(*) FILTER (NOT known) AS orphan_cnt, round(100.0 * count(*) FILTER (NOT known) / nullif(count(*), 0), 4) AS orphan_pct
 FROM (SELECT coalesce(original_transaction_id IN (SELECT transaction_id FROM tx), false) AS known FROM cancelled)""",
+    "orphans_above": """SELECT * FROM (SELECT count(*) AS total, count(*) FILTER (NOT known) AS orphan_cnt, round(100.0 * count(*) FILTER (NOT known) / nullif(count(*), 0), 4) AS orphan_pct
+FROM (SELECT coalesce(original_transaction_id IN (SELECT transaction_id FROM tx), false) AS known FROM cancelled)) WHERE total > 100 AND orphan_pct > 1.0""",
     "count_recon": "SELECT count(*) AS silver_cnt, 0::BIGINT AS failures FROM tx",
     "data_tests": """SELECT 'not_null_user' AS test, count(*) FILTER (user_id IS NULL) AS failures FROM tx UNION ALL SELECT 'unique_key', 0 UNION ALL
 SELECT 'unique_transaction_id', count(*) FROM (SELECT 1 FROM tx GROUP BY transaction_id HAVING count(*) > 1) UNION ALL

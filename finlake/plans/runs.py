@@ -156,21 +156,23 @@ def test_tables(lake: Lake) -> DataFrame:
 test_tables.__test__ = False  # not a test of this repository
 
 
-def nightly(lake: Lake, sources: dict[str, Source], day: str, ingested_at: Column, committed_at: str, references: str | None = None) -> list[tuple[str, str, int]] | None:
+def nightly(lake: Lake, sources: dict[str, Source], days: str | list[str], ingested_at: Column, committed_at: str, references: str | None = None) -> list[tuple[str, str, int]] | None:
     """Reference snapshots, bronze, then (only if every source is ready) silver, gold and the tests of one day; the warnings, or None where the day was not there or not ready.
 
-    A day without transactions ends the run before anything is read. ``references``:
+    Several ``days`` are a first fill: all must be there, and the models run over all
+    history. A day without transactions ends the run before anything is read. ``references``:
     the folder of the snapshots; without it the tables stay as they are.
     """
-    if not source_ready(lake, sources["transactions"], day):
+    days = [days] if isinstance(days, str) else list(days)
+    if not all(source_ready(lake, sources["transactions"], day) for day in days):
         return None
     if references:
         load_references(lake, references, ingested_at)
     for source in sources.values():
-        ingest(lake, source, [day], ingested_at, committed_at)
-    if not ready(lake, day):
+        ingest(lake, source, days, ingested_at, committed_at)
+    if not all(ready(lake, day) for day in days):
         return None
-    run_models(lake, day)
+    run_models(lake, days[0] if len(days) == 1 else None)
     warned = checks.assert_passed(test_tables(lake))
     orphans = orphans_above(orphan_rate(lake.read("silver.cancellations_clean"), lake.read("silver.transactions_clean"), "original_transaction_id", "transaction_id"))
     if n := orphans.count():

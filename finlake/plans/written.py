@@ -6,7 +6,9 @@ What several queries read is written once in a session and directory.
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,14 +16,15 @@ from pyspark.sql import functions as F
 
 from finlake.functions.columns import time_of_micros, with_transaction_keys
 from finlake.operators.dedup import aligned
-from finlake.operators.keyed import KeyedTable
+from finlake.operators.keyed import KeyedTable, put_text
 from finlake.plans import catalogue, checks, gold, runs
 from finlake.plans.catalogue import BRONZE_TX, RUN_DATE, SETTLED_UNTIL, Warehouse, shown
 from finlake.plans.lake import SPECS, WATERMARK_TABLES, Lake
 from finlake.sources import adapters
 from finlake.sources.jsonl import Source, read_days
 from finlake.sources.storage import new_folder
-from finlake.streaming import live
+from finlake.streaming import deltas, live, progress
+from finlake.streaming.changes import follow
 
 BATCH_TIME, MISSING_DAY = "2024-02-01 00:00:00", "2031-01-01"
 _made: dict[tuple, object] = {}
@@ -84,9 +87,9 @@ def nightly(spark: SparkSession, sf_dir: str) -> Lake:
     return lake
 
 
-def _bronze(spark: SparkSession, sf_dir: str) -> Lake:
+def _bronze(spark: SparkSession, sf_dir: str, prefix: str | None = None) -> Lake:
     """A lake whose bronze tables got two deliveries of transactions."""
-    lake, b = Lake(spark, new_folder(spark, "lake")), adapters.Bronze(spark, sf_dir)
+    lake, b = Lake(spark, new_folder(spark, "lake"), prefix), adapters.Bronze(spark, sf_dir)
     lake.bootstrap()
     for version in (adapters.transactions(b.events), adapters.redelivered(b.events)):
         lake.table("bronze.transactions").upsert(with_transaction_keys(version, F.col("loaded_at")))
@@ -99,8 +102,8 @@ def _bronze(spark: SparkSession, sf_dir: str) -> Lake:
 
 @once
 def history(spark: SparkSession, sf_dir: str) -> Lake:
-    """All models over all history."""
-    lake = _bronze(spark, sf_dir)
+    """All models over all history; the tables have names in the catalogue."""
+    lake = _bronze(spark, sf_dir, f"lake_{uuid.uuid4().hex[:8]}_")
     runs.run_models(lake)
     return lake
 
@@ -123,14 +126,129 @@ def streamed(spark: SparkSession, sf_dir: str) -> tuple[Lake, live.Folders]:
     numbered = messages.repartition(6).withColumn("offset", F.monotonically_increasing_id())
     numbered.union(spark.createDataFrame([("not json", None, -1)], numbered.schema)).write.json(f"{root}/topic")
     lake, folders = Lake(spark, f"{root}/lake"), live.Folders(f"{root}/stream")
+    watched = progress.Progress(spark, f"{root}/progress")
+    put_text(spark, f"{root}/progress/README", "one file for each event")
+    spark.streams.addListener(watched)
     closed = lambda table: datetime.date.fromisoformat(SETTLED_UNTIL) if table != "exchange_rates" else None
     mark = lambda batch, offset: lake.mark("__kafka_batch__", spark.createDataFrame([(f"offset={offset}",)], "p string"), 0, f"{batch:09d}", "kafka")
     live_name = lambda name: f"gold.{name}" if name == "exchange_rates_latest" else f"gold.{name}_live"
     for _ in range(2):
         live.replay(live.topic_dump(spark, f"{root}/topic", files=3), folders, lambda: (b.users, b.test_users, b.promo_codes), lambda name, df: lake.table(live_name(name)).upsert(df), closed, at_batch(), mark)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    spark.streams.removeListener(watched)
     return lake, folders
 
 
+class Crash(Exception):
+    """Stands for a driver that is lost between a commit and the stream's checkpoint."""
+
+
+@once
+def signed(spark: SparkSession, sf_dir: str) -> Lake:
+    """Aggregates by signed deltas over the stream's log, with a crash right after a commit, and restarts."""
+    lake, folders = streamed(spark, sf_dir)
+    b, crashes = adapters.Bronze(spark, sf_dir), ["once"]
+    closed = lambda table: datetime.date.fromisoformat(SETTLED_UNTIL) if table != "exchange_rates" else None
+
+    @dataclass(frozen=True)
+    class Failing(KeyedTable):
+        def upsert(self, *args, **more) -> bool:
+            done = super().upsert(*args, **more)
+            if crashes:
+                raise Crash(crashes.pop())
+            return done
+
+    for _ in range(3):
+        table = (lambda name: Failing(**vars(lake.table(name)))) if crashes else lake.table
+        for query in deltas.run(spark, folders, lambda: (b.users, b.test_users, b.promo_codes), table, closed, {"availableNow": True}):
+            try:
+                query.awaitTermination()
+            except Exception:
+                if crashes or table == lake.table:
+                    raise
+    return lake
+
+
+def _progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that the ingest read, by the progress of its batches, and whether it took several."""
+    _, folders = streamed(spark, sf_dir)
+    seen = spark.read.schema(progress.PROGRESS).option("pathGlobFilter", "*.json").json(f"{folders.root.removesuffix('/stream')}/progress")
+    first = spark.read.json(f"{folders.checkpoint('ingest')}/metadata").select(F.col("id").alias("query"))
+    rows = seen.where("event = 'progress'").join(first, "query", "left_semi")
+    return rows.agg(F.sum("rows").alias("messages"), (F.countDistinct("batch") > 1).alias("several"))
+
+
+CHANGES = "composite_pk string, status string, event_day string, ingested_at timestamp_ntz"
+
+
+def _change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four upserts of a keyed table; a stream begins after the second, is restarted after the fourth, and files what it is given."""
+    root, events = new_folder(spark, "changes"), adapters.table(spark, sf_dir, "events")
+    table = KeyedTable(f"{root}/tx", CHANGES, ("composite_pk",), "ingested_at", buckets=16, keep=4)
+    keyed = lambda df: with_transaction_keys(df, F.col("loaded_at")).select(*BRONZE_TX)
+    again = keyed(adapters.redelivered(events))
+    later = again.withColumns({"status": F.lit("cancelled"), "ingested_at": F.expr("ingested_at + INTERVAL 5 DAYS")})
+
+    def take(changes: DataFrame, version: int, number: int) -> None:
+        changes.select(F.lit(version).cast("long").alias("version"), "change", F.col("row.composite_pk").alias("composite_pk"), F.col("before.status").alias("before"), F.col("row.status").alias("status")).write.mode("overwrite").parquet(f"{root}/seen/batch={number}")
+
+    def go() -> None:
+        follow(table, spark, take, f"{root}/checkpoint", start=1).awaitTermination()
+
+    table.upsert(keyed(adapters.transactions(events.where("event_id % 7 <> 0"))))
+    table.upsert(again)
+    go()  # nothing has come after version 1
+    table.upsert(later)
+    go()
+    table.upsert(keyed(adapters.transactions(events.where("event_id % 7 = 0"))))
+    go()
+    go()
+    return spark.read.parquet(f"{root}/seen").drop("batch")
+
+
+def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by commit and partition, as they were counted while they were written."""
+    return history(spark, sf_dir).table("bronze.transactions").commits(spark)
+
+
+def _bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days whose files have broken lines between their records: all are in the dead letters."""
+    root, events = new_folder(spark, "broken"), adapters.table(spark, sf_dir, "events")
+    tx = adapters.settled(adapters.transactions(events))
+    good = tx.select(F.to_json(F.struct(*[c for c in tx.columns if c != "loaded_at"])).alias("value"), F.to_date(F.col("loaded_at") - F.expr("INTERVAL 1 DAY")).alias("day"))
+    bad = events.where("event_id % 97 = 5").select(F.concat(F.lit('{"transaction_id": '), F.expr("event_id div 970"), F.lit(', "sta')).alias("value"), F.to_date("ts").alias("day"))
+    good.unionByName(bad).repartition("day").write.partitionBy("day").text(root + "/tx")
+    lake = Lake(spark, f"{root}/lake")
+    runs.ingest(lake, Source("transactions", runs.schemas.TRANSACTIONS, f"{root}/tx/day={{day}}", "*.txt"), days(spark, sf_dir), at_batch(), BATCH_TIME)
+    line = F.get_json_object("payload_json", "$.line")
+    return lake.read("bronze_dlq.late_events").select("source_table", "reason", "event_day_observed", line.alias("line"), F.get_json_object("payload_json", "$.times").cast("long").alias("times"))
+
+
+@once
+def whole_nights(spark: SparkSession, sf_dir: str) -> tuple[Lake, dict[str, bool]]:
+    """A night over all days and one over a day that is not there, with reference snapshots from files; which of them ran."""
+    lake, root, b = Lake(spark, new_folder(spark, "lake")), new_folder(spark, "references"), adapters.Bronze(spark, sf_dir)
+    lake.bootstrap()
+    for name, df in (("users", b.users), ("test_users", b.test_users), ("promo_codes", b.promo_codes)):
+        df.write.json(f"{root}/{name}.jsonl")
+    every = [d for d in days(spark, sf_dir) if d != MISSING_DAY]
+    ran = {d: runs.nightly(lake, day_files(spark, sf_dir), d, at_batch(), BATCH_TIME, root) is not None for d in (MISSING_DAY,)}
+    ran[every[-1]] = runs.nightly(lake, day_files(spark, sf_dir), every, at_batch(), BATCH_TIME, root) is not None
+    return lake, ran
+
+
+def _nightly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lake, _ = whole_nights(spark, sf_dir)
+    return lake.read("gold.dq_summary_daily").select("event_day", "tx_total", "tx_user_missing", "tx_user_unknown", "tx_promo_expired")
+
+
+def _nightly_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was closed with how many rows, and how the nights ended."""
+    lake, ran = whole_nights(spark, sf_dir)
+    ended = spark.createDataFrame([("nightly", f"ran={ok}", 1) for ok in ran.values()], "table_name string, source_partition string, rows_in_batch long")
+    return lake.marks("transactions", "cancellations").select("table_name", "source_partition", "rows_in_batch").union(ended)
+
+
 def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = adapters.users(adapters.table(spark, sf_dir, "customer"))
     table = KeyedTable(f"{new_folder(spark, 'snapshot')}/users", "user_id long, user_uuid string, is_test_user boolean", ("user_id",), "user_id")
@@ -148,7 +266,10 @@ def _overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _created(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lake = Lake(spark, new_folder(spark, "lake"))
+    """Bootstrap of a lake that has the reference tables already: they stay, all others are empty."""
+    lake, b = Lake(spark, new_folder(spark, "lake")), adapters.Bronze(spark, sf_dir)
+    for name, df in (("users", b.users), ("test_users", b.test_users), ("promo_codes", b.promo_codes)):
+        lake.table(f"bronze.{name}").snapshot(aligned(df, spark.createDataFrame([], lake.table(f"bronze.{name}").schema)))
     lake.bootstrap()
     return reduce(DataFrame.union, [lake.read(name).agg(F.lit(name).alias("table_name"), F.count("*").alias("n")) for name in SPECS])
 
@@ -165,8 +286,8 @@ def _ready(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history(spark, sf_dir).attach()
-    return spark.table("gold_dq_summary_daily")
+    """As another session finds it."""
+    return spark.newSession().table(f"{history(spark, sf_dir).prefix}gold.dq_summary_daily")
 
 
 def _day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,6 +345,13 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_log": lambda spark, sf_dir: live.bronze(spark, streamed(spark, sf_dir)[1], "transactions", "composite_pk").select(*BRONZE_TX),
     "stream_dead_letters": lambda spark, sf_dir: spark.read.parquet(streamed(spark, sf_dir)[1].dead).where("table = 'transactions'").select("dlq_pk", "source_table", "reason", "event_day_observed"),
     "stream_offsets": _offsets,
+    **{f"signed_{name}": lambda spark, sf_dir, name=name: signed(spark, sf_dir).read(f"gold.{name}_signed").drop("amount_cnt") for name in ("transactions_by_hour", "purchases_by_hour", "cancellations_summary")},
+    "stream_progress": _progress,
+    "change_stream": _change_stream,
+    "commit_rows": _commits,
+    "bad_lines": _bad_lines,
+    "nightly_all": _nightly_counts,
+    "nightly_marks": _nightly_marks,
     "stream_rates_latest": lambda spark, sf_dir: streamed(spark, sf_dir)[0].read("gold.exchange_rates_latest"),
     **{f"stream_{name}": lambda spark, sf_dir, name=name: streamed(spark, sf_dir)[0].read(f"gold.{name}_live") for name in ("transactions_by_hour", "purchases_by_hour", "cancellations_summary")},
     "micros_to_time": lambda spark, sf_dir: adapters.table(spark, sf_dir, "events").select("event_id", F.expr(f"{adapters.EPOCH} * 1000000 + 999999").alias("us")).select("event_id", time_of_micros("us").alias("at")),
@@ -258,7 +386,8 @@ UNION ALL SELECT 'transactions|s3|day={RUN_DATE}', 'transactions', 'day={RUN_DAT
 UNION ALL SELECT 'cancellations|s3|day={RUN_DATE}', 'cancellations', 'day={RUN_DATE}', count(*) FROM raw_cancel WHERE {_DAY_OF_CANCEL} = '{RUN_DATE}'
 UNION ALL SELECT 'exchange_rates|s3|snapshot', 'exchange_rates', 'snapshot', count(*) FROM bronze_rates WHERE rate_day = '{RUN_DATE}'""",
     "readiness_written": f"SELECT * FROM (VALUES ('{RUN_DATE}', true, true), ('{MISSING_DAY}', false, false)) AS v(day, ready, source_there)",
-    "created_empty": f"SELECT unnest({list(SPECS)}) AS table_name, unnest({[int('ingest_watermarks' in x) for x in SPECS]})::BIGINT AS n",
+    "created_empty": f"""SELECT table_name, CASE table_name WHEN 'bronze.users' THEN (SELECT count(*) FROM u) WHEN 'bronze.test_users' THEN (SELECT count(*) FROM tu) WHEN 'bronze.promo_codes' THEN (SELECT count(*) FROM pc) ELSE n END AS n
+FROM (SELECT unnest({list(SPECS)}) AS table_name, unnest({[int('ingest_watermarks' in x) for x in SPECS]})::BIGINT AS n)""",
     "snapshot_written": "SELECT c_custkey AS user_id, 'u-' || c_custkey AS user_uuid, false AS is_test_user FROM customer WHERE c_acctbal >= 0",
     "partitions_overwritten": f"SELECT {catalogue._BRONZE_SHOWN} FROM bronze_tx WHERE event_day <= '{SETTLED_UNTIL}' OR status = 'completed'",
     "upsert_written": catalogue._SELECTS["upsert_latest"],
@@ -272,11 +401,24 @@ UNION ALL SELECT 'exchange_rates|s3|snapshot', 'exchange_rates', 'snapshot', cou
     "stream_transactions_by_hour": catalogue._TX_HOURS,
     "stream_purchases_by_hour": catalogue._BUYS,
     "stream_cancellations_summary": catalogue._LIVE,
+    "signed_transactions_by_hour": catalogue._TX_HOURS,
+    "signed_purchases_by_hour": catalogue._BUYS,
+    "signed_cancellations_summary": f"SELECT pk, cancel_day, reason, cancellations_cnt, invalid_refund_cnt, total_refund_amount, updated_at FROM ({catalogue._LIVE})",
+    "stream_progress": "SELECT (SELECT count(*) FROM bronze_tx) + (SELECT count(*) FROM bronze_cancel) + (SELECT count(*) FROM bronze_rates) + 1 AS messages, true AS several",
+    "change_stream": f"""SELECT 2::BIGINT AS version, 'update' AS change, {_KEY} AS composite_pk, 'failed' AS before, 'cancelled' AS status FROM raw_tx WHERE i % 100 = 0
+UNION ALL SELECT 3, 'insert', {_KEY}, NULL, status FROM raw_tx WHERE i % 7 = 0 AND i % 100 <> 0""",
+    "commit_rows": """SELECT 1::BIGINT AS version, 'event_day=' || event_day AS folder, count(DISTINCT composite_pk) AS rows FROM bronze_tx GROUP BY event_day
+UNION ALL SELECT 2, 'event_day=' || event_day, count(DISTINCT composite_pk) FROM bronze_tx WHERE event_day IN (SELECT event_day FROM raw_tx WHERE i % 100 = 0) GROUP BY event_day""",
+    "bad_lines": """SELECT 'transactions' AS source_table, 'malformed_line' AS reason, d AS event_day_observed, '{"transaction_id": ' || (i // 970) || ', "sta' AS line, count(*) AS times FROM e WHERE i % 97 = 5 GROUP BY ALL""",
+    "nightly_all": "SELECT event_day, count(*) AS tx_total, count(*) FILTER (is_user_missing) AS tx_user_missing, count(*) FILTER (is_user_unknown) AS tx_user_unknown, count(*) FILTER (is_promo_expired_at_use) AS tx_promo_expired FROM tx GROUP BY event_day",
+    "nightly_marks": f"""SELECT 'transactions' AS table_name, 'day=' || event_day AS source_partition, count(*) FILTER (status <> 'pending') AS rows_in_batch FROM raw_tx GROUP BY event_day
+UNION ALL SELECT 'cancellations', 'day=' || d, count(c.d2) FROM (SELECT DISTINCT d FROM e) LEFT JOIN (SELECT {_DAY_OF_CANCEL} AS d2 FROM raw_cancel) c ON c.d2 = d GROUP BY d
+UNION ALL SELECT 'nightly', 'ran=False', 1 UNION ALL SELECT 'nightly', 'ran=True', 1""",
     "micros_to_time": "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM events",
     **{f"written_{name}": catalogue._SELECTS[name] for name in MODELS},
     **{name: f"SELECT * FROM ({catalogue._SELECTS[base]}) WHERE event_day = '{RUN_DATE}'" for name, base in {
         "gold_transactions_by_hour_day": "gold_transactions_by_hour", "gold_purchases_by_hour_day": "gold_purchases_by_hour", "gold_dq_summary_day": "gold_dq_summary_daily",
         "gold_promo_expired_usage_day": "gold_promo_expired_usage_daily", "gold_user_cohorts_day": "gold_user_cohorts"}.items()},
 }
-_SLICES = {"materialise_day": _ONE_DAY} | dict.fromkeys(("stream_log", "stream_transactions_by_hour", "stream_purchases_by_hour", "stream_cancellations_summary"), _OPEN)
+_SLICES = {"materialise_day": _ONE_DAY, "nightly_all": {"tx_day": "WHERE status <> 'pending' AND NOT (status = 'failed' AND ingested_at > event_day::DATE + INTERVAL 1 DAY)"}} | dict.fromkeys(("signed_transactions_by_hour", "signed_purchases_by_hour", "signed_cancellations_summary", "stream_log", "stream_transactions_by_hour", "stream_purchases_by_hour", "stream_cancellations_summary"), _OPEN)
 ORACLE = {name: catalogue._BASE.format(**{"tx_day": "", "rate_day": "", "cancel_day": ""} | _SLICES.get(name, {})) + "\n" + select for name, select in _SELECTS.items()}
