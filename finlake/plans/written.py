@@ -1,6 +1,7 @@
 """Queries that write tables, by batch or stream, and read them back; with the same in DuckDB SQL.
 
-What several queries read is written once in a session and directory.
+What several queries read is written once in a session for the tables of a
+directory as they stand; a second call reads it.
 """
 
 from __future__ import annotations
@@ -27,17 +28,24 @@ from finlake.streaming import deltas, live, progress
 from finlake.streaming.changes import follow
 
 BATCH_TIME, MISSING_DAY = "2024-02-01 00:00:00", "2031-01-01"
-_made: dict[tuple, object] = {}
+_made: dict[tuple, tuple[object, object]] = {}
+
+
+def _stand(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names and times of the tables of a directory."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((x.getPath().getName(), x.getModificationTime(), x.getLen()) for x in found))
 
 
 def once(make: Callable[[SparkSession, str], object]):
-    """``make``, once for each session and directory."""
+    """``make``, once for each session and directory, and anew where its tables have changed."""
 
     def get(spark: SparkSession, sf_dir: str):
-        key = (make.__name__, spark.sparkContext.applicationId, sf_dir)
-        if key not in _made:
-            _made[key] = make(spark, sf_dir)
-        return _made[key]
+        key, stand = (make.__name__, spark.sparkContext.applicationId, sf_dir), _stand(spark, sf_dir)
+        if key not in _made or _made[key][0] != stand:
+            _made[key] = (stand, make(spark, sf_dir))
+        return _made[key][1]
 
     return get
 
@@ -324,7 +332,7 @@ def _model(name: str):
 
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = history(spark, sf_dir).read(table)
-        return df.select(*catalogue.TX) if name == "silver_transactions_clean" else df.drop("updated_at") if name == "gold_promo_codes_analysis" else df
+        return df.select(*catalogue.TX) if name == "silver_transactions_clean" else df.withColumn("updated_at", F.col("updated_at").isNotNull()) if name == "gold_promo_codes_analysis" else df
 
     return read
 
@@ -416,6 +424,7 @@ UNION ALL SELECT 'cancellations', 'day=' || d, count(c.d2) FROM (SELECT DISTINCT
 UNION ALL SELECT 'nightly', 'ran=False', 1 UNION ALL SELECT 'nightly', 'ran=True', 1""",
     "micros_to_time": "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM events",
     **{f"written_{name}": catalogue._SELECTS[name] for name in MODELS},
+    "written_gold_promo_codes_analysis": f"SELECT *, true AS updated_at FROM ({catalogue._SELECTS['gold_promo_codes_analysis']})",
     **{name: f"SELECT * FROM ({catalogue._SELECTS[base]}) WHERE event_day = '{RUN_DATE}'" for name, base in {
         "gold_transactions_by_hour_day": "gold_transactions_by_hour", "gold_purchases_by_hour_day": "gold_purchases_by_hour", "gold_dq_summary_day": "gold_dq_summary_daily",
         "gold_promo_expired_usage_day": "gold_promo_expired_usage_daily", "gold_user_cohorts_day": "gold_user_cohorts"}.items()},
