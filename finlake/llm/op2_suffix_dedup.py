@@ -17,7 +17,7 @@ reaches the next:
 3. Length 50, past the threshold. Runs of windows that still are not unique are
    dealt out by rank with their bytes, each different run of a block of documents
    once; each task sorts the windows themselves and finds the smallest document
-   of each. (Windows count as equal if 64-bit hash and 64-bit rank are equal.)
+   of each. Windows, and runs, of one hash are compared byte by byte.
 
 Hashes of doubled length come from pairs of hashes at an offset (1, 2, 4, ...,
 32). Documents are handled in blocks of about BLOCK_BYTES of text; within a block a
@@ -26,7 +26,9 @@ third of all documents makes one entry per block. No pair of documents is made.
 CROWDED and PACKED choose the length of a rank and change no result.
 
 A null text counts as empty. Of rows that repeat a doc_id only the one with the
-smallest text counts; rows without a doc_id are left out. Texts shorter than
+smallest text counts, found by an aggregation before anything is grouped, so that
+an id with a third of all rows makes no large group; rows without a doc_id are left
+out. Texts shorter than
 the threshold lose nothing. Extra columns are ignored. An empty table gives no
 rows.
 """
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlake.llm.kernels import BYTE_CODE, U64, mix, span_hashes, text_bytes
+from finlake.llm.kernels import BYTE_CODE, U64, _lanes, mix, same_spans, span_hashes, text_bytes
 from finlake.llm.scratch import Scratch, documents
 
 THRESHOLD, FIRST, SECOND = 50, 20, 40
@@ -157,11 +159,33 @@ def _joined(table: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndar
     return data.view(kind), np.diff(bounds) // np.dtype(kind).itemsize
 
 
+def _equal_windows(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the THRESHOLD bytes from each ``a`` on are those from ``b`` on."""
+    lanes, out = _lanes(x), np.ones(len(a), bool)
+    for k in (*range(0, THRESHOLD - 8, 8), THRESHOLD - 8):
+        out &= lanes[a + k] == lanes[b + k]
+    return out
+
+
+def _numbered(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number for each different window of THRESHOLD bytes, by the bytes themselves."""
+    windows = x[at[:, None] + np.arange(THRESHOLD)]
+    return np.unique(windows.view(f"V{THRESHOLD}").ravel(), return_inverse=True)[1].astype(U64)
+
+
+def _one_text_per_id(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The smallest text of each doc_id. Tasks reduce what they read before the shuffle; where no id repeats, nothing is moved but counts of ids."""
+    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return rows
+    return scratch.save(rows.groupBy("doc_id").agg(F.min("text").alias("text")), "single")
+
+
 def repeated(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, the kept bytes as ``kept``, for every document."""
-    size = docs.where("doc_id is not null").agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(LEAST_BLOCKS, size // BLOCK_BYTES)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = _one_text_per_id(rows, scratch)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(LEAST_BLOCKS, size // BLOCK_BYTES)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
 
     def first_ranks(key, table):
@@ -248,7 +272,9 @@ def repeated(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame
         base = np.cumsum(size) - size
         order = np.lexsort((doc, whole, rank))
         rank, whole, doc, at, windows, size, base = (a[order] for a in (rank, whole, doc, at, windows, size, base))
-        begin = np.flatnonzero(np.concatenate(([True], (rank[1:] != rank[:-1]) | (whole[1:] != whole[:-1]))))
+        new = (rank[1:] != rank[:-1]) | (whole[1:] != whole[:-1]) | (size[1:] != size[:-1])
+        new[~new] = ~same_spans(body, base[1:][~new], base[:-1][~new], size[1:][~new])
+        begin = np.flatnonzero(np.concatenate(([True], new)))
         lowest = np.repeat(doc[begin], np.diff(np.append(begin, len(doc))))
         later = doc > lowest  # the same run is in a smaller document of this block
         first = ~later
@@ -288,10 +314,15 @@ def repeated(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame
             x = bodies[np.repeat(base[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             owner = np.repeat(np.arange(len(own)), w)
             step = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-            h = ranks(x, (THRESHOLD,))[THRESHOLD][np.repeat(np.cumsum(n) - n, w) + step]
+            place = np.repeat(np.cumsum(n) - n, w) + step
+            h = ranks(x, (THRESHOLD,))[THRESHOLD][place]
             by = np.argsort(h, kind="stable")
-            hs, ds, rs = h[by], doc[own][owner[by]], rank[own][owner[by]]
-            begin = np.flatnonzero(np.concatenate(([True], (hs[1:] != hs[:-1]) | (rs[1:] != rs[:-1]))))
+            alike = np.flatnonzero(h[by][1:] == h[by][:-1])
+            if not _equal_windows(x, place[by][alike], place[by][alike + 1]).all():  # different windows of one hash
+                h = _numbered(x, place)
+                by = np.argsort(h, kind="stable")
+            hs, ds = h[by], doc[own][owner[by]]
+            begin = np.flatnonzero(np.concatenate(([True], hs[1:] != hs[:-1])))
             gone = np.zeros(len(h), bool)
             gone[by] = ds > np.repeat(np.minimum.reduceat(ds, begin), np.diff(np.append(begin, len(hs))))
             head = gone & np.concatenate(([True], ~gone[:-1] | (owner[1:] != owner[:-1])))

@@ -81,6 +81,35 @@ def test_op2_periodic_and_overlapping(spark):
     assert op2_rows(df, spark) == removed(docs)
 
 
+def test_op2_compares_bytes_where_hashes_agree(spark, monkeypatch):
+    """With hashes of few values all runs and windows collide; the result is that of the bytes."""
+    real = op2.ranks
+
+    def few(data, lengths):
+        return {n: r % op2.U64(3) for n, r in real(data, lengths).items()}
+
+    def none(data, start, end):
+        return (end - start).astype(op2.U64) * op2.U64(0)
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    expected = removed(texts(docs))
+    monkeypatch.setattr(op2, "ranks", few)
+    monkeypatch.setattr(op2, "span_hashes", none)
+    assert op2_rows(docs, spark) == expected and any(n for _, n, _, _ in expected.values())
+
+
+def test_op2_repeated_ids_are_reduced_first(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{base} {i}") for i in range(20)] + [(7, f"{base} other {i % 40}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    single = op2._one_text_per_id(df, Scratch(spark, "t"))
+    assert single.count() == 20
+    smallest = {i: min(t for j, t in rows if j == i) for i in range(20)}
+    assert op2_rows(df, spark) == removed(smallest)
+    plain = spark.createDataFrame(rows[:20], df.schema)
+    assert op2._one_text_per_id(plain, Scratch(spark, "t")) is plain
+
+
 def test_op2_ranks_compose():
     data = np.frombuffer(b"the same twenty bytes or more, the same twenty bytes or more", np.uint8)
     r = op2.ranks(data, (20, 40, 50))

@@ -87,5 +87,21 @@ def test_run_gives_the_last_stage(spark, stages):
     assert total(ran) == total(stages[1][5])
 
 
+@pytest.mark.parametrize("kind", ["edge", "empty"])
+def test_run_on_edges(spark, edge, empty, kind, tmp_path):
+    """Nulls, copies, repeated rows, a very long text and clashing columns; and a table without rows."""
+    docs = edge if kind == "edge" else empty
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = pipeline.run(spark, str(tmp_path)).toPandas()
+    if kind == "empty":
+        assert not len(pieces)
+    else:
+        known = {i: len(t[0] or "") for i, t in by_id(edge).items()}
+        assert set(pieces.doc_id) <= set(known) and 9 in set(pieces.doc_id) and not {1, 2, 3, 12} & set(pieces.doc_id)
+        whole = pieces.groupby("doc_id").length.sum()
+        size = pieces.drop_duplicates("doc_id").set_index("doc_id").doc_tokens
+        assert (whole % size == 0).all()
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
