@@ -17,9 +17,11 @@ go an exact way that needs no sketch: sets with enough overlap share one of
 their rarest elements (a prefix, in order of frequency), and a prefix list is
 compared by stars first (each member with a central one, which has the element
 earliest in its order and so has the fewest elements of its own), then only
-between members that different components still hold: by classes of size, since
-linked sizes are near, and in pairs of blocks of a class, so that no task gets a
-whole list. All candidates are confirmed on their full sets. Links within one
+between members that different components still hold. These meet by pairs of classes
+of size that both allow: linked sizes are near, and the place of the list's element
+in a member's order bounds the size of those it can link with. So members that
+share a passage too small to link them do not meet. A pair of classes is cut into
+pairs of blocks, so that no task gets a whole list. All candidates are confirmed on their full sets. Links within one
 component that are not listed change no result.
 
 A null or empty text, or one of white space only, has an empty set and links
@@ -141,25 +143,42 @@ def _prefixes(sets: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
     return rare.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold / F.lit(100)) + 1).where("among > 1").select("item", "doc_id", "n", "place")
 
 
-CELL = ["item", "class", "row", "column"]
+CELL = ["item", "row_class", "column_class", "row", "column"]
+#: Classes of size that a factor of 100 / threshold spans.
+CLASSES = 8
+
+
+def _classes(threshold: int) -> tuple[F.Column, F.Column]:
+    """The class of size of a member (n, place) of a list, and the classes of those it can link with.
+
+    A link needs sizes within a factor of 100 / threshold, and an overlap of at least
+    threshold * (n + m) / (100 + threshold). What the list's item and all later ones
+    can give is n - place + 1; so place bounds the partner's size m from above. Both
+    must allow the other's class to meet.
+    """
+    width = max(math.log(100 / threshold), 0.01) / CLASSES
+    of = lambda size: F.floor(F.log(size) / width).cast("int")
+    least = F.col("n") * threshold / 100.0
+    most = F.least(F.col("n") * 100.0 / threshold, (F.col("n") - F.col("place") + 1) * (100.0 + threshold) / threshold - F.col("n"))
+    near = 1e-9  # more than rounding can lose
+    return of(F.col("n") * (1 + near)), F.when(most * (1 + near) >= least, F.sequence(of(least * (1 - near)), of(most * (1 + 2 * near))))
 
 
 def _cells(away: DataFrame, members: DataFrame, scratch: Scratch, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides by CELL: a member of ``away`` meets each of ``members`` of its list that has its class of size or a next one.
+    """Both sides by CELL: a member of ``away`` meets those of ``members`` of its list whose class of size it allows and that allow its class.
 
-    Linked sizes differ by a factor of at most 100 / threshold, and a class is
-    no narrower. The members of a class are cut into blocks, and each pair of
-    blocks is a key of its own.
+    The members of a cell are cut into blocks, and each pair of blocks is a key of
+    its own.
     """
-    width = max(math.log(100 / threshold), 0.01) * (1 + 1e-6)  # a little wider than rounding can lose
-    size = F.floor(F.log("n") / width).cast("int")
-    away = scratch.save(away.withColumn("class", size), "away")
-    near = members.join(away.select("item").distinct(), "item", "left_semi").withColumn("class", F.explode(F.array(size - 1, size, size + 1)))
-    near = scratch.save(near.join(away.select("item", "class").distinct(), ["item", "class"], "left_semi"), "near")
-    blocks = scratch.save(near.groupBy("item", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    own, allowed = _classes(threshold)
+    away = away.withColumn("row_class", own).withColumn("column_class", F.explode(allowed))
+    away = scratch.save(away, "away")
+    near = members.join(away.select("item").distinct(), "item", "left_semi").withColumn("column_class", own).withColumn("row_class", F.explode(allowed))
+    near = scratch.save(near.join(away.select(*CELL[:3]).distinct(), CELL[:3], "left_semi"), "near")
+    blocks = scratch.save(near.groupBy(*CELL[:3]).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return away.join(blocks, ["item", "class"]).withColumn("row", own).withColumn("column", every), near.join(blocks, ["item", "class"]).withColumn("column", own).withColumn("row", every)
+    return away.join(blocks, CELL[:3]).withColumn("row", mine).withColumn("column", every), near.join(blocks, CELL[:3]).withColumn("column", mine).withColumn("row", every)
 
 
 DIGEST = ["n_shingles", "k1", "k2"]

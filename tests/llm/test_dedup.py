@@ -2,11 +2,13 @@
 
 import hashlib
 import itertools
+import math
 import re
 
 import numpy as np
 import pytest
 from plain_doubling import bytes_removed
+from pyspark.sql import functions as F
 from support import SF, same_rows
 
 from finlake.llm import op2_suffix_dedup as op2
@@ -219,6 +221,33 @@ def test_components(spark):
     assert connected_components(edges.limit(0), Scratch(spark, "t"), "c").isEmpty()
 
 
+@pytest.mark.parametrize("n", [100, 400])
+def test_op5_members_that_only_share_a_passage_do_not_meet(spark, n):
+    """Sets of 50 to 53 elements that share 45: too few to link, though the passage stands early enough for a smaller partner."""
+    rows = [(1, i, 50 + i % 4, place, i) for i in range(n) for place in [6 + i % 4] if place <= 8]
+    members = spark.createDataFrame(rows, "item long, doc_id long, n int, place int, component long")
+    met = lambda away, others: away.select(*op5.CELL, F.col("doc_id").alias("a")).join(others.select(*op5.CELL, F.col("doc_id").alias("b")), op5.CELL).where("a <> b").count()
+    assert met(*op5._cells(members, members, Scratch(spark, "t"), 85)) <= n * math.log2(n)
+    early = members.withColumn("place", F.lit(1))  # these may link, and all meet
+    assert met(*op5._cells(early, early, Scratch(spark, "t"), 85)) == len(rows) * (len(rows) - 1)
+
+
+@pytest.mark.parametrize("threshold", [80, 85, 100])
+def test_op5_classes_lose_no_pair(spark, threshold):
+    """Every pair of sizes and places that the exact conditions allow meets in a cell."""
+    sizes = [1, 2, 3, 5, 8, 9, 10, 17, 18, 20, 21, 40, 47, 50, 99, 100, 117, 118, 1000, 1176]
+    rows = [(1, 10 * k + p, n, place, 10 * k + p) for k, n in enumerate(sizes) for p, place in enumerate(sorted({1, 2, max(1, n // 10), max(1, n - math.ceil(n * threshold / 100) + 1)}))]
+    members = spark.createDataFrame(rows, "item long, doc_id long, n int, place int, component long")
+    away, others = op5._cells(members, members, Scratch(spark, "t"), threshold)
+    pair = away.select(*op5.CELL, F.col("doc_id").alias("a")).join(others.select(*op5.CELL, F.col("doc_id").alias("b")), op5.CELL)
+    found = {(r["a"], r["b"]) for r in pair.collect()}
+    for _, a, n, p, _ in rows:
+        for _, b, m, q, _ in rows:
+            overlap = -(-threshold * (n + m) // (100 + threshold))
+            if 100 * n >= threshold * m and 100 * m >= threshold * n and p <= n - overlap + 1 and q <= m - overlap + 1:
+                assert (a, b) in found, (n, p, m, q)
+
+
 # --- op10
 
 
