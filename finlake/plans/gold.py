@@ -154,6 +154,6 @@ def dq_summary_daily(tx: DataFrame, run_date: str | None = None) -> DataFrame:
 
 
 def rates_latest(rates: DataFrame) -> DataFrame:
-    """The newest quote, one row for the pair ``tgrk``."""
-    newest = F.max_by(F.struct("rate_tgrk_punk", "rate_tgrk_rub"), F.struct("timestamp", "update_id"))
+    """The newest quote, one row for the pair ``tgrk``; of two deliveries of it the later one. Works on a stream too."""
+    newest = F.max_by(F.struct("rate_tgrk_punk", "rate_tgrk_rub"), F.struct("timestamp", "update_id", "ingested_at"))
     return rates.where(F.col("timestamp").isNotNull()).groupBy(F.lit("tgrk").alias("pair")).agg(F.max("timestamp").alias("rate_ts"), newest.alias("r")).select("pair", "rate_ts", "r.*")

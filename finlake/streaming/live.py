@@ -173,13 +173,13 @@ def live(spark: SparkSession, folders: Folders, dimensions: Dimensions, upsert:
             upsert("cancellations_summary", gold.cancellations_live(cancellations_clean(rows)))
 
     def of_rates(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():  # all quotes there are, a few a day
-            upsert("exchange_rates_latest", gold.rates_latest(bronze(spark, folders, "exchange_rates", "rate_pk")))
+        upsert("exchange_rates_latest", batch)
 
-    handlers = {"transactions": of_transactions, "cancellations": of_cancellations, "exchange_rates": of_rates}
+    # The newest quote is kept in the stream's state, so a trigger reads its own quotes only.
+    queries = {"transactions": (of_transactions, lambda df: df), "cancellations": (of_cancellations, lambda df: df), "exchange_rates": (of_rates, gold.rates_latest)}
     return [
-        changes(spark, folders, table).writeStream.foreachBatch(handler).option("checkpointLocation", folders.checkpoint(f"live-{table}")).trigger(**trigger).start()
-        for table, handler in handlers.items()
+        model(changes(spark, folders, table)).writeStream.outputMode("update").foreachBatch(handler).option("checkpointLocation", folders.checkpoint(f"live-{table}")).trigger(**trigger).start()
+        for table, (handler, model) in queries.items()
         if exists(spark, folders.bronze(table))
     ]
 
