@@ -249,10 +249,11 @@ def test_op4_round_trip(spark, source, edge, encoder, tmp_path, monkeypatch):
     assert index.slot.tolist() == list(range(len(index))) and sorted(index.sequence) == list(range(len(index)))
     assert (index.byte_offset == index.slot % 16 * op4.STRIDE).all()
     texts = by_id(docs)
-    cover = {i: np.zeros(len(ids_of(encoder, t[0])), int) for i, t in texts.items()}
+    encoded = {i: ids_of(encoder, t[0]) for i, t in texts.items()}
+    cover = {i: np.zeros(len(ids), int) for i, ids in encoded.items()}
     stored = list(op4.read_from(root, 0, len(index)))
     for ids, r in zip(stored, index.itertuples(), strict=True):
-        whole = np.concatenate([ids_of(encoder, texts[p["doc_id"]][0])[p["start"] : p["start"] + p["length"]] for p in r.pieces])
+        whole = np.concatenate([encoded[p["doc_id"]][p["start"] : p["start"] + p["length"]] for p in r.pieces])
         assert ids.tolist() == whole.tolist() and len(ids) == r.n_tokens
         for p in r.pieces:
             cover[p["doc_id"]][p["start"] : p["start"] + p["length"]] += 1
