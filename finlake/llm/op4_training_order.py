@@ -1,10 +1,11 @@
 """Training-order materialisation: token sequences in a keyed random order, in fixed-stride binary shards.
 
 Documents are dealt into blocks by a hash of id and text, about BLOCK_ROWS in
-each and MOST_BLOCKS at most, and sorted by id and text within a block. They are
-encoded, each closed by one END id, and the stream of a block is cut into
-sequences of SEQUENCE ids; only the last of a block can be shorter. The
-sequences are numbered 0 to N - 1 (by block, then in order), and a keyed Feistel
+each and MOST_BLOCKS at most, and sorted by id and text within a block. A row that
+repeats more often than a block has rows is counted and dealt out in lots of that
+many copies, so that no block gets them all. Documents are encoded, each closed by
+one END id, and the stream of a block is cut into sequences of SEQUENCE ids; only
+the last of a block can be shorter. The sequences are numbered 0 to N - 1 (by block, then in order), and a keyed Feistel
 network permutes the numbers: it permutes a domain of a power of four, and
 values outside N walk on along their cycle until they fall inside, so every slot
 0 to N - 1 is taken once and nothing is sorted or held to shuffle the corpus.
@@ -74,6 +75,23 @@ def feistel(numbers: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.n
     return out.astype(np.int64)
 
 
+def _dealt(rows: DataFrame, blocks: int, most: int) -> DataFrame:
+    """``rows`` in their blocks, sorted by id and text; no block gets more than ``most`` copies of a row at a time."""
+    # Ids of more than ``most`` rows: ``most`` is a MOST_BLOCKS-th of all rows or more, so there are about MOST_BLOCKS of them at most.
+    often = [(r["doc_id"],) for r in rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()]
+    block = lambda *by: F.pmod(F.xxhash64(*by), F.lit(blocks)).cast("int")
+    if not often:
+        return rows.repartitionById(blocks, block("doc_id", "text")).sortWithinPartitions("doc_id", "text")
+    ids = F.broadcast(rows.sparkSession.createDataFrame(often, "doc_id long"))
+    # Copies are counted, before anything is shuffled, and the counts dealt out in lots.
+    lots = rows.join(ids, "doc_id").groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    lots = lots.select("doc_id", "text", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {most}"))).alias("lot"))
+    lots = lots.select("doc_id", "text", F.least(F.lit(most), F.col("n") - F.col("lot") * most).cast("int").alias("times"), block("doc_id", "text", "lot").alias("block"))
+    others = rows.join(ids, "doc_id", "left_anti").select("doc_id", "text", F.lit(1).alias("times"), block("doc_id", "text").alias("block"))
+    dealt = others.unionByName(lots).repartitionById(blocks, "block").sortWithinPartitions("doc_id", "text", "times")
+    return dealt.select("doc_id", "text", F.explode(F.sequence(F.lit(1), "times"))).select("doc_id", "text")
+
+
 def sequences(docs: DataFrame, tokenizer: str) -> DataFrame:
     """part (a block), n (place in it), n_tokens, ids_crc32, payload (compressed ids), pieces."""
     schema = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("n_tokens", pa.int32()), ("ids_crc32", pa.int64()), ("payload", pa.binary()), ("pieces", pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])))])
@@ -118,9 +136,10 @@ def sequences(docs: DataFrame, tokenizer: str) -> DataFrame:
             held = np.array(rest_pieces, np.int64).reshape(-1, 3)
             yield out(rest, held[:, 0], held[:, 1], held[:, 2], last=True)
 
-    blocks = max(1, min(docs.count() // BLOCK_ROWS, MOST_BLOCKS))
+    count = docs.count()
+    blocks = max(1, min(count // BLOCK_ROWS, MOST_BLOCKS))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionById(blocks, F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).sortWithinPartitions("doc_id", "text")
+    rows = _dealt(rows, blocks, max(BLOCK_ROWS, count // MOST_BLOCKS))
     return rows.mapInArrow(run, f"part int, n long, n_tokens int, ids_crc32 long, payload binary, pieces {PIECES}")
 
 

@@ -273,6 +273,23 @@ def test_op4_shards_do_not_depend_on_partitions(spark, edge, tmp_path, monkeypat
     assert {r["path"] for r in index.collect()} == {f"file://{tmp_path}/5/{name}" for name in made[0][1]}
 
 
+def test_op4_copies_of_a_row_are_dealt_out(spark, tmp_path, monkeypatch):
+    for name, value in (("SHARD", 8), ("BLOCK_ROWS", 10)):
+        monkeypatch.setattr(op4, name, value)
+    rows = [(7, "the same row")] * 200 + [(7, "another of this id"), (7, None)] + [(i, f"text {i}") for i in range(100, 200)] + [(None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = op4._dealt(docs.where("doc_id is not null"), 30, 10)
+    assert Counter(map(tuple, dealt.collect())) == Counter(r for r in rows if r[0] is not None)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 80  # 200 and more in one block otherwise
+    made = []
+    for n in (1, 6):
+        index = op4.materialise(docs.repartition(n), PATH, Scratch(spark, "t"), f"file://{tmp_path}/{n}")
+        made.append({p.name: p.read_bytes() for p in (tmp_path / str(n)).glob("*.bin")})
+    pieces = Counter(p["doc_id"] for r in index.collect() for p in r["pieces"] if p["start"] == 0)
+    assert made[0] == made[1] and pieces == Counter(r[0] for r in rows if r[0] is not None)
+
+
 def test_op4_empty_table(spark, empty, tmp_path):
     assert op4.materialise(empty, PATH, Scratch(spark, "t"), f"file://{tmp_path}/s").isEmpty()
 
