@@ -26,8 +26,9 @@ first own turn.
 
 Turns are ordered by turn (null first), then role and text. Null texts and
 roles are empty. Prefix sums go by blocks of turns and then over the blocks, so
-a conversation with a third of all rows is not one task's; only a digest of a
-whole conversation needs it in one row. Rows without a conv_id are left out;
+a conversation with a third of all rows is not one task's, unless its rows share
+one turn (or have none): rows of one turn stay in one block, which Spark sorts with
+spilling. A digest of a whole conversation needs it in one row. Rows without a conv_id are left out;
 repeated rows are turns of their own. Extra columns are ignored. An empty table
 gives no rows.
 """

@@ -133,7 +133,9 @@ def targets(sources: DataFrame, scratch: Scratch) -> DataFrame:
     weighted = scratch.save(ranged.join(F.broadcast(starts), "part").select("source", "source_size", weight.alias("weight"), (F.col("source_size") * MOST).alias("most")), "weighted")
     total = weighted.agg(F.sum("source_size").alias("t")).first()["t"] or 0
     share = 0.0
-    while True:  # each turn tops out at least one more source, or ends
+    # Each turn tops out at least one more source, or ends. It is a Newton step on a concave, piecewise linear function:
+    # words still to place times the open weight falls to a quarter a turn, so turns grow with the logarithm of the number of sources.
+    while True:
         full = (F.col("weight") * share >= F.col("most")) & F.lit(share > 0)
         left = weighted.agg(F.sum(F.when(full, F.col("most")).otherwise(0.0)).alias("fixed"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open")).first()
         after = (BUDGET * total - left["fixed"]) / left["open"] if left["open"] else share

@@ -1,5 +1,7 @@
 """Long texts and broken shards: what samples, slices, packing and readers do with them."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -10,7 +12,7 @@ from finlake.llm import op4_training_order as op4
 from finlake.llm import op6_quality as op6
 from finlake.llm import op7_language as op7
 from finlake.llm import op9_packing as op9
-from finlake.llm import sampling
+from finlake.llm import registry, sampling
 from finlake.llm.features import char_counts, code_points
 from finlake.llm.kernels import text_bytes
 from finlake.llm.scratch import Scratch
@@ -105,3 +107,24 @@ def test_shards_written_again_are_the_same(spark, edge, tmp_path, monkeypatch):
     (tmp_path / "shards" / "shard-00000000.bin.77").write_bytes(b"left behind")
     op4.materialise(edge, PATH, Scratch(spark, "t"), root).count()
     assert {p.name: p.read_bytes() for p in (tmp_path / "shards").iterdir() if not p.name.startswith(".")} == before
+
+
+def test_copies_of_a_very_long_text(spark, tmp_path):
+    """Whole queries on a text of 6 MB, its copy and a near copy with another end."""
+    vocabulary = np.array([f"w{i:x}" for i in range(50_000)])
+    long = " ".join(vocabulary[np.random.default_rng(1).integers(0, 50_000, 1_050_000)])
+    near, end = long[:-200], " changed end of it"
+    rows = [(1, long), (2, long), (3, near + end), (4, "a short text of some six words")]
+    assert long.isascii() and len(long) > 6_000_000
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {name: {r["doc_id"]: r for r in registry.QUERIES[name](spark, str(tmp_path)).collect()} for name in ("op2_suffix_dedup", "op5_minhash", "op10_exact_dedup")}
+    removed = {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in found["op2_suffix_dedup"].items()}
+    digest = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows}
+    assert removed == {
+        1: (len(long), 0, 0, digest[1]), 2: (len(long), len(long), 1, hashlib.sha256(b"").hexdigest()),
+        3: (len(near + end), len(near), 1, hashlib.sha256(end.encode()).hexdigest()), 4: (len(rows[3][1]), 0, 0, digest[4]),
+    }
+    words = {i: t.split() for i, t in rows}
+    assert {i: r["n_shingles"] for i, r in found["op5_minhash"].items()} == {i: len(set(zip(*(w[k:] for k in range(5))))) for i, w in words.items()}
+    assert {i: r["component_id"] for i, r in found["op5_minhash"].items()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert {i: (r["keep_id"], r["group_size"], r["text_sha256"]) for i, r in found["op10_exact_dedup"].items()} == {1: (2, 2, digest[1]), 2: (2, 2, digest[2]), 3: (3, 1, digest[3]), 4: (4, 1, digest[4])}
