@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from finlake.functions.columns import with_transaction_keys
+from finlake.operators import keyed
 from finlake.operators.keyed import KeyedTable
 from finlake.plans import runs
 from finlake.plans.lake import Lake
@@ -161,3 +162,30 @@ def test_ingest_reads_its_source_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(runs, "scan_days", seen)
     runs.ingest(lake, jsonl.sources(f"file://{tmp_path}/in")["transactions"], ["2024-01-01"], F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"), "t")
     assert [x.value for x in opened] == [1] and lake.read("bronze.transactions").count() == 2
+
+
+@pytest.mark.parametrize("more", [{}, {"buckets": 5}])
+def test_files_do_not_multiply_with_tasks(spark, tmp_path, more):
+    t = table(tmp_path, **more)
+    t.snapshot(spark.range(4000, numPartitions=8).selectExpr("concat('k', id) AS k", "id AS v", "'p' AS p" if more else "concat('p', id % 5) AS p", "cast(null AS decimal(10, 2)) AS price"))
+    assert t.read(spark).count() == 4000 and t.read(spark).select(F.input_file_name()).distinct().count() == 5
+
+
+def test_a_task_sorts_a_bounded_range(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        assert table(tmp_path)._files(spark.range(16 << 20)) == 8  # 128 MB
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_first_fill_merges_with_nothing(spark, tmp_path, monkeypatch):
+    calls, t = [], table(tmp_path, global_key=False)
+    whole = keyed.merged
+    monkeypatch.setattr(keyed, "merged", lambda *args: calls.append(1) or whole(*args))
+    t.upsert(batch(spark, ("a", 1, "p1"), ("a", 2, "p1"), ("b", 1, "p2")))
+    t.upsert(batch(spark, ("c", 1, "p3")))
+    assert not calls
+    t.upsert(batch(spark, ("a", 3, "p1")))
+    assert calls == [1] and rows(t.read(spark).select("k", "v")) == [("a", 3), ("b", 1), ("c", 1)]
