@@ -92,7 +92,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, folders: Folders, closed: Call
         for kind in schemas.KINDS:
             rows, table, key, day = _prepared(of_kind(batch, kind), kind, now)
             on_time, late = route(rows, day, closed(table)) if day else (rows, None)  # rates are idempotent by key and exempt
-            on_time.withColumn("log_day", F.expr(LOG_DAYS[table])).write.mode("overwrite").partitionBy("log_day").parquet(f"{folders.bronze(table)}/batch={batch_id}")
+            # The rows of a day are brought together: files follow from their size, not from days times tasks.
+            on_time.withColumn("log_day", F.expr(LOG_DAYS[table])).hint("rebalance", F.col("log_day")).write.mode("overwrite").partitionBy("log_day").parquet(f"{folders.bronze(table)}/batch={batch_id}")
             if late is not None:
                 dead_letters(late, table, key, day).write.mode("overwrite").parquet(f"{folders.dead}/batch={batch_id}/table={table}")
         last = batch.agg(F.max("source_offset").alias("offset"), F.count("*").alias("rows"))
