@@ -67,3 +67,12 @@ def test_a_stream_may_start_after_a_batch(spark, tmp_path):
     assert not live.wait_for_any(spark, idle, timeout=1) and all(q.isActive for q in idle)
     idle[0].stop()
     assert live.wait_for_any(spark, idle) and not any(q.isActive for q in idle)
+
+
+def test_a_batch_of_the_log_has_a_file_for_each_day(spark, tmp_path):
+    folders, now = live.Folders(f"file://{tmp_path}/lake"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    value = F.to_json(F.struct(F.lit("transaction").alias("_source"), F.col("id").alias("transaction_id"), (1704067200 + F.col("id") % 3 * 86400).alias("created_at")))
+    batch = spark.range(600, numPartitions=6).select(value.alias("value"), F.lit(None).cast("timestamp_ntz").alias("source_ts"), F.col("id").alias("source_offset"))
+    live.ingest_batch(live.parsed(batch), 0, folders, lambda _: None, now)
+    found = live.log(spark, folders, "transactions")
+    assert found.count() == 600 and found.select(F.input_file_name()).distinct().count() == 3
