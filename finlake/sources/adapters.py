@@ -1,4 +1,4 @@
-"""The driver's tables as source-shaped frames."""
+"""The driver's tables as source-shaped frames, with ``loaded_at`` and POSITION, the order of delivery."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finlake.functions.columns import CANCELLED_AT, with_cancellation_keys, with_rate_keys, with_transaction_keys
+from finlake.operators.dedup import POSITION
 
 EPOCH = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 
@@ -18,13 +19,18 @@ def _id() -> Column:
     return F.col("event_id")
 
 
+def _position() -> Column:
+    """The table's ids rise with its rows."""
+    return _id().alias(POSITION)
+
+
 def _loaded(days: int):
     """Midnight, ``days`` after the event's day."""
     return F.date_add(F.to_date("ts"), days).cast("timestamp_ntz")
 
 
 def transactions(events: DataFrame) -> DataFrame:
-    """Source columns and ``loaded_at``; some ids repeat, users are missing or unknown, amounts invalid."""
+    """Some ids repeat, users are missing or unknown, amounts invalid."""
     user = F.when(_id() % 37 == 0, F.lit(None).cast("long")).when(_id() % 41 == 0, -F.col("user_id") - 1).otherwise(F.col("user_id"))
     amount = F.when(_id() % 53 == 0, F.lit(None).cast("double")).when(_id() % 59 == 0, -F.col("value")).otherwise(F.col("value"))
     kind = F.when(F.col("event_type") == "signup", "transfer").when(F.col("event_type") == "error", "refund").otherwise("purchase")
@@ -33,7 +39,7 @@ def transactions(events: DataFrame) -> DataFrame:
         F.when(_id() % 20 == 1, _id() - 1).otherwise(_id()).alias("transaction_id"), user.alias("user_id"), F.concat(F.lit("u-"), F.col("user_id").cast("string")).alias("user_uuid"),
         amount.alias("amount"), F.element_at(F.array(*map(F.lit, ("TGRK", "PUNK", "XXX", "RUB", "RUB"))), (_id() % 5 + 1).cast("int")).alias("currency"),
         kind.alias("transaction_type"), F.when(_id() % 4 == 0, F.expr("(event_id div 4) % 250")).alias("promo_code_id"), status.alias("status"),
-        F.expr(EPOCH).alias("created_at"), _loaded(1).alias("loaded_at"),
+        F.expr(EPOCH).alias("created_at"), _loaded(1).alias("loaded_at"), _position(),
     )
 
 
@@ -70,7 +76,7 @@ def exchange_rates(events: DataFrame) -> DataFrame:
     quoted = events.where((_id() % 331 == 150) & (F.dayofmonth("ts") >= 4) & (F.dayofmonth("ts") % 3 != 0))
     return quoted.select(
         _id().alias("update_id"), F.expr(EPOCH).alias("timestamp"), (1 + F.col("value") / 100).alias("rate_tgrk_punk"),
-        F.when(_id() % 3 == 0, F.lit(0.0)).otherwise(50 + F.col("value")).alias("rate_tgrk_rub"), _loaded(1).alias("loaded_at"),
+        F.when(_id() % 3 == 0, F.lit(0.0)).otherwise(50 + F.col("value")).alias("rate_tgrk_rub"), _loaded(1).alias("loaded_at"), _position(),
     )
 
 
@@ -81,7 +87,7 @@ def cancellations(events: DataFrame) -> DataFrame:
     refund = F.when(_id() % 60 == 9, F.lit(None).cast("double")).when(_id() % 60 == 39, -F.col("value")).otherwise(F.col("value"))
     return events.where(_id() % 10 == 9).select(
         (_id() % 50).alias("cancellation_id"), original.alias("original_transaction_id"), F.when(_id() % 40 != 19, F.col("event_type")).alias("reason"),
-        at.alias("cancelled_at"), refund.alias("refund_amount"), F.when(_id() % 30 == 9, _loaded(2)).otherwise(_loaded(1)).alias("loaded_at"),
+        at.alias("cancelled_at"), refund.alias("refund_amount"), F.when(_id() % 30 == 9, _loaded(2)).otherwise(_loaded(1)).alias("loaded_at"), _position(),
     )
 
 
