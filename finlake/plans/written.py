@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finlake.functions.columns import time_of_micros, with_transaction_keys
-from finlake.operators.dedup import aligned
+from finlake.operators.dedup import POSITION, aligned
 from finlake.operators.keyed import KeyedTable, put_text
 from finlake.plans import catalogue, checks, gold, runs
 from finlake.plans.catalogue import BRONZE_TX, RUN_DATE, SETTLED_UNTIL, Warehouse, shown
@@ -62,7 +62,7 @@ def day_files(spark: SparkSession, sf_dir: str) -> dict[str, Source]:
     made = {"transactions": adapters.settled(adapters.transactions(events)), "cancellations": adapters.cancellations(events), "exchange_rates": adapters.exchange_rates(events)}
     found = {}
     for name, df in made.items():
-        df.withColumn("day", F.date_format(day, "yyyy-MM-dd")).drop("loaded_at").repartition("day").write.partitionBy("day").json(f"{root}/{name}")
+        df.withColumn("day", F.date_format(day, "yyyy-MM-dd")).drop("loaded_at", POSITION).repartition("day").write.partitionBy("day").json(f"{root}/{name}")
         schema = {"transactions": runs.schemas.TRANSACTIONS, "cancellations": runs.schemas.CANCELLATIONS, "exchange_rates": runs.schemas.RATES}[name]
         found[name] = Source(name, schema, f"{root}/{name}/day={{day}}", "*.json")
     return found
@@ -129,9 +129,9 @@ def one_day(spark: SparkSession, sf_dir: str) -> Lake:
 def streamed(spark: SparkSession, sf_dir: str) -> tuple[Lake, live.Folders]:
     """All messages through the stream, in several batches, and a restart that finds nothing new."""
     b, root = adapters.Bronze(spark, sf_dir), new_folder(spark, "stream")
-    frames = {"transaction": adapters.transactions(b.events).unionByName(adapters.redelivered(b.events)), "cancellation": adapters.cancellations(b.events), "exchange_rate": adapters.exchange_rates(b.events)}
-    messages = reduce(DataFrame.union, [df.select(F.to_json(F.struct(F.lit(kind).alias("_source"), *[c for c in df.columns if c != "loaded_at"])).alias("value"), F.col("loaded_at").alias("timestamp")) for kind, df in frames.items()])
-    numbered = messages.repartition(6).withColumn("offset", F.monotonically_increasing_id())
+    frames = [("transaction", adapters.transactions(b.events)), ("transaction", adapters.redelivered(b.events)), ("cancellation", adapters.cancellations(b.events)), ("exchange_rate", adapters.exchange_rates(b.events))]
+    messages = reduce(DataFrame.union, [df.select(F.to_json(F.struct(F.lit(kind).alias("_source"), *[c for c in df.columns if c not in ("loaded_at", POSITION)])).alias("value"), F.col("loaded_at").alias("timestamp"), (F.col(POSITION) * len(frames) + n).alias("offset")) for n, (kind, df) in enumerate(frames)])
+    numbered = messages.repartition(6)
     numbered.union(spark.createDataFrame([("not json", None, -1)], numbered.schema)).write.json(f"{root}/topic")
     lake, folders = Lake(spark, f"{root}/lake"), live.Folders(f"{root}/stream")
     watched = progress.Progress(spark, f"{root}/progress")
@@ -223,7 +223,7 @@ def _bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days whose files have broken lines between their records: all are in the dead letters."""
     root, events = new_folder(spark, "broken"), adapters.table(spark, sf_dir, "events")
     tx = adapters.settled(adapters.transactions(events))
-    good = tx.select(F.to_json(F.struct(*[c for c in tx.columns if c != "loaded_at"])).alias("value"), F.to_date(F.col("loaded_at") - F.expr("INTERVAL 1 DAY")).alias("day"))
+    good = tx.select(F.to_json(F.struct(*[c for c in tx.columns if c not in ("loaded_at", POSITION)])).alias("value"), F.to_date(F.col("loaded_at") - F.expr("INTERVAL 1 DAY")).alias("day"))
     bad = events.where("event_id % 97 = 5").select(F.concat(F.lit('{"transaction_id": '), F.expr("event_id div 970"), F.lit(', "sta')).alias("value"), F.to_date("ts").alias("day"))
     good.unionByName(bad).repartition("day").write.partitionBy("day").text(root + "/tx")
     lake = Lake(spark, f"{root}/lake")

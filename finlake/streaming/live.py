@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from finlake import schemas
 from finlake.functions.columns import with_cancellation_keys, with_rate_keys, with_transaction_keys
-from finlake.operators.dedup import latest
+from finlake.operators.dedup import POSITION, latest
 from finlake.operators.keyed import exists
 from finlake.operators.routing import dead_letters, route
 from finlake.plans import gold
@@ -53,7 +53,7 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def of_kind(events: DataFrame, kind: str) -> DataFrame:
-    return events.where(F.col("_source") == kind).select(*schemas.columns(schemas.KINDS[kind]), "source_ts")
+    return events.where(F.col("_source") == kind).select(*schemas.columns(schemas.KINDS[kind]), "source_ts", POSITION)
 
 
 @dataclass(frozen=True)
@@ -116,7 +116,7 @@ _LOGS = {
     "cancellations": f"{schemas.CANCELLATIONS}, cancelled_ts timestamp_ntz, ingestion_day date, event_day string, ingested_at timestamp_ntz, cancellation_pk string",
     "exchange_rates": f"{schemas.RATES}, rate_pk string, ingested_at timestamp_ntz",
 }
-LOG_SCHEMAS = {table: f"{schema}, batch long, log_day string" for table, schema in _LOGS.items()}
+LOG_SCHEMAS = {table: f"{schema}, {POSITION} long, batch long, log_day string" for table, schema in _LOGS.items()}
 
 
 def log(spark: SparkSession, folders: Folders, table: str, days: Iterable[str | None] | None = None) -> DataFrame:

@@ -36,6 +36,7 @@ def tied(tmp_path_factory):
 
 @pytest.mark.parametrize("name", [
     "silver_transactions_clean", "silver_cancellations_clean", "gold_refunds_daily", "gold_cancellations_live", "gold_cancellations_summary",
+    "written_silver_transactions_clean", "written_silver_cancellations_clean", "written_gold_refunds_daily", "written_gold_cancellations_summary", "stream_cancellations_summary",
 ])
 def test_ties_go_as_in_sql(name, spark, tied):
     at, con = tied
