@@ -1,8 +1,8 @@
 """Live aggregates from signed deltas: what a new version of a key adds, less what its former version had added.
 
-The state store holds, for each key, what its newest version counts for. A trigger
-reads its new rows, the state of their keys and the few rows of the aggregate they
-belong to; it does not read the day again, however much there is of it. Sums and
+The state store holds, for each key, what its newest version counts for; keys lie in
+slots by their hash. A trigger reads its new rows, the state of their slots and the few
+rows of the aggregate they belong to; it does not read the day again, however much there is of it. Sums and
 counts follow from deltas. The newest load time of a group can fall when its newest
 row leaves it; only then is the group counted anew from the log's days.
 
@@ -25,6 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from finlake.functions.columns import hour_of
+from finlake.operators.dedup import POSITION
 from finlake.operators.keyed import KeyedTable
 from finlake.plans.gold import key
 from finlake.plans.silver import enriched
@@ -33,29 +34,45 @@ from finlake.streaming import live
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
-def _step(_: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The rows to take off and to add for one key; the newest version wins, equal ones by their hash."""
-    former = best = state.get if state.exists else None
-    for batch in batches:
-        for row in zip(batch["at"].tolist(), (-batch["tie"]).tolist(), batch["value"].tolist()):
-            if best is None or row[:2] > tuple(best[:2]):
-                best = row
-    if best is not former:
-        state.update(best)
-        pair = [(-1, former[2], former[0]), (1, best[2], best[0])] if former is not None else [(1, best[2], best[0])]
-        yield pd.DataFrame(pair, columns=["sign", "value", "at"])
-
+#: Parts that the keys are dealt into by their hash; a checkpoint holds for one number only.
+SLOTS = 1 << 14
+#: Place of a version without a position: behind all others.
+_LAST = (1 << 63) - 1
+#: A version: its load time, its place in the order of delivery, a hash for what is still equal, and what it counts for.
+_VERSION = {"at": "long", "place": "long", "tie": "long", "value": "string"}
 
-def signed(rows: DataFrame, key: str, by: Column) -> DataFrame:
-    """A stream of (sign, value, at) from a stream of versions: ``key``, ``ingested_at``, and ``by``, a struct of what a version counts for.
 
-    A tie of load times goes as in ``latest``: to the smaller hash, the column
-    ``tie``.
+def _step(_: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The rows to take off and to add for the keys of one slot; a key's newest version wins, of equal ones the first delivered."""
+    former = {k: version for k, *version in zip(*state.get)} if state.exists else {}
+    newest: dict[str, list] = {}
+    for batch in batches:
+        for k, *version in zip(*(batch[c].tolist() for c in ("key", *_VERSION))):
+            best = newest.get(k) or former.get(k)
+            if best is None or (version[0], -version[1], -version[2]) > (best[0], -best[1], -best[2]):
+                newest[k] = version
+    if newest:
+        pairs = [(-1, former[k]) for k in newest if k in former] + [(1, version) for version in newest.values()]
+        kept = former | newest
+        state.update((list(kept), *map(list, zip(*kept.values()))))
+        yield pd.DataFrame([(sign, version[3], version[0]) for sign, version in pairs], columns=["sign", "value", "at"])
+
+
+def signed(rows: DataFrame, key: str, by: Column, slots: int = SLOTS) -> DataFrame:
+    """A stream of (sign, value, at) from a stream of versions: ``key``, ``ingested_at``, POSITION, and ``by``, a struct of what a version counts for.
+
+    A tie of load times goes as in ``latest``: to the first delivered, then to the
+    smaller hash, the column ``tie``. A call of the step and a value of the state hold
+    the keys of one slot, so a first fill of many keys costs a call for each slot and
+    not for each key, and a trigger reads the slots of its keys.
     """
     at = F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, ingested_at)")
+    place = F.coalesce(POSITION, F.lit(_LAST))
+    slot = F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
     # JSON keeps nulls and whole numbers as they are on their way through pandas.
-    packed = rows.select(key, at.alias("at"), F.shiftright("tie", 1).alias("tie"), F.to_json(by).alias("value"))
-    return packed.groupBy(key).applyInPandasWithState(_step, "sign int, value string, at long", "at long, tie long, value string", "update", GroupStateTimeout.NoTimeout)
+    packed = rows.select(slot.alias("slot"), F.col(key).alias("key"), at.alias("at"), place.alias("place"), "tie", F.to_json(by).alias("value"))
+    kept = ", ".join(f"{c} array<{kind}>" for c, kind in {"key": "string", **_VERSION}.items())
+    return packed.groupBy("slot").applyInPandasWithState(_step, "sign int, value string, at long", kept, "update", GroupStateTimeout.NoTimeout)
 
 
 @dataclass(frozen=True)

@@ -3,12 +3,14 @@
 import shutil
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from support import SF, same_rows
 
 from finlake.operators.dedup import latest
 from finlake.plans import catalogue, written
+from finlake.streaming import deltas
 
 QUERIES, ORACLE = catalogue.QUERIES | written.QUERIES, catalogue.ORACLE | written.ORACLE
 
@@ -37,6 +39,7 @@ def tied(tmp_path_factory):
 @pytest.mark.parametrize("name", [
     "silver_transactions_clean", "silver_cancellations_clean", "gold_refunds_daily", "gold_cancellations_live", "gold_cancellations_summary",
     "written_silver_transactions_clean", "written_silver_cancellations_clean", "written_gold_refunds_daily", "written_gold_cancellations_summary", "stream_cancellations_summary",
+    "signed_cancellations_summary",
 ])
 def test_ties_go_as_in_sql(name, spark, tied):
     at, con = tied
@@ -48,3 +51,33 @@ def test_a_cutover_keeps_the_first_delivered_too(spark, tied):
     found = {int(k.split("|")[0]): code for k, code in QUERIES["cutover_merge_all"](spark, tied[0]).select("composite_pk", "promo_code_id").collect()}
     both = [i for i in range(0, 10000, 20) if all((i + n) % 37 and (i + n) % 41 for n in (0, 1))]
     assert [found[i] for i in both] == [i // 4 % 250 for i in both]
+
+
+def test_one_call_takes_all_keys_of_a_slot():
+    """The signed step: the first of equal versions and the newest of others, over two triggers; the state has one version per key."""
+
+    class State:
+        get, exists = None, False
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+    state = State()
+    frame = lambda *rows: pd.DataFrame(rows, columns=["key", "at", "place", "tie", "value"])
+    run = lambda *frames: sorted(tuple(r) for df in deltas._step((0,), iter(frames), state) for r in df[["sign", "value", "at"]].itertuples(index=False))
+    assert run(frame(("a", 1, 5, 0, "a5"), ("b", 1, 1, 3, "b3"), ("a", 1, 2, 9, "a2")), frame(("b", 1, 1, 2, "b2"), ("a", 0, 1, 0, "old"))) == [(1, "a2", 1), (1, "b2", 1)]
+    assert run(frame(("a", 1, 3, 0, "later place"), ("c", 0, 0, 0, "c"))) == [(1, "c", 0)]
+    assert run(frame(("a", 2, 9, 0, "a9"), ("b", 0, 0, 0, "old"))) == [(-1, "a2", 1), (1, "a9", 2)]
+    assert run(frame(("b", 1, 4, 0, "late"))) == [] and sorted(state.get[0]) == ["a", "b", "c"]
+
+
+def test_the_state_has_a_value_for_each_slot(spark, tmp_path):
+    """200 keys in 4 slots: 4 values of state, and one row for each key."""
+    at = str(tmp_path)
+    spark.range(200).selectExpr("cast(id as string) k", "timestamp_ntz'2024-01-25 00:00:00' ingested_at", "id source_offset", "id tie", "id v").write.parquet(f"{at}/in")
+    rows = spark.readStream.schema("k string, ingested_at timestamp_ntz, source_offset long, tie long, v long").parquet(f"{at}/in")
+    seen = []
+    query = deltas.signed(rows, "k", F.struct("v"), slots=4).writeStream.outputMode("update").foreachBatch(lambda df, n: seen.extend(df.collect())).option("checkpointLocation", f"file://{at}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert states[-1] == 4 and sorted(r["value"] for r in seen) == sorted(f'{{"v":{n}}}' for n in range(200)) and {r["sign"] for r in seen} == {1}
