@@ -20,9 +20,11 @@ reaches the next:
    of each. Windows, and runs, of one hash are compared byte by byte.
 
 Hashes of doubled length come from pairs of hashes at an offset (1, 2, 4, ...,
-32). Documents are handled in blocks of about BLOCK_BYTES of text; within a block a
-rank, or a run, is sent once however many documents have it, so a passage in a
-third of all documents makes one entry per block. No pair of documents is made.
+32). Documents are handled in blocks of about BLOCK_BYTES of text, dealt to tasks in
+turn; within a block a rank, or a run, is sent once however many documents have it, so
+a passage in a third of all documents makes one entry per block. No pair of documents is
+made. In the end the runs of a block are joined as intervals and the bytes between them
+hashed where they lie.
 CROWDED and PACKED choose the length of a rank and change no result.
 
 A null text counts as empty. Of rows that repeat a doc_id only the one with the
@@ -39,7 +41,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from finlake.llm.kernels import BYTE_CODE, U64, _lanes, mix, same_spans, span_hashes, text_bytes
@@ -173,6 +175,36 @@ def _numbered(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.unique(windows.view(f"V{THRESHOLD}").ravel(), return_inverse=True)[1].astype(U64)
 
 
+def removed(left: pa.Table, right: pa.Table, texts: bool) -> pa.Table:
+    """The result rows of a block from its documents and its runs of repeated windows. Runs are joined as intervals, so no array has an entry for each byte."""
+    ids, data, bounds = _texts(left)
+    doc, at, windows = (_joined(right, n, np.int64)[0] for n in ("docs", "starts", "windows"))
+    row = np.searchsorted(ids, doc)
+    order = np.lexsort((at, row))
+    row = row[order]
+    begin = bounds[row] + at[order]
+    end = np.maximum.accumulate(begin + windows[order] + THRESHOLD - 1)
+    new = np.flatnonzero(np.concatenate(([True], (begin[1:] > end[:-1]) | (row[1:] != row[:-1])))[: len(row)])
+    row, begin, end = row[new], begin[new], end[np.append(new[1:], len(end))[: len(new)] - 1]
+    spans = np.bincount(row, minlength=len(ids))
+    gone = np.concatenate(([0], np.cumsum(end - begin)))
+    last = np.cumsum(spans)
+    kept, digest = [], []
+    for s, e, i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), (last - spans).tolist(), last.tolist()):
+        edges = zip([s, *end[i:j].tolist()], [*begin[i:j].tolist(), e])
+        rest = [data[a:b] for a, b in edges if a < b]
+        h = hashlib.sha256()
+        for r in rest:
+            h.update(r)
+        digest.append(h.hexdigest())
+        if texts:
+            kept.append(b"".join(rest))
+    return pa.table({
+        "doc_id": pa.array(ids), "n_bytes": pa.array(np.diff(bounds)), "n_removed": pa.array(gone[last] - gone[last - spans]), "n_spans": pa.array(spans),
+        "kept_sha256": pa.array(digest, pa.string()), **({"kept": pa.array(kept, pa.binary())} if texts else {}),
+    })
+
+
 def _one_text_per_id(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """The smallest text of each doc_id. Tasks reduce what they read before the shuffle; where no id repeats, nothing is moved but counts of ids."""
     if rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
@@ -186,7 +218,12 @@ def repeated(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame
     rows = _one_text_per_id(rows, scratch)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, size // BLOCK_BYTES)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    tasks = min(blocks, max(LEAST_BLOCKS, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+    def dealt(frame: DataFrame, by: str) -> GroupedData:
+        """Blocks, or buckets, go to tasks in turn: by a hash some tasks would get, sort and hold several times as many as others."""
+        return frame.repartitionById(tasks, by).groupBy(by)
 
     def first_ranks(key, table):
         ids, data, bounds = _texts(table)
@@ -201,8 +238,8 @@ def repeated(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame
         rank = rank[begin]
         cells = _cells(_bucket(rank, blocks), blocks)
         return pa.table({
-            "bucket": pa.array([b for b, _, _ in cells], pa.int64()),
-            "block": pa.array([key[0].as_py()] * len(cells), pa.int64()),
+            "bucket": pa.array([b for b, _, _ in cells], pa.int32()),
+            "block": pa.array([key[0].as_py()] * len(cells), pa.int32()),
             "ranks": pa.array([rank[s:e].tobytes() for _, s, e in cells], pa.binary()),
             "several": pa.array([several[s:e].tobytes() for _, s, e in cells], pa.binary()),
         })
@@ -220,7 +257,7 @@ def repeated(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame
         ends = np.cumsum(sizes)
         cells = [(b, slice(e - n, e)) for b, n, e in zip(table.column("block").to_pylist(), sizes.tolist(), ends.tolist()) if keep[e - n : e].any()]
         return pa.table({
-            "block": pa.array([b for b, _ in cells], pa.int64()),
+            "block": pa.array([b for b, _ in cells], pa.int32()),
             "ranks": pa.array([rank[s][keep[s]].tobytes() for _, s in cells], pa.binary()),
             "crowded": pa.array([crowded[s][keep[s]].tobytes() for _, s in cells], pa.binary()),
         })
@@ -263,7 +300,7 @@ def repeated(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame
             body = x[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
             parts.append((rank, span_hashes(x, start, stop), ids[row], at, windows, size, body))
         names = ["bucket", "block", "ranks", "docs", "starts", "windows", "bodies"]
-        kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 5
+        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
         if not parts:
             return pa.table({n: pa.array([], k) for n, k in zip(names, kinds)})
         rank, whole, doc, at, windows, size = (np.concatenate([p[k] for p in parts]) for k in range(6))
@@ -331,44 +368,28 @@ def repeated(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame
                 length = np.bincount((np.cumsum(head) - 1)[gone], minlength=len(starts))
                 found.append((block[own][owner[starts]], doc[own][owner[starts]], at[own][owner[starts]] + step[starts], length))
         if not found:
-            return pa.table({n: pa.array([], pa.int64() if n == "block" else pa.binary()) for n in names})
+            return pa.table({n: pa.array([], pa.int32() if n == "block" else pa.binary()) for n in names})
         b, d, a, w = (np.concatenate(c) for c in zip(*found))
         order = np.argsort(b, kind="stable")
         b, d, a, w = b[order], d[order], a[order], w[order]
         cells = _cells(b, 0)
         return pa.table({
-            "block": pa.array([c for c, _, _ in cells], pa.int64()),
+            "block": pa.array([c for c, _, _ in cells], pa.int32()),
             **{n: pa.array([v[s:e].astype(np.int64).tobytes() for _, s, e in cells], pa.binary()) for n, v in (("docs", d), ("starts", a), ("windows", w))},
         })
 
     def cut(key, left, right):
-        ids, data, bounds = _texts(left)
-        doc, at, windows = (_joined(right, n, np.int64)[0] for n in ("docs", "starts", "windows"))
-        row = np.searchsorted(ids, doc)
-        change = np.zeros(len(data) + 1, np.int32)
-        np.add.at(change, bounds[row] + at, 1)
-        np.add.at(change, bounds[row] + at + windows + THRESHOLD - 1, -1)
-        gone = np.cumsum(change[:-1]) > 0
-        first = gone.copy()
-        first[1:] &= ~gone[:-1]
-        starts = bounds[:-1][bounds[:-1] < len(data)]
-        first[starts] = gone[starts]
-        total = lambda v: np.diff(np.concatenate(([0], np.cumsum(v, dtype=np.int64)))[bounds])
-        kept = [data[s:e][~gone[s:e]].tobytes() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        return pa.table({
-            "doc_id": pa.array(ids), "n_bytes": pa.array(np.diff(bounds)), "n_removed": pa.array(total(gone)), "n_spans": pa.array(total(first)),
-            "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), **({"kept": pa.array(kept, pa.binary())} if texts else {}),
-        })
+        return removed(left, right, texts)
 
-    sent = rows.groupBy("block").applyInArrow(first_ranks, "bucket long, block long, ranks binary, several binary")
-    shared = scratch.save(sent.groupBy("bucket").applyInArrow(not_unique, "block long, ranks binary, crowded binary"), "shared")
-    found = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(shared_runs, "bucket long, block long, ranks binary, docs binary, starts binary, windows binary, bodies binary")
+    sent = dealt(rows, "block").applyInArrow(first_ranks, "bucket int, block int, ranks binary, several binary")
+    shared = scratch.save(dealt(sent, "bucket").applyInArrow(not_unique, "block int, ranks binary, crowded binary"), "shared")
+    found = dealt(rows, "block").cogroup(dealt(shared, "block")).applyInArrow(shared_runs, "bucket int, block int, ranks binary, docs binary, starts binary, windows binary, bodies binary")
     found = scratch.save(found, "runs")
     scratch.drop("shared")
-    gone = found.where("bucket >= 0").groupBy("bucket").applyInArrow(same_windows, "block long, docs binary, starts binary, windows binary")
+    gone = dealt(found.where("bucket >= 0"), "bucket").applyInArrow(same_windows, "block int, docs binary, starts binary, windows binary")
     gone = scratch.save(gone.union(found.where("bucket < 0").select("block", "docs", "starts", "windows")), "gone")
     scratch.drop("runs")
-    return rows.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    return dealt(rows, "block").cogroup(dealt(gone, "block")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

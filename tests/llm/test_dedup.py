@@ -4,8 +4,10 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from plain_doubling import bytes_removed
 from pyspark.sql import functions as F
@@ -112,6 +114,45 @@ def test_op2_repeated_ids_are_reduced_first(spark):
     assert op2._one_text_per_id(plain, Scratch(spark, "t")) is plain
 
 
+def test_op2_last_step_needs_no_array_of_bytes():
+    """A block's result from its runs, also where they touch, overlap or end with a text, in little more memory than its texts."""
+    rng = np.random.default_rng(5)
+    sizes = [0, 49, 50, 51, *rng.integers(100, 40_000, 250).tolist(), 0]
+    docs = {i * 3: "".join(map(chr, rng.integers(97, 123, n))) for i, n in enumerate(sizes)}
+    found = [(2 * 3, 0, 1), (3 * 3, 0, 1), (3 * 3, 1, 1), (4 * 3, 0, 1), (4 * 3, 50, 1)]  # whole texts; two runs that touch
+    for i, text in docs.items():
+        for at in rng.integers(0, max(len(text) - 49, 1), 4 * (len(text) > 99)).tolist():
+            found.append((i, at, int(rng.integers(1, min(256, len(text) - 49 - at) + 1))))
+    rng.shuffle(found)
+    left = pa.table({"doc_id": pa.array(list(docs)), "text": pa.array(list(docs.values()))})
+    cells = [{n: np.array([r[k] for r in part], np.int64).tobytes() for k, n in enumerate(("docs", "starts", "windows"))} for part in (found[:300], found[300:])]
+    tracemalloc.start()
+    out = op2.removed(left, pa.Table.from_pylist(cells), texts=False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * sum(sizes)
+    kept = op2.removed(left, pa.Table.from_pylist(cells), texts=True).column("kept").to_pylist()
+    for row, own in zip(out.to_pylist(), kept):
+        gone = np.zeros(row["n_bytes"], bool)
+        for _, at, n in [f for f in found if f[0] == row["doc_id"]]:
+            gone[at : at + n + 49] = True
+        rest = bytes(np.frombuffer(docs[row["doc_id"]].encode(), np.uint8)[~gone])
+        spans = int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if len(gone) else 0
+        assert (row["n_removed"], row["n_spans"], row["kept_sha256"], own) == (gone.sum(), spans, hashlib.sha256(rest).hexdigest(), rest)
+    assert op2.removed(left.slice(0, 2), pa.Table.from_pylist([], pa.schema([(n, pa.binary()) for n in ("docs", "starts", "windows")])), True).column("n_spans").to_pylist() == [0, 0]
+
+
+def test_op2_blocks_are_dealt_evenly(spark, monkeypatch):
+    """Each task of the result has one block; where tasks are fewer, at most one more than another."""
+    df = spark.range(4800).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    for blocks, limit in ((48, 48), (48, 5)):
+        monkeypatch.setattr(op2, "LEAST_BLOCKS", limit)
+        monkeypatch.setattr(op2, "BLOCK_BYTES", df.selectExpr("sum(length(text))").first()[0] // blocks)
+        rows = op2.repeated(df, Scratch(spark, "t")).select(F.spark_partition_id().alias("task"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
+        dealt = [r["n"] for r in rows.groupBy("task").agg(F.countDistinct("block").alias("n")).collect()]
+        assert len(dealt) == limit and sum(dealt) == 48 and max(dealt) - min(dealt) <= 1
+
+
 def test_op2_ranks_compose():
     data = np.frombuffer(b"the same twenty bytes or more, the same twenty bytes or more", np.uint8)
     r = op2.ranks(data, (20, 40, 50))
