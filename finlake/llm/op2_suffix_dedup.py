@@ -48,7 +48,7 @@ from finlake.llm.kernels import BYTE_CODE, U64, _lanes, mix, same_spans, span_ha
 from finlake.llm.scratch import Scratch, documents
 
 THRESHOLD, FIRST, SECOND = 50, 20, 40
-BLOCK_BYTES, LEAST_BLOCKS, PIECE_BYTES, CROWDED, PACKED = 8 << 20, 48, 1 << 18, 2000, 1 << 18
+BLOCK_BYTES, LEAST_BLOCKS, PIECE_BYTES, BATCH_BYTES, CROWDED, PACKED = 8 << 20, 48, 1 << 18, 2 << 20, 2000, 1 << 18
 
 #: Set in a 16-bit count of runs of one block: all are of one document.
 ONE_DOCUMENT = 1 << 15
@@ -322,13 +322,18 @@ def repeated(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame
             n = size_[s:e]
             return body[np.repeat(base_[s:e] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
 
-        out = {n: [] for n in names}
+        def batch(lot: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*lot), kinds)], names)
+
+        # In small batches, as each is held whole by the JVM and by Python.
+        lot, held, batches = [(-1, key[0].as_py(), b"", doc[later].tobytes(), at[later].tobytes(), windows[later].tobytes(), b"")], 0, []
         for b, s, e in cells:
-            for n, v in zip(names, (b, key[0].as_py(), rank[s:e].tobytes(), doc_[s:e].tobytes(), at_[s:e].tobytes(), win_[s:e].tobytes(), sent(s, e))):
-                out[n].append(v)
-        for n, v in zip(names, (-1, key[0].as_py(), b"", doc[later].tobytes(), at[later].tobytes(), windows[later].tobytes(), b"")):
-            out[n].append(v)
-        return pa.table({n: pa.array(out[n], k) for n, k in zip(names, kinds)})
+            lot.append((b, key[0].as_py(), rank[s:e].tobytes(), doc_[s:e].tobytes(), at_[s:e].tobytes(), win_[s:e].tobytes(), sent(s, e)))
+            held += int(size_[s:e].sum())
+            if held >= BATCH_BYTES:
+                batches.append(batch(lot))
+                lot, held = [], 0
+        return pa.Table.from_batches([*batches, batch(lot)] if lot else batches)
 
     def same_windows(table):
         rank, sizes = _joined(table, "ranks", U64)

@@ -142,6 +142,13 @@ def test_op2_last_step_needs_no_array_of_bytes():
     assert op2.removed(left.slice(0, 2), pa.Table.from_pylist([], pa.schema([(n, pa.binary()) for n in ("docs", "starts", "windows")])), True).column("n_spans").to_pylist() == [0, 0]
 
 
+def test_op2_runs_are_sent_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(op2, "BATCH_BYTES", 1)  # a batch for each bucket
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    expected = removed(texts(docs))
+    assert op2_rows(docs, spark) == expected and any(n for _, n, _, _ in expected.values())
+
+
 def test_op2_blocks_are_dealt_evenly(spark, monkeypatch):
     """Each task of the result has one block; where tasks are fewer, at most one more than another."""
     df = spark.range(4800).selectExpr("id AS doc_id", "concat('text ', id) AS text")
