@@ -194,7 +194,7 @@ WAREHOUSE_QUERIES: dict[str, Query] = {
     "chart_completed_failed": lambda w: serving.by(serving.real(w.unified_transactions()), ["event_day"], serving.total("completed_cnt"), serving.total("failed_cnt"), limit=10000),
     "chart_hours_real_test": lambda w: serving.real_and_test_by_hour(w.unified_transactions()),
     "chart_purchases_by_hour": lambda w: serving.by(w.unified_purchases(), ["hour_of_day"], serving.total("purchase_cnt"), limit=24),
-    "chart_cancellations_by_reason": lambda w: serving.by(w.unified_cancellations(), ["cancel_day", "reason"], serving.total("cancellations_cnt"), limit=10000),
+    "chart_cancellations_by_reason": lambda w: serving.by(w.unified_cancellations(), ["cancel_day", "reason"], serving.total("cancellations_cnt")),
     "chart_new_returning": lambda w: serving.by(gold.user_cohorts(w.tx), ["event_day", "user_type"], serving.total("unique_users"), limit=10000),
     "chart_promo_table": lambda w: serving.promo_table(gold.promo_codes_analysis(w.tx, w.bronze.promo_codes)),
     "cancellation_rate": lambda w: serving.cancellation_rate(w.unified_cancellations(), w.unified_purchases()),

@@ -33,9 +33,9 @@ def total(column: str) -> Column:
 
 
 def by(df: DataFrame, keys: list[str], *metrics: Column, limit: int | None = None) -> DataFrame:
-    """A grouped chart, in a total order before any limit."""
-    out = df.groupBy(*keys).agg(*metrics)
-    return out.orderBy(*keys).limit(limit) if limit else out
+    """A grouped chart in the order of its keys, with all groups unless there is a limit."""
+    out = df.groupBy(*keys).agg(*metrics).orderBy(*keys)
+    return out.limit(limit) if limit else out
 
 
 def real(df: DataFrame) -> DataFrame:

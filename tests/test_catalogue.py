@@ -1,3 +1,6 @@
+import shutil
+
+import duckdb
 import pytest
 from support import SF, same_rows
 
@@ -22,3 +25,19 @@ def test_cutover_merges_every_day(spark):
     assert sorted(found["composite_pk"]) == sorted(every["composite_pk"]) and every["event_day"].nunique() > 1
     sides = found["status"].str.startswith("stream-").groupby(found["event_day"]).agg(["any", "all"])
     assert set(sides.index) == set(every["event_day"]) and sides["any"].all() and not sides["all"].any()
+
+
+def test_cancellations_by_reason_have_every_group(spark, tmp_path):
+    """10,500 reasons of one cancellation each, more than the row limit of a dashboard: all are there, in order, of settled and live days."""
+    for name in ("customer", "part"):
+        shutil.copy(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT i * 10 + 9 AS event_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(i * 3) AS ts, i % 50 + 1 AS user_id, 'reason ' || i AS event_type, 1.5::DOUBLE AS value, '{{}}' AS props
+      FROM range(14000) r(i) ORDER BY i) TO '{tmp_path}/events.parquet'""")
+    for name in ("customer", "part", "events"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    expected = con.execute(ORACLE["chart_cancellations_by_reason"]).df()
+    found = QUERIES["chart_cancellations_by_reason"](spark, str(tmp_path)).toPandas()
+    same_rows(found, expected)
+    keys = list(zip(found["cancel_day"], found["reason"]))
+    assert len(keys) > 10000 and keys == sorted(keys) and min(keys)[0] <= catalogue.SETTLED_UNTIL < max(keys)[0]
