@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from finlake.functions.columns import amount_invalid, day_of, holds, revenue_eligible, time_of
 from finlake.operators.dedup import latest
+from finlake.operators.joins import counted
 
 RATE_COLUMNS = {"PUNK": "rate_tgrk_punk", "RUB": "rate_tgrk_rub"}
 
@@ -29,14 +30,14 @@ def matched(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
     # Always 0, but no constant, which the optimizer would take out of the join's key.
     zero = F.pmod(F.xxhash64(key), F.lit(1).cast("long"))
-    return df.withColumn("__salt", salt).join(dimension.withColumn("__salt", zero), [key, "__salt"], "left").drop("__salt")
+    return df.withColumn("__salt", salt).join(counted(dimension).withColumn("__salt", zero), [key, "__salt"], "left").drop("__salt")
 
 
 def enriched(tx: DataFrame, users: DataFrame, test_users: DataFrame, promo_codes: DataFrame) -> DataFrame:
     """``tx`` with the flags that need dimensions. The same for settled and live rows.
 
-    The dimensions are unique by key. Catalyst broadcasts those that its
-    statistics show to be small and merges the rest.
+    The dimensions are unique by key. Those of few rows are broadcast where Catalyst's
+    statistics show them to be small, the rest are merged.
     """
     u = users.select("user_id", F.col("is_test_user").alias("__test"), F.lit(True).alias("__known"))
     t = test_users.select(F.col("test_user_uuid").alias("user_uuid"), F.lit(True).alias("__listed"))

@@ -102,3 +102,42 @@ def test_progress_of_queries_that_stop_together(spark, tmp_path):
         assert {r["query"] for r in found.where("event = 'ended' and error like '%third query broke%'").collect()} == {"q2"}
     finally:
         spark.streams.removeListener(listener)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_rows_of_a_dimension_are_not_broadcast(spark, tmp_path):
+    """Their files are smaller than what Spark broadcasts, their rows in the driver are not."""
+    dims = (
+        spark.range(150_000).selectExpr("id AS user_id", "concat('u-', id) AS user_uuid", "id % 3 = 0 AS is_test_user"),
+        spark.range(150_000).selectExpr("concat('u-', id * 2) AS test_user_uuid"),
+        spark.range(150_000).selectExpr("id AS promo_code_id", "'2024-01-03' AS expiry_date"),
+    )
+    many, few = [], []
+    for n, df in enumerate(dims):
+        for size, out in ((150_000, many), (100, few)):
+            at = f"file://{tmp_path}/{n}-{size}"
+            df.limit(size).write.option("compression", "zstd").parquet(at)
+            out.append(spark.read.parquet(at))
+    tx = spark.range(400).selectExpr("id AS transaction_id", "id AS user_id", "concat('u-', id) AS user_uuid", "if(id % 4 = 0, null, id) AS promo_code_id", "1D AS amount", "'completed' AS status", "'purchase' AS transaction_type", "'2024-01-05' AS event_day")
+    large, small = silver.enriched(tx, *many), silver.enriched(tx, *few)
+    assert "BroadcastHashJoin" not in plan_of(large) and plan_of(small).count("BroadcastHashJoin") == 3
+    assert large.where("is_user_unknown").count() == 0 and small.where("is_user_unknown").count() == 300
+    assert large.where("is_test_user").count() == 267 and large.where("is_promo_expired_at_use").count() == 300
+
+
+def test_kept_first_days_of_many_users_are_not_broadcast(spark, tmp_path):
+    tx = spark.range(300).selectExpr("id AS user_id", "false AS is_test_user", "false AS is_user_missing", "true AS is_revenue_eligible", "'2024-01-05' AS event_day", "'completed' AS status", "1D AS amount", "TIMESTAMP_NTZ'2024-01-06 00:00:00' AS ingested_at")
+    first = KeyedTable(f"file://{tmp_path}/first", "user_id long, first_day string, not_before date", ("user_id",), "not_before")
+    first.snapshot(spark.range(150_000).selectExpr("id AS user_id", "if(id < 100, '2024-01-05', '2024-01-01') AS first_day", "DATE'1970-01-01' AS not_before"))
+
+    class Tables:
+        @staticmethod
+        def read(name):
+            return first.read(spark) if name == "silver.users_first_seen" else tx
+
+    made = runs.MODELS["gold.user_cohorts"](Tables, None)
+    assert "BroadcastHashJoin" not in plan_of(made)
+    assert rows(made.select("user_type", "unique_users")) == [("new", 100), ("returning", 200)]
