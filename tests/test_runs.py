@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from support import SF
 
+from finlake.operators import quality
 from finlake.operators.keyed import KeyedTable
 from finlake.plans import gold, runs, silver, written
 from finlake.plans.lake import Lake
@@ -141,3 +142,13 @@ def test_kept_first_days_of_many_users_are_not_broadcast(spark, tmp_path):
     made = runs.MODELS["gold.user_cohorts"](Tables, None)
     assert "BroadcastHashJoin" not in plan_of(made)
     assert rows(made.select("user_type", "unique_users")) == [("new", 100), ("returning", 200)]
+
+
+def test_orphans_are_counted_without_a_broadcast_of_all_parents(spark, tmp_path):
+    spark.range(150_000).selectExpr("id AS transaction_id").write.option("compression", "zstd").parquet(f"file://{tmp_path}/parents")
+    parents = spark.read.parquet(f"file://{tmp_path}/parents")
+    children = spark.range(1000).selectExpr("if(id % 10 = 0, null, 149500 + id) AS original_transaction_id")
+    found = quality.orphan_rate(children.union(children), parents.union(parents.limit(10)), "original_transaction_id", "transaction_id")
+    assert "BroadcastHashJoin" not in plan_of(found)
+    assert rows(found) == [(2000, 1100, 55.0)]
+    assert rows(quality.orphan_rate(children.limit(0), parents, "original_transaction_id", "transaction_id")) == [(0, 0, None)]
