@@ -232,6 +232,19 @@ def test_op3_training_moves_more_than_the_start(spark):
     assert auc[1] >= auc[0] and auc[1] > 0.95, auc
 
 
+def test_op3_learns_from_every_labelled_text(spark):
+    """4000 rows of each label; each toxic word is in two of them, so a sample of the rows misses many."""
+    rng = np.random.default_rng(5)
+    odd = ["".join(chr(97 + k) for k in row) for row in rng.integers(0, 26, (4001, 9))]
+    rows = [(i, f"the words {odd[i // 2]} and more of them", int(i // 2 < 2000)) for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = op3.train(docs.drop("toxic"), docs.drop("text"))
+    z = op3.margins(pa.array([f"the words {w} and more of them" for w in odd], pa.large_string()), model)
+    assert (z[:2000] > z[4000]).mean() > 0.9
+    again = op3.train(docs.drop("toxic").repartition(3), docs.drop("text"))
+    assert all(np.array_equal(model[k], again[k]) for k in ("table", "bias", "out", "offset", "slope", "shift"))
+
+
 def test_op3_long_texts_are_pooled_in_slices(monkeypatch):
     rng = np.random.default_rng(1)
     filters = [rng.normal(size=(w, op3.DIMENSIONS, op3.FILTERS)).astype(np.float32) for w in op3.WIDTHS]
